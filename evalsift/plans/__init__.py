@@ -1 +1,4 @@
+"""Registered queries over the given tables, and the same in SQL."""
 
+QUERIES: dict = {}
+ORACLES: dict = {}
