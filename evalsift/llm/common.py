@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers wherever they run: Spark hands each of them a zip of it, once."""
+    sc = spark.sparkContext
+    if getattr(sc, "_evalsift_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    base = Path(tempfile.mkdtemp(prefix="spark-")) / "evalsift"
+    sc.addPyFile(shutil.make_archive(str(base), "zip", root, "evalsift"))
+    sc._evalsift_shipped = True
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/evalsift-{uuid.uuid4().hex}"

@@ -36,5 +36,29 @@ def op10_order_minhash(spark, sf_dir):
     return fingerprints(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_kd_shards, op9_url_bloom_filter, op10_order_minhash)}
+def op3_secret_novelty(spark, sf_dir):
+    from .secrets import find_secrets
+
+    return find_secrets(_t(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_cnn(spark, sf_dir):
+    from .toxicity import score_documents
+
+    return score_documents(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
+def op7_benchmark_containment(spark, sf_dir):
+    from .containment import find
+
+    return find(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def op8_lm_backoff(spark, sf_dir):
+    from .backoff import score_documents
+
+    return score_documents(_t(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_secret_novelty, op5_kd_shards, op6_toxicity_cnn, op7_benchmark_containment, op8_lm_backoff, op9_url_bloom_filter, op10_order_minhash)}
 ORACLES: dict[str, str] = {}
