@@ -60,5 +60,11 @@ def op8_lm_backoff(spark, sf_dir):
     return score_documents(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_secret_novelty, op5_kd_shards, op6_toxicity_cnn, op7_benchmark_containment, op8_lm_backoff, op9_url_bloom_filter, op10_order_minhash)}
+def op4_ngram_jaccard_join(spark, sf_dir):
+    from .jaccard_join import join
+
+    return join(_t(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_secret_novelty, op4_ngram_jaccard_join, op5_kd_shards, op6_toxicity_cnn, op7_benchmark_containment, op8_lm_backoff, op9_url_bloom_filter, op10_order_minhash)}
 ORACLES: dict[str, str] = {}
