@@ -66,5 +66,11 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return join(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_secret_novelty, op4_ngram_jaccard_join, op5_kd_shards, op6_toxicity_cnn, op7_benchmark_containment, op8_lm_backoff, op9_url_bloom_filter, op10_order_minhash)}
+def op1_pii_weak_supervision(spark, sf_dir):
+    from .pii import find_pii
+
+    return find_pii(_t(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_weak_supervision, op2_mix_sources, op3_secret_novelty, op4_ngram_jaccard_join, op5_kd_shards, op6_toxicity_cnn, op7_benchmark_containment, op8_lm_backoff, op9_url_bloom_filter, op10_order_minhash)}
 ORACLES: dict[str, str] = {}
