@@ -104,14 +104,16 @@ def text_chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hashes of all words, ASCII case folded; per text the index of its first word, with the total last; starts).
 
+    With ``prefixes`` the hashes have a further column for the first so many bytes of each word (all of a shorter one).
+
     Linear work on whole arrays: prefix sums of byte codes times powers of an odd base modulo 2**64.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, len(prefixes) + 1) if prefixes else 0, np.uint64), np.zeros(len(offs), np.int64), np.zeros(0, np.int64)
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = ~apart[data]
     first = np.zeros(n + 1, bool)
@@ -120,7 +122,11 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = SPACE) -
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[FOLD[data]] * _power("up", n), out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _power("down", n)[starts] + (ends - starts).astype(np.uint64))
+    down = _power("down", n)[starts]
+    upto = lambda e, salt: mix((total[e] - total[starts]) * down + (e - starts + salt).astype(np.uint64))
+    hashes = upto(ends, 0)
+    if prefixes:
+        hashes = np.stack([hashes, *[upto(np.minimum(ends, starts + k), 1 << 20) for k in prefixes]], 1)
     return hashes, np.searchsorted(starts, offs), starts
 
 

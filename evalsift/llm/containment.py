@@ -78,5 +78,5 @@ def find(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) ->
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold an item; rows that stay are unchanged."""
-    hits = written(find(docs, items).select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_k")).distinct())
-    return docs.withColumn("_k", F.coalesce("doc_id", F.lit(-(1 << 62)))).join(_small(hits, hits.count()), "_k", "left_anti").drop("_k")
+    hits = written(find(docs, items).select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_evs_k")).distinct())
+    return docs.withColumn("_evs_k", F.coalesce("doc_id", F.lit(-(1 << 62)))).join(_small(hits, hits.count()), "_evs_k", "left_anti").drop("_evs_k")

@@ -133,7 +133,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _pop(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(-1).astype(np.int64)
+    return np.bitwise_count(x.view(np.uint64)).sum(-1).astype(np.int64)
 
 
 def _possible(n_a, n_b, least, held_a, held_b, shared) -> np.ndarray:
@@ -270,13 +270,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without an id or without shingles all stay.
     """
     found = join(docs)
-    kept = written(found.where("doc_id = component_id and n_shingles > 0").select(F.col("doc_id").alias("_id")).distinct())
+    kept = written(found.where("doc_id = component_id and n_shingles > 0").select(F.col("doc_id").alias("_evs_id")).distinct())
     small = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
     blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\u000b\f\r", "     ")) == ""
-    real = docs.where(~blank & F.col("doc_id").isNotNull()).join(small, F.col("doc_id") == F.col("_id"), "left_semi")
-    twice = written(real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min(F.sha2("text", 256)).alias("h")).where("c > 1").drop("c"))
+    real = docs.where(~blank & F.col("doc_id").isNotNull()).join(small, F.col("doc_id") == F.col("_evs_id"), "left_semi")
+    twice = written(real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_evs_c"), F.min(F.sha2("text", 256)).alias("_evs_h")).where("_evs_c > 1").drop("_evs_c"))
     rest = docs.where(blank | F.col("doc_id").isNull())
     if not twice.isEmpty():
-        one = real.join(twice, "doc_id").where(F.sha2("text", 256) == F.col("h")).dropDuplicates(["doc_id"]).select(*docs.columns)
+        one = real.join(twice, "doc_id").where(F.sha2("text", 256) == F.col("_evs_h")).dropDuplicates(["doc_id"]).select(*docs.columns)
         real = real.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
     return real.unionByName(rest)

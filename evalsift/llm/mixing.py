@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, prefix_before, written
+from .common import WORD, prefix_before, words, written
 
 #: Weights of sources in code point order (null last), repeating; the mix's size; how often a source may be taken.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
@@ -45,10 +45,10 @@ def place_in_source(doc_id: Column, weight: Column, seed: int) -> Column:
 
 
 def mix(sized: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, source, size, weight, ...) with ``source_size``, ``target`` and ``taken`` words of each row.
+    """(doc_id, source, size, weight, ...) with ``source_size``, ``target``, ``epochs``, ``part`` and ``taken`` words of each row.
 
     A source whose target holds its size e whole times gives each row e times; the remainder goes to the rows first in
-    its Efraimidis-Spirakis order, the last of them in part. Order is by (key, doc_id, size): reruns agree. Sources are
+    its Efraimidis-Spirakis order, the last of them in part. Order is by (key, doc_id, size, h), h being a hash of the text: reruns agree. Sources are
     few rows even where one holds most documents; rows of one source meet only in buckets of their order.
     """
     sized = written(sized)
@@ -56,21 +56,40 @@ def mix(sized: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     goals = goals.select(F.col("source").alias("_source"), "source_size", "target")
     buckets = max(1, math.ceil(sized.count() / ROWS_PER_BUCKET))
     keyed = sized.withColumn("_key", place_in_source(F.col("doc_id"), F.col("weight"), seed))
-    ranked = prefix_before(keyed, ["source"], [F.col("_key"), F.col("doc_id"), F.col("size")], F.floor(F.col("_key") * buckets), F.col("size"), "_before")
+    ranked = prefix_before(keyed, ["source"], [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("h")], F.floor(F.col("_key") * buckets), F.col("size"), "_before")
     out = ranked.join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - whole * F.col("source_size") - F.col("_before")))
-    return out.withColumn("taken", (whole * F.col("size") + part).cast("long")).drop("_key", "_before")
+    out = out.withColumns({"epochs": whole.cast("int"), "part": part.cast("long")})
+    return out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part")).drop("_key", "_before")
 
 
 def weighed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, size, weight) of each row; ``labels`` (doc_id, quality) may miss or repeat ids (the best counts)."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    """(doc_id, source, size, h, weight) of each row; ``labels`` (doc_id, quality) may miss or repeat ids (the best counts)."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
     best = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_q")).withColumnRenamed("doc_id", "_id")
     weight = F.when(F.col("_q") == 1, QUALITY[1]).when(F.col("_q") == 0, QUALITY[0]).otherwise(QUALITY[None])
-    return sized.join(best, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "source", "size", weight.alias("weight"))
+    return sized.join(best, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "source", "size", "h", weight.alias("weight"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row. Null texts have size 0; null sources form one source."""
     return mix(weighed(docs, labels)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each whole time it is taken, and one with its first words for a part.
+
+    Texts meet the plan by (doc_id, rank of the row among those of its id), so repeated ids keep their own shares; a
+    cut text's words stand one blank apart and its n_chars follows.
+    """
+    plan = mix(weighed(docs, labels))
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("h", "source"))
+    plan = plan.withColumn("_rank", rank).select(F.col("doc_id").alias("_id"), "_rank", "epochs", "part")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("text").alias("h")).withColumn("_rank", rank)
+    both = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (rows["_rank"] == plan["_rank"]))
+    start = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("part").cast("int")), " ")
+    whole = F.array_repeat(F.col("text"), F.col("epochs"))
+    texts = F.when(F.col("part") > 0, F.concat(whole, F.array(start))).otherwise(whole)
+    out = both.select("doc_id", F.explode(texts).alias("text"), "lang", "source")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
