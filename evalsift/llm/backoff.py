@@ -19,7 +19,7 @@ ORDER, CONTEXT, ARC = 5, 2e-5, 1e-6
 #: Tokens with this share of all are looked up in a broadcast table (at most 1/FREQUENT rows, 48 MB); others by a join.
 FREQUENT = 2.5e-7
 #: Absolute discount of n-gram counts; the automaton's share in a token's probability, the rest being its frequency.
-DISCOUNT, SPELLED = 0.6, 0.5
+DISCOUNT, SPELLED = 0.6, 0.1
 #: The end of a text, and what stands before it; no UTF-8 text has this byte. Bytes that one automaton step walks.
 EDGE, SEGMENT = 255, 512
 #: Distinct keys that one task gathers before it passes them on.
@@ -213,8 +213,8 @@ def fit(counts: DataFrame) -> dict:
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    Training rows are those whose crc32 of the id modulo 5 is not 1. A token's probability in ``score`` is, in equal
-    parts, its spelling by the automaton and, for a frequent token, its smoothed frequency. Null texts count as empty
+    Training rows are those whose crc32 of the id modulo 5 is not 1. A token's probability in ``score`` mixes its
+    spelling by the automaton with its smoothed frequency. Null texts count as empty
     (their end is a token); null ids hash as the empty text; repeated rows count each time; without training rows the
     automaton is uniform. Words are held by 64-bit hashes.
     """
@@ -244,22 +244,26 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 stops[is_end] = begin[is_end] + 1
                 run = np.concatenate([[0.0], np.cumsum(lp)])
                 spelled = run[stops] - run[begin]
-                p = SPELLED * 10.0 ** np.maximum(spelled, -300) + (1 - SPELLED) * np.where(known, (c + 0.5) / big, 0)
-                score = np.where(spelled < -290, np.where(known, np.log10((1 - SPELLED) * (c + 0.5) / big), spelled + math.log10(SPELLED)), np.log10(p))
+                score = np.logaddexp(np.log((1 - SPELLED) * (c + 0.5) / big), spelled * math.log(10) + math.log(SPELLED)) / math.log(10)
                 sums = lambda x: np.add.reduceat(x, before[:-1])  # noqa: E731, B023
                 rare = ~known
                 owner = np.repeat(np.arange(len(offs) - 1), np.diff(before))[rare]
                 edges = np.searchsorted(owner, np.arange(len(offs)))
                 rows = len(offs) - 1
                 keys = np.frombuffer(random.token_bytes(8 * rows), np.int64)
-                cols = [batch.column(0).slice(lo, rows), pa.array(keys), pa.array(np.diff(before)), pa.array(sums(known.astype(np.int64))), pa.array(sums(np.log10(c + 0.5))), pa.array(sums(score)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(tokens[rare].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_key", "n_tokens", "_known", "_base", "score", "_rare"])
+                cols = [batch.column(0).slice(lo, rows), pa.array(keys), pa.array(np.diff(before)), pa.array(sums(known.astype(np.int64))), pa.array(sums(np.where(known, np.log10(c + 0.5), 0))), pa.array(sums(np.where(known, score, 0))), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([pa.array(tokens[rare].view(np.int64)), pa.array(spelled[rare].astype(np.float32))], ["key", "sp"]))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_key", "n_tokens", "_known", "_base", "_score", "_rare"])
 
     id_type = dict(docs.dtypes)["doc_id"]
-    scored = written(docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {id_type}, _key long, n_tokens long, _known long, _base double, score double, _rare array<long>"))
+    scored = written(docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {id_type}, _key long, n_tokens long, _known long, _base double, _score double, _rare array<struct<key:long,sp:float>>"))
     rare_counts = counts.where((F.col("kind") == TOKEN) & (F.col("n") < model["least"])).select("key", "n")
-    seen = scored.select("_key", F.explode("_rare").alias("key")).join(rare_counts, "key")
-    more = seen.groupBy("_key").agg(F.sum(F.log10(F.col("n") + 0.5) - math.log10(0.5)).alias("_more"), F.count(F.lit(1)).alias("_seen"))
+    seen = scored.select("_key", F.inline("_rare")).join(rare_counts, "key", "left")
+    c = F.coalesce("n", F.lit(0)) + 0.5
+    big = model["n"] + 0.5 * (model["v"] + 1)
+    # the greater addend first: neither may underflow
+    freq, spell = F.log10(c) + F.lit(math.log10((1 - SPELLED) / big)), F.col("sp") + math.log10(SPELLED)
+    mixed = F.greatest(freq, spell) + F.log10(F.lit(1.0) + F.pow(F.lit(10.0), -F.abs(freq - spell)))
+    more = seen.groupBy("_key").agg(F.sum(F.log10(c)).alias("_more"), F.sum(mixed).alias("_better"), F.count("n").alias("_seen"))
     out = scored.drop("_rare").join(more, "_key", "left")
     base = F.col("_base") + F.coalesce("_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(logd)
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("_score") + F.coalesce("_better", F.lit(0.0))).alias("score"))
