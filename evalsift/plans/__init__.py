@@ -1,4 +1,6 @@
 """Registered queries over the given tables, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import text_queries  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
