@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 RENDERERS: dict[str, Callable[[], Column]] = {}
 GRADERS: dict[str, Callable[[Column, Column], Column]] = {}
@@ -62,7 +63,7 @@ def boxed(text: Column) -> Column:
     return last(F.regexp_extract_all(text, F.lit(BOXED), F.lit(1)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def boxed_deep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """As ``boxed``, for any depth of braces."""
     for texts in batches:
