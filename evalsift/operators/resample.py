@@ -71,16 +71,16 @@ def sign_flip_test(pairs: DataFrame, diff: str, row: str, keys: list[str], n: in
 def wild_cluster_bootstrap(df: DataFrame, y: str, x: str, cluster: str, n: int, seed: int = 4) -> DataFrame:
     """(t_obs, p_wild): Rademacher signs by cluster on residuals under no effect; sums by cluster go in, not rows."""
     s = df.groupBy(cluster).agg(F.sum(F.when(F.col(x) == 1, F.col(y)).otherwise(0.0)).alias("s1"), F.sum(F.when(F.col(x) == 0, F.col(y)).otherwise(0.0)).alias("s0"), F.sum((F.col(x) == 1).cast("double")).alias("n1"), F.sum((F.col(x) == 0).cast("double")).alias("n0"))
-    t = s.agg(F.sum("s1").alias("S1"), F.sum("s0").alias("S0"), F.sum("n1").alias("N1"), F.sum("n0").alias("N0"))
+    t = s.agg(F.sum("s1").alias("ts1"), F.sum("s0").alias("ts0"), F.sum("n1").alias("tn1"), F.sum("n0").alias("tn0"))
     r = s.crossJoin(F.broadcast(t))  # one row
-    mean = (F.col("S1") + F.col("S0")) / (F.col("N1") + F.col("N0"))
+    mean = (F.col("ts1") + F.col("ts0")) / (F.col("tn1") + F.col("tn0"))
     r = r.withColumns({"e1": F.col("s1") - F.col("n1") * mean, "e0": F.col("s0") - F.col("n0") * mean})
     sign = F.when(F.col("rep") == 0, 1).when(F.pmod(F.xxhash64(F.lit(seed), "rep", cluster), F.lit(2)) == 0, 1).otherwise(-1)
     b = reps(r, n + 1).withColumns({"d1": sign * F.col("e1"), "d0": sign * F.col("e0")})
-    m = b.groupBy("rep", "N1", "N0").agg(F.sum("d1").alias("D1"), F.sum("d0").alias("D0"))
-    slope = F.col("D1") / F.col("N1") - F.col("D0") / F.col("N0")
-    c = b.join(m.select("rep", "D1", "D0"), "rep")
-    infl = (F.col("d1") - F.col("n1") * F.col("D1") / F.col("N1")) / F.col("N1") - (F.col("d0") - F.col("n0") * F.col("D0") / F.col("N0")) / F.col("N0")
+    m = b.groupBy("rep", "tn1", "tn0").agg(F.sum("d1").alias("td1"), F.sum("d0").alias("td0"))
+    slope = F.col("td1") / F.col("tn1") - F.col("td0") / F.col("tn0")
+    c = b.join(m.select("rep", "td1", "td0"), "rep")
+    infl = (F.col("d1") - F.col("n1") * F.col("td1") / F.col("tn1")) / F.col("tn1") - (F.col("d0") - F.col("n0") * F.col("td0") / F.col("tn0")) / F.col("tn0")
     v = c.groupBy("rep").agg(F.sqrt(F.sum(infl * infl)).alias("se"))
     t_ = m.join(v, "rep").select("rep", F.try_divide(slope, F.col("se")).alias("t"))
     obs = t_.where("rep = 0").select(F.col("t").alias("t_obs"))
