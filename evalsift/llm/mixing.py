@@ -39,8 +39,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
 
 
 def place_in_source(doc_id: Column, weight: Column, seed: int) -> Column:
-    """1 - exp(-k) of the exponential key k = -ln(u) / weight: the same order, within (0, 1)."""
-    u = (F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    """1 - exp(-k) of the exponential key k = -ln(u) / weight: the same order, within (0, 1). u comes from an md5."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     return F.lit(1.0) - F.pow(u, F.lit(1.0) / weight)
 
 

@@ -73,4 +73,31 @@ def op1_pii_weak_supervision(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_weak_supervision, op2_mix_sources, op3_secret_novelty, op4_ngram_jaccard_join, op5_kd_shards, op6_toxicity_cnn, op7_benchmark_containment, op8_lm_backoff, op9_url_bloom_filter, op10_order_minhash)}
-ORACLES: dict[str, str] = {}
+UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+FIVES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS weight
+            FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id)),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY 1),
+        r AS (SELECT *, 2.0 * source_size / w AS r, 1.5 * sum(source_size) OVER () AS goal FROM s),
+        l AS (SELECT *, (goal - coalesce(sum(2.0 * source_size) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM r WINDOW o AS (ORDER BY r, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT source, source_size, least(2.0 * source_size, w * (SELECT level FROM l WHERE level <= r ORDER BY r LIMIT 1))::DOUBLE AS target FROM l),
+        k AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY 1 - pow((('0x' || substr(md5('17|' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE, 1 / weight), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t USING (source))
+        SELECT doc_id, size, source_size, target, (floor(floor(target) / source_size) * size + greatest(0, least(size, floor(target) - floor(floor(target) / source_size) * source_size - before)))::BIGINT AS taken FROM k""",
+    "op4_ngram_jaccard_join": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents), g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({FIVES}) AS g FROM d),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)
+        SELECT a AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a, n""",
+    "op7_benchmark_containment": f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), i AS (SELECT item_id, {WORDS} AS w FROM benchmark), g AS (SELECT DISTINCT doc_id, unnest({FIVES}) AS g FROM d), h AS (SELECT DISTINCT item_id, unnest({FIVES}) AS g FROM i),
+        q AS (SELECT item_id, count(*) AS q FROM h GROUP BY 1) SELECT doc_id, item_id, count(*) AS shared, q, count(*) / q AS containment FROM g JOIN h USING (g) JOIN q USING (item_id) GROUP BY doc_id, item_id, q HAVING count(*) >= 0.75 * q""",
+    "op9_url_bloom_filter": f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UP}', '{LOW}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        c AS (SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(regexp_replace(path, '\\.html?$', ''), '/+$', '') AS canonical FROM h),
+        r AS (SELECT *, canonical <> '' AND canonical IN (SELECT canonical FROM c WHERE page_id % 20 = 0) AS listed, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+            WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM c)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, canonical, listed FROM r""",
+}
