@@ -1,4 +1,4 @@
-"""Permutation tests, bootstraps, sign flips and random controls, ordered by hashes of (seed, repetition, item)."""
+"""Permutation tests, bootstraps, sign flips and random controls, drawn by md5 of (seed, repetition, item), so that any engine repeats them."""
 
 from __future__ import annotations
 
@@ -14,6 +14,11 @@ def md5_order(seed: str, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[k.cast("string") for k in keys]))
 
 
+def md5_int(*keys: Column, digits: int = 8) -> Column:
+    """A whole number from the first hex digits of the keys' md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in keys])), 1, digits), 16, 10).cast("long")
+
+
 def reps(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
@@ -29,7 +34,7 @@ def permutation_test(items: DataFrame, keys: list[str], n: int, seed: int = 1) -
     """(keys, p_perm): share of label shuffles whose gap is at most the observed one. ``items``: side, correct, item_id."""
     totals = items.groupBy(*keys).agg(F.count_if(F.col("side") == "clean").alias("_nc"), F.sum(F.when(F.col("side") == "clean", F.col("correct"))).alias("_kc"))
     rows = reps(items.select(*keys, "item_id", "correct").join(totals, keys), n)
-    pick = F.row_number().over(W.partitionBy(*keys, "rep").orderBy(F.xxhash64(F.lit(seed), "rep", "item_id"), "item_id")) <= F.col("_nc")
+    pick = F.row_number().over(W.partitionBy(*keys, "rep").orderBy(md5_order(str(seed), F.col("rep"), F.col("item_id")), "item_id")) <= F.col("_nc")
     one = rows.withColumn("_in", pick).groupBy(*keys, "rep", "_kc").agg(F.sum(F.when(F.col("_in"), F.col("correct")).otherwise(0)).alias("_k"))
     # sizes are fixed, so the gap orders as the number of correct clean items does
     return one.groupBy(*keys).agg(F.avg((F.col("_k") <= F.col("_kc")).cast("double")).alias("p_perm"))
@@ -50,7 +55,7 @@ def poisson(u: Column, most: int = 6) -> Column:
 
 
 def uniform(*keys: Column) -> Column:
-    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    return (md5_int(*keys) + 0.5) / F.lit(float(1 << 32))
 
 
 def bootstrap_ci(items: DataFrame, keys: list[str], n: int, seed: int = 2) -> DataFrame:
@@ -63,7 +68,7 @@ def bootstrap_ci(items: DataFrame, keys: list[str], n: int, seed: int = 2) -> Da
 
 def sign_flip_test(pairs: DataFrame, diff: str, row: str, keys: list[str], n: int, seed: int = 3) -> DataFrame:
     """(keys, p_flip): share of random sign flips whose mean reaches the observed one."""
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "rep", row), F.lit(2)) == 0, 1).otherwise(-1)
+    sign = F.when(md5_int(F.lit(seed), F.col("rep"), F.col(row)) % 2 == 0, 1).otherwise(-1)
     by = reps(pairs, n).groupBy(*keys, "rep").agg(F.avg(F.col(diff) * sign).alias("_f"), F.avg(diff).alias("_o"))
     return by.groupBy(*keys).agg(F.avg((F.col("_f") >= F.col("_o") - 1e-12).cast("double")).alias("p_flip"))
 
@@ -75,7 +80,7 @@ def wild_cluster_bootstrap(df: DataFrame, y: str, x: str, cluster: str, n: int,
     r = s.crossJoin(F.broadcast(t))  # one row
     mean = (F.col("ts1") + F.col("ts0")) / (F.col("tn1") + F.col("tn0"))
     r = r.withColumns({"e1": F.col("s1") - F.col("n1") * mean, "e0": F.col("s0") - F.col("n0") * mean})
-    sign = F.when(F.col("rep") == 0, 1).when(F.pmod(F.xxhash64(F.lit(seed), "rep", cluster), F.lit(2)) == 0, 1).otherwise(-1)
+    sign = F.when(F.col("rep") == 0, 1).when(md5_int(F.lit(seed), F.col("rep"), F.col(cluster)) % 2 == 0, 1).otherwise(-1)
     b = reps(r, n + 1).withColumns({"d1": sign * F.col("e1"), "d0": sign * F.col("e0")})
     m = b.groupBy("rep", "tn1", "tn0").agg(F.sum("d1").alias("td1"), F.sum("d0").alias("td0"))
     slope = F.col("td1") / F.col("tn1") - F.col("td0") / F.col("tn0")
@@ -93,10 +98,10 @@ def random_peer_null(losses: DataFrame, audit: DataFrame, k: int, n: int, seed:
 
     names = losses.select("model").distinct()
     cand = reps(names, n).join(names.select(F.col("model").alias("peer")), F.col("model") != F.col("peer"))
-    rank = F.row_number().over(W.partitionBy("model", "rep").orderBy(F.xxhash64(F.lit(seed), "rep", "model", "peer")))
+    rank = F.row_number().over(W.partitionBy("model", "rep").orderBy(md5_order(str(seed), F.col("rep"), F.col("model"), F.col("peer"))))
     peers = cand.withColumn("_r", rank).where(F.col("_r") <= k).select("model", "rep", "peer")
     theirs = peers.join(losses.select(F.col("model").alias("peer"), "item_id", F.col("loss").alias("_l")), "peer").groupBy("model", "rep", "item_id").agg(F.avg("_l").alias("_m"))
-    d = losses.join(theirs, ["model", "item_id"]).withColumn("delta", F.col("loss") - F.col("_m")).join(audit.select("model", "item_id", "correct"), ["model", "item_id"])
+    d = losses.join(theirs, ["model", "item_id"]).withColumn("delta", F.round(F.col("loss") - F.col("_m"), 9)).join(audit.select("model", "item_id", "correct"), ["model", "item_id"])
     return quantile_split(d, "delta", ["model", "rep"], 0.2, 0.8, True).select("model", "rep", "gap")
 
 

@@ -247,7 +247,10 @@ def min_k(spark, sf):
     return lm.min_k(_lps(spark, sf)[0], ["source", "item_id"])
 
 
-@query()
+MOM = "(SELECT source, (sum(ln((c + 1) / (n + v))) + (v - count(*)) * ln(1 / (n + v))) / v AS mu, sqrt((sum(ln((c + 1) / (n + v)) ** 2) + (v - count(*)) * ln(1 / (n + v)) ** 2 - (sum(ln((c + 1) / (n + v))) + (v - count(*)) * ln(1 / (n + v))) ** 2 / v) / (v - 1)) AS sigma FROM lm JOIN tot USING (source) GROUP BY source, n, v)"
+
+
+@query(lm_sql("SELECT source, item_id, avg(z) FILTER (r <= greatest(1, n * 20 // 100)) AS minkpp FROM " + MINK.format(v="z", t=f"(SELECT lp.*, (lp - mu) / sigma AS z FROM lp JOIN {MOM} USING (source))") + " GROUP BY 1, 2", "minkpp"))
 def min_k_plus(spark, sf):
     lps, model = _lps(spark, sf)
     return lm.min_k_plus(lps, lm.vocab_moments(model), ["source", "item_id"])

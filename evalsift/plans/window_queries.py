@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -11,9 +13,9 @@ from ..operators import peers, ranks, resample
 from ..operators import inference as I
 from ..sources import io
 from ..sources.io import table
-from .agg_queries import AUC_SQL, CURVE, _se_cells, long_calib, phi
+from .agg_queries import AUC_SQL, CURVE, IV, _se_cells, long_calib, phi
 from .base import FEATURES, audit, calib, matrix, query, sql
-from .join_queries import _delta
+from .join_queries import DELTA, _delta
 
 CELL = C.CELL
 
@@ -168,7 +170,11 @@ def _sides(spark, sf):
     return a.withColumn("side", F.when(F.col("p") < 0.1, "clean").when(F.col("p") > 0.5, "contam")).where("side is not null")
 
 
-@query()
+M32 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+SIDES = "s AS (SELECT model, benchmark, item_id, correct, p < 0.1 AS clean FROM audit WHERE p < 0.1 OR p > 0.5)"
+
+
+@query(sql("SELECT model, benchmark, avg((k <= kc)::INT) AS p_perm FROM (SELECT model, benchmark, rep, kc, sum(CASE WHEN i <= nc THEN correct ELSE 0 END) AS k FROM (SELECT s.*, nc, kc, rep, row_number() OVER (PARTITION BY model, rep ORDER BY md5('1|' || rep || '|' || item_id), item_id) AS i FROM s JOIN (SELECT model, count(*) FILTER (clean) AS nc, sum(correct) FILTER (clean) AS kc FROM s WHERE benchmark = '1-URGENT' GROUP BY 1) USING (model), range(200) g(rep) WHERE benchmark = '1-URGENT') GROUP BY 1, 2, 3, 4) GROUP BY 1, 2", "audit", rnd="p_perm").replace(") SELECT * REPLACE", f"), {SIDES} SELECT * REPLACE", 1))
 def permutation_test(spark, sf):
     return resample.permutation_test(_sides(spark, sf).where("benchmark = '1-URGENT'"), CELL, 200)
 
@@ -185,7 +191,18 @@ def exact_permutation(spark, sf):
     return resample.exact_permutation(cells).select(*CELL, "p_exact")
 
 
-@query()
+def _poisson_sql(u: str) -> str:
+    cum, cases = 0.0, []
+    for k in range(6):
+        cum += math.exp(-1) / math.factorial(k)
+        cases.append(f"WHEN {u} < {cum!r}::DOUBLE THEN {k}")
+    return f"CASE {' '.join(cases)} ELSE 6 END"
+
+
+BOOT = f"SELECT model, benchmark, rep, sum(w * correct) FILTER (clean) / nullif(sum(w) FILTER (clean), 0) - sum(w * correct) FILTER (NOT clean) / nullif(sum(w) FILTER (NOT clean), 0) AS g FROM (SELECT *, {_poisson_sql('u')} AS w FROM (SELECT s.*, rep, ({M32.format(chr(39) + '2|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || item_id')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM s, range(100) r(rep))) GROUP BY 1, 2, 3"
+
+
+@query(sql(f"SELECT model, benchmark, quantile_cont(g, 0.025) AS ci_low, quantile_cont(g, 0.975) AS ci_high FROM ({BOOT}) GROUP BY 1, 2", "audit", rnd="ci_low ci_high").replace(") SELECT * REPLACE", f"), {SIDES} SELECT * REPLACE", 1))
 def bootstrap_ci(spark, sf):
     return resample.bootstrap_ci(_sides(spark, sf), CELL, 100)
 
@@ -196,27 +213,44 @@ def _pairs(spark, sf):
     return a.join(b, CELL).select("benchmark", "model", (F.col("g2") - F.col("g1")).alias("d"))
 
 
-@query()
+FLIP = M32.format("'3|' || rep || '|' || model")
+
+
+@query(sql(f"SELECT benchmark, avg((f >= o - 1e-12)::INT) AS p_flip FROM (SELECT benchmark, rep, avg(CASE WHEN {FLIP} % 2 = 0 THEN d ELSE -d END) AS f, avg(d) AS o FROM (SELECT a.benchmark, a.model, a.gap - b.gap AS d FROM cells a JOIN cells1 b USING (model, benchmark)), range(1000) r(rep) GROUP BY 1, 2) GROUP BY 1", "cells", "cells1", rnd="p_flip"))
 def sign_flip_test(spark, sf):
     return resample.sign_flip_test(_pairs(spark, sf), "d", "model", ["benchmark"], 1000)
 
 
-@query()
+WILD = """c AS (SELECT model, sum(CASE WHEN v = 1 THEN gap ELSE 0 END) AS s1, sum(CASE WHEN v = 0 THEN gap ELSE 0 END) AS s0, sum(v)::DOUBLE AS n1, sum(1 - v)::DOUBLE AS n0 FROM v GROUP BY 1),
+    e AS (SELECT model, n1, n0, s1 - n1 * m AS e1, s0 - n0 * m AS e0, tn1, tn0 FROM c, (SELECT sum(s1 + s0) / sum(n1 + n0) AS m, sum(n1) AS tn1, sum(n0) AS tn0 FROM c)),
+    b AS (SELECT rep, n1, n0, tn1, tn0, sgn * e1 AS d1, sgn * e0 AS d0 FROM (SELECT *, CASE WHEN rep = 0 OR {h} % 2 = 0 THEN 1 ELSE -1 END AS sgn FROM e, range(501) r(rep))),
+    m AS (SELECT rep, sum(d1) AS x1, sum(d0) AS x0 FROM b GROUP BY 1),
+    t AS (SELECT rep, (max(x1) / max(tn1) - max(x0) / max(tn0)) / nullif(sqrt(sum(((d1 - n1 * x1 / tn1) / tn1 - (d0 - n0 * x0 / tn0) / tn0) ** 2)), 0) AS t FROM b JOIN m USING (rep) GROUP BY 1)"""
+
+
+@query(sql("SELECT o.t AS t_obs, avg((abs(t.t) >= abs(o.t))::INT) AS p_wild FROM t, (SELECT t FROM t WHERE rep = 0) o WHERE rep > 0 GROUP BY 1", "cells", "cells1", rnd="t_obs p_wild").replace(") SELECT * REPLACE", f"), {VERS}, {WILD.format(h=M32.format(chr(39) + '4|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || model'))} SELECT * REPLACE", 1))
 def wild_cluster_bootstrap(spark, sf):
     return resample.wild_cluster_bootstrap(_versions(spark, sf), "gap", "v", "model", 500)
 
 
-@query()
+RAND = """SELECT rep, model, correct, loss - l AS delta FROM matrix JOIN (SELECT rep, p.model, item_id, avg(loss) AS l FROM (SELECT rep, a.model, b.model AS peer, row_number() OVER (PARTITION BY rep, a.model ORDER BY md5('5|' || rep || '|' || a.model || '|' || b.model)) AS r
+    FROM (SELECT DISTINCT model FROM matrix) a, (SELECT DISTINCT model FROM matrix) b, range(20) g(rep) WHERE a.model <> b.model) p JOIN matrix x ON x.model = p.peer WHERE r <= 3 GROUP BY 1, 2, 3) USING (model, item_id)"""
+
+
+@query(sql("SELECT model, rep, gap FROM (" + split_sql(f"SELECT rep, model, correct, round(delta, 9) AS delta FROM ({RAND})", "model, rep", "delta", 0.2, 0.8, "contam", "clean") + ")", "matrix", rnd="gap"))
 def random_peer_null(spark, sf):
     m = matrix(spark, sf)
     return resample.random_peer_null(m.select("model", "item_id", "loss"), m.select("model", "item_id", "correct"), 3, 20)
 
 
-@query()
+NOISE = f"(SELECT seed || '|' || model AS model, correct, p, {M32.format(chr(39) + chr(39) + ' || seed || ' + chr(39) + '|' + chr(39) + ' || item_id')} % 4 AS stratum FROM audit, range(5) g(seed))"
+
+
+@query(sql(f"SELECT split_part(model, '|', 1)::BIGINT AS seed, split_part(model, '|', 2) AS model, n_strata, iv_gap, iv_se, z, 2 * (1 - {phi('abs(z)')}) AS p_two, {phi('z')} AS p_one FROM ({IV.format(t=NOISE)})", "audit", rnd="iv_gap iv_se z p_two p_one"))
 def random_strata(spark, sf):
     """A stratifier of pure noise, five times: a negative control."""
     a = audit(spark, sf).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    a = a.withColumn("noise", F.pmod(F.xxhash64("seed", "item_id"), F.lit(4)))
+    a = a.withColumn("noise", resample.md5_int(F.col("seed"), F.col("item_id")) % 4)
     return C.iv_weighted_gap(a, ["seed", "model"], "noise")
 
 
@@ -349,9 +383,9 @@ def refmodel_sensitivity(spark, sf):
     return j.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.corr(F.col("loss") - F.col("a"), F.col("loss") - F.col("b")).alias("pearson"))
 
 
-@query()
+@query(sql("SELECT count(*) AS n, avg(gap) AS mean, stddev_samp(gap) AS sd, avg(gap) / (stddev_samp(gap) / sqrt(count(*))) AS t FROM (" + split_sql(f"SELECT model, correct, round(delta, 9) AS delta FROM ({DELTA}) JOIN matrix USING (model, item_id)", "model", "delta", 0.2, 0.8, "contam", "clean") + ")", "models", rnd="mean sd t"))
 def peer_delta_gap(spark, sf):
     """Gaps after splitting items by their delta to capability peers, and the test of their mean."""
     d = _delta(spark, sf).join(matrix(spark, sf).select("model", "item_id", "correct"), ["model", "item_id"])
-    g = C.quantile_split(d, "delta", ["model"], 0.2, 0.8, True)
-    return I.ttest_1samp(g, "gap", [])
+    g = C.quantile_split(d.withColumn("delta", F.round("delta", 9)), "delta", ["model"], 0.2, 0.8, True)
+    return I.ttest_1samp(g, "gap", []).drop("p")
