@@ -383,12 +383,35 @@ def test_order_minhash_by_hand(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Every stage on its own input, against brute force where the stage is exact."""
     import corpus_pipeline as P
+    from evalsift.llm.toxicity import score_documents
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    seen = {}
     for name, stage in P.STAGES[:-1]:
+        before = docs
         out = stage(spark, docs, SF)
         assert set(out.columns) == set(P.COLUMNS), name
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-    assert P.run(spark, SF).count() == docs.count() > 100
+        seen[name] = (before, docs)
+    ids = lambda df: sorted(r[0] for r in df.select("doc_id").collect())
+
+    before, after = seen["toxicity"]
+    assert ids(after) == ids(score_documents(before, labels).where("not rejected"))
+    assert {tuple(r) for r in after.select(*P.COLUMNS).collect()} <= {tuple(r) for r in before.select(*P.COLUMNS).collect()}
+    before, after = seen["ngram_jaccard"]
+    rows = [(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()]
+    assert ids(after) == sorted({c for _, _, c in brute_components(rows)})
+    before, after = seen["decontamination"]
+    items = [shingle_set(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = [r["doc_id"] for r in before.collect() if all(len(s & shingle_set(r["text"])) < 0.75 * len(s) for s in items)]
+    assert ids(after) == sorted(clean) and len(clean) < before.count()
+    before, after = seen["mixing"]
+    size = sum(len(words(r["text"])) for r in before.collect())
+    taken = sum(len(words(r["text"])) for r in after.collect())
+    assert abs(taken - 1.5 * size) <= 20
+    last = P.run(spark, SF)
+    assert ids(last) == ids(docs) and last.select("shard").distinct().count() == 24
