@@ -4,8 +4,9 @@ Documents with equal shingle sets are one class. Classes meet in the trees of th
 min-hashes: two sets of similarity 0.75 miss each other in all of them with chance (1 - 0.75**3)**40 = 3e-10). A tree's
 first level is a star: every member against one pivot, which joins a family of near copies in as many pairs as it has
 members. Where members remain apart, a dual traversal of the tree compares node pairs, drops those whose greatest
-possible overlap cannot reach the threshold or that lie in one component already, and so comes down to pairs of classes.
-All pairs are verified on their whole shingle sets; components follow from the links found.
+possible overlap cannot reach the threshold or that lie in one component already, and so comes down to pairs of classes,
+which are verified on whole shingle sets within the tree: what leaves it are links between components, fewer than it has
+members. Components follow from the links found.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SHINGLE, BANDS, ROWS = 5, 40, 3
 NUM, DEN = 75, 100
 #: Bits of a bitmap, in 64-bit words; members of a leaf block of a large tree; children of a node.
 WORDS, BLOCK, FAN = 8, 1024, 8
+#: Bands whose trees are walked in turn; what one round joins, the next need not compare.
+ROUNDS = [(0, 1), (2, 9), (10, BANDS - 1)]
 #: Ids up to this many (about 50 MB as a hash table) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 BITMAP = [f"b{i}" for i in range(WORDS)]
@@ -184,39 +187,82 @@ def traverse(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, side: np.ndarray
         a, b = ca[ok], cb[ok]
 
 
-def tree_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that the trees cannot rule out. ``members``: key, i, j, side, fp, n, comp, b0...; the
-    rows of a (key, i, j) are one block or two, BLOCK members each on average."""
+def _shared(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others."""
+    flat = np.concatenate(many)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum([0, *map(len, many[:-1])]))
+
+
+def tree_links(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: np.ndarray) -> list[tuple[int, int]]:
+    """Links (a, b) of one tree that join components: at most one fewer than it has members.
+
+    The pairs that the traversal leaves are verified on whole sets, member by member, those just linked first; a pair
+    whose ends have come together meanwhile needs no look. No pair is left out otherwise.
+    """
+    found = list(traverse(n, bits, comp, side))
+    a, b = found[0] if found else (np.zeros(0, np.int64),) * 2
+    if not len(a):
+        return []
+    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.argsort(src, kind="stable")
+    dst, edge = dst[order], np.searchsorted(src[order], np.arange(len(n) + 1))
+    label, done, links = np.unique(comp, return_inverse=True)[1], np.zeros(len(n), bool), []
+    for seed in np.argsort(-np.diff(edge), kind="stable"):
+        stack = [seed]
+        while stack:
+            u = stack.pop()
+            if done[u]:
+                continue
+            done[u] = True
+            near = dst[edge[u] : edge[u + 1]]
+            near = near[~done[near] & (label[near] != label[u])]
+            if not len(near):
+                continue
+            both = _shared(sets[u], list(sets[near]))
+            for v in near[DEN * both >= NUM * (n[u] + n[near] - both)]:
+                if label[v] != label[u]:
+                    label[label == label[v]] = label[u]
+                    links.append((min(fp[u], fp[v]), max(fp[u], fp[v])))
+                stack.append(v)
+    return links
+
+
+def forest_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) of all trees. ``members``: key, i, j, side, fp, n, comp, set, b0...; the rows of a (key, i, j) are
+    one block or two, BLOCK members each on average, and come together in one task, one after another."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
-        def done(t: dict, upto: int) -> list[np.ndarray]:
+        def done(t: dict, upto: int) -> Iterator[pa.RecordBatch]:
             g = np.flatnonzero(np.any(t["g"][1:upto] != t["g"][: upto - 1], 1)) + 1
             out = []
             for lo, hi in zip(np.append(0, g), np.append(g, upto), strict=True):
                 if hi - lo > 1:
-                    for a, b in traverse(t["n"][lo:hi], t["bits"][lo:hi], t["comp"][lo:hi], t["side"][lo:hi]):
-                        f = t["fp"][lo:hi]
-                        out.append(np.stack([np.minimum(f[a], f[b]), np.maximum(f[a], f[b])], 1))
-            return out
+                    out += tree_links(*(t[k][lo:hi] for k in ("fp", "n", "bits", "comp", "side", "set")))
+            if out:
+                u = np.unique(np.array(out, np.int64), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
 
         for batch in it:
-            c = {k: batch.column(i).to_numpy() for i, k in enumerate(batch.schema.names)}
-            t = {"g": np.stack([c["key"], c["i"], c["j"]], 1), "n": c["n"], "comp": c["comp"], "fp": c["fp"], "side": c["side"], "bits": np.stack([c[b] for b in BITMAP], 1)}
+            c = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+            flat, offs = c["set"].values.to_numpy().view(np.uint64), c["set"].offsets.to_numpy()
+            sets = np.empty(len(batch), object)
+            sets[:] = [flat[x:y] for x, y in zip(offs[:-1], offs[1:], strict=True)]
+            c = {k: v.to_numpy() for k, v in c.items() if k != "set"}
+            t = {"g": np.stack([c["key"], c["i"], c["j"]], 1), "n": c["n"], "comp": c["comp"], "fp": c["fp"], "side": c["side"], "bits": np.stack([c[b] for b in BITMAP], 1), "set": sets}
             if rest is not None:
                 t = {k: np.concatenate([rest[k], t[k]]) for k in t}
             same = np.flatnonzero(np.any(t["g"] != t["g"][-1], 1))
             upto = same[-1] + 1 if len(same) else 0
             rest = {k: v[upto:] for k, v in t.items()}
-            if upto and (found := done(t, upto)):
-                u = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
-        if rest is not None and (found := done(rest, len(rest["n"]))):
-            u = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
+            if upto:
+                yield from done(t, upto)
+        if rest is not None:
+            yield from done(rest, len(rest["n"]))
 
-    cols = ["key", "i", "j", "side", "fp", "n", "comp", *BITMAP]
+    cols = ["key", "i", "j", "side", "fp", "n", "comp", "set", *BITMAP]
     sorted_ = members.select(*cols).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return sorted_.mapInArrow(batches, "a long, b long").distinct()
 
@@ -231,7 +277,7 @@ def join(docs: DataFrame) -> DataFrame:
     sig = written(signatures(docs))
     rows = sig.where("fp is not null")
     # band members: equal sets collapse before anything meets; lone members of a band leave here
-    entries = rows.select("fp", F.explode("bands").alias("key")).distinct()
+    entries = rows.select("fp", F.posexplode("bands").alias("band", "key")).distinct()
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("pivot")).where("c > 1")
     classes = rows.groupBy("fp").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"), *[F.max(b).alias(b) for b in BITMAP])
     members = written(entries.join(shared, "key"))
@@ -248,15 +294,15 @@ def join(docs: DataFrame) -> DataFrame:
     star = written(star.where(F.lit(NUM + DEN) * top >= F.lit(NUM) * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
     links = written(verified(star, sets))
     comps = written(components(links))
-    placed = members.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).drop("pivot")
-    apart = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
-    open_ = placed.join(apart, "key", "left_semi").join(known.drop("rep"), "fp")
-    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("long")
-    own_block = F.pmod(F.xxhash64("fp"), blocks)
-    open_ = open_.withColumn("_block", own_block).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    open_ = open_.withColumns({"i": F.least("_block", "_other"), "j": F.greatest("_block", "_other"), "side": F.when(F.col("_block") > F.col("_other"), 1).otherwise(0)})
-    more = tree_pairs(open_).join(star, ["a", "b"], "left_anti")
-    comps = written(components(links.union(verified(written(more), sets))))
+    for first, last in ROUNDS:
+        placed = members.where(F.col("band").between(first, last)).join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).drop("pivot")
+        apart = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
+        open_ = placed.join(apart, "key", "left_semi").join(known.drop("rep"), "fp").join(sets, "fp")
+        blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("long")
+        open_ = open_.withColumn("_block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        open_ = open_.withColumns({"i": F.least("_block", "_other"), "j": F.greatest("_block", "_other"), "side": F.when(F.col("_block") > F.col("_other"), 1).otherwise(0)})
+        links = written(links.union(forest_links(open_)))
+        comps = written(components(links))
     label = classes.select("fp", "rep").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_class = label.join(least, "comp").select("fp", "component_id")
