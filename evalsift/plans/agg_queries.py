@@ -239,7 +239,7 @@ def linear_fit(spark, sf):
 OLS = "x AS (SELECT model, gap, 0 AS v FROM cells UNION ALL SELECT model, gap, 1 FROM cells1), s AS (SELECT count(*) AS n, sum(v) AS n1, avg(gap) FILTER (v = 0) AS m0, avg(gap) FILTER (v = 1) AS m1 FROM x), c AS (SELECT model, sum(CASE WHEN v = 1 THEN (gap - m1) / n1 ELSE -(gap - m0) / (n - n1) END) AS i FROM x, s GROUP BY 1), e AS (SELECT count(*) AS g, sum(i * i) AS v FROM c)"
 
 
-@query(sql("SELECT n, g AS clusters, m0 AS intercept, m1 - m0 AS slope, sqrt(v * g / (g - 1) * (n - 1) / (n - 2)) AS se, (m1 - m0) / sqrt(v * g / (g - 1) * (n - 1) / (n - 2)) AS t FROM s, e", "cells", "cells1", rnd="intercept slope se t").replace(") SELECT * REPLACE", f"), {OLS} SELECT * REPLACE", 1))
+@query(sql("SELECT n, g AS clusters, m0 AS intercept, m1 - m0 AS slope, sqrt(v * g / (g - 1) * (n - 1) / (n - 2)) AS se, (m1 - m0) / sqrt(v * g / (g - 1) * (n - 1) / (n - 2)) AS t FROM s, e WHERE n > 0", "cells", "cells1", rnd="intercept slope se t").replace(") SELECT * REPLACE", f"), {OLS} SELECT * REPLACE", 1))
 def ols_cluster(spark, sf):
     a = audit(spark, sf)
     both = C.gap(a, CELL).withColumn("v", F.lit(0)).unionByName(C.gap(a.withColumn("p", F.col("p1")), CELL).withColumn("v", F.lit(1)))
@@ -300,7 +300,7 @@ def gap_summary(spark, sf):
     return C.gap(audit(spark, sf), CELL).groupBy("benchmark").agg(F.avg("gap").alias("mean"), F.median("gap").alias("median"), F.count_if(F.col("gap") < 0).alias("n_negative"))
 
 
-@query(sql("SELECT model, benchmark, avg(gap) AS mean_gap, count(*) AS n FROM cells GROUP BY ROLLUP (model, benchmark)", "cells", rnd="mean_gap"))
+@query(sql("SELECT model, benchmark, avg(gap) AS mean_gap, count(*) AS n FROM cells GROUP BY ROLLUP (model, benchmark) HAVING count(*) > 0", "cells", rnd="mean_gap"))
 def group_rollup(spark, sf):
     return C.gap(audit(spark, sf), CELL).rollup(*CELL).agg(F.avg("gap").alias("mean_gap"), F.count(F.lit(1)).alias("n"))
 

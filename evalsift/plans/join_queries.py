@@ -29,7 +29,7 @@ def self_ngram_overlap(spark, sf):
     return ngram.overlap(ben_tok(spark, sf), doc_tok(spark, sf).join(good, "doc_id"), 13)
 
 
-@query(sql(f"""SELECT lang, doc_id, coalesce(s.n, 0) AS size, coalesce(best, 0.0::DOUBLE) AS best FROM doc_tok LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) s USING (doc_id)
+@query(sql(f"""SELECT lang, doc_id, coalesce(s.n, 0) AS size, round(coalesce(best, 0.0::DOUBLE), 6) AS best FROM doc_tok LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) s USING (doc_id)
     LEFT JOIN (SELECT a AS doc_id, max(i / least(x.n, y.n)) AS best FROM (SELECT a.lang, a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.lang = b.lang AND a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2, 3)
     JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) x ON x.doc_id = a JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) y ON y.doc_id = b GROUP BY 1) USING (doc_id)""", "doc_tok").replace(") SELECT lang", f"), g AS (SELECT DISTINCT lang, doc_id, unnest({G13}) AS g FROM doc_tok) SELECT lang", 1))
 def canary_overlap(spark, sf):

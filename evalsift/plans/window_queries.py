@@ -182,7 +182,7 @@ def permutation_test(spark, sf):
 HYPER = "(SELECT sum(exp(lgamma(g + 1) - lgamma(x + 1) - lgamma(g - x + 1) + lgamma(t - g + 1) - lgamma(n_clean - x + 1) - lgamma(t - g - n_clean + x + 1) - lgamma(t + 1) + lgamma(n_clean + 1) + lgamma(t - n_clean + 1))) FROM range(greatest(0, n_clean + g - t), k_clean + 1) r(x))"
 
 
-@query(sql(f"SELECT model, benchmark, {HYPER} AS p_exact FROM (SELECT model, benchmark, count(*) FILTER (p < 0.1) AS n_clean, sum(correct) FILTER (p < 0.1)::BIGINT AS k_clean, count(*) AS t, sum(correct)::BIGINT AS g FROM audit WHERE p < 0.1 OR p > 0.5 GROUP BY 1, 2)", "audit", rnd="p_exact"))
+@query(sql(f"SELECT model, benchmark, {HYPER} AS p_exact FROM (SELECT model, benchmark, count(*) FILTER (p < 0.1) AS n_clean, coalesce(sum(correct) FILTER (p < 0.1), 0)::BIGINT AS k_clean, count(*) AS t, sum(correct)::BIGINT AS g FROM audit WHERE p < 0.1 OR p > 0.5 GROUP BY 1, 2)", "audit", rnd="p_exact"))
 def exact_permutation(spark, sf):
     s = _sides(spark, sf)
     n = lambda k: F.count_if(F.col("side") == k)

@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 5) + 0.0)
+        return "nan" if math.isnan(v) else repr(round(v, 6) + 0.0)
     return "[" + ",".join(map(norm, v)) + "]" if isinstance(v, list | tuple) else str(v)
 
 
