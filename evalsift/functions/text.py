@@ -19,16 +19,29 @@ def tokenize_ws(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, whatever expression it is."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Contiguous n-grams joined by one blank; none for fewer than n tokens."""
-    every = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-    return F.when(F.size(tokens) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(t, i, n)))
+        return F.when(F.size(t) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, grams)
 
 
 def ngram_hashes(tokens: Column, n: int) -> Column:
-    """64-bit hashes of the n-grams, without building their strings' array first."""
-    every = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(tokens, i, n))))
-    return F.when(F.size(tokens) >= n, every).otherwise(F.array().cast("array<bigint>"))
+    """64-bit hashes of the n-grams: each token is hashed once, each n-gram from its tokens' hashes."""
+
+    def grams(h: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))
+        return F.when(F.size(h) >= n, every).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), grams)
 
 
 def first_paragraph(text: Column, least: int = 80, most: int = 1500) -> Column:
