@@ -8,16 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLD, SPACE, crc_mod, ship, text_chunks, word_hashes, written
 
-#: Bytes of an n-gram. Contexts with a share of CONTEXT of all bytes become states, n-grams with a share of ARC arcs:
-#: at most 1/CONTEXT states and 1/ARC arcs of each length, whatever the corpus holds.
-ORDER, CONTEXT, ARC = 5, 2e-5, 1e-6
+#: Bytes of an n-gram. Every n-gram that training texts hold is an arc, every context that they hold a state.
+ORDER = 5
 #: Tokens with this share of all are looked up in a broadcast table (at most 1/FREQUENT rows, 48 MB); others by a join.
 FREQUENT = 2.5e-7
+#: Likewise for n-grams of ORDER bytes and their probabilities (at most 1/COMMON rows, 16 MB).
+COMMON = 1e-6
 #: Absolute discount of n-gram counts; the automaton's share in a token's probability, the rest being its frequency.
 DISCOUNT, SPELLED = 0.6, 0.1
 #: The end of a text, and what stands before it; no UTF-8 text has this byte. Bytes that one automaton step walks.
@@ -58,11 +60,17 @@ def stream(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, begin, before, hashes, is_end
 
 
-def _codes(symbols: np.ndarray) -> np.ndarray:
-    """The last ORDER symbols at each place, as one number; places before a text's first byte are left out."""
+def _windows(symbols: np.ndarray) -> np.ndarray:
+    """The last ORDER symbols at each place, as one number."""
     code = np.zeros(len(symbols), np.uint64)
     for j in range(ORDER):
         code[j:] |= symbols[: len(symbols) - j].astype(np.uint64) << np.uint64(8 * j)
+    return code
+
+
+def _codes(symbols: np.ndarray) -> np.ndarray:
+    """The windows of all places but those before a text's first byte."""
+    code = _windows(symbols)
     edge = symbols == EDGE
     lead = np.zeros(len(symbols), bool)
     at = np.flatnonzero(edge)
@@ -77,8 +85,8 @@ def _codes(symbols: np.ndarray) -> np.ndarray:
 class Tally:
     """Counts by key, passed on as Arrow batches whenever GATHER distinct keys have come together."""
 
-    def __init__(self, kind: int):
-        self.kind, self.keys, self.sums = kind, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def __init__(self, kind: int, train: bool = True):
+        self.kind, self.train, self.keys, self.sums = kind, train, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         new, count = np.unique(keys, return_counts=True)
@@ -92,7 +100,7 @@ class Tally:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if len(self.keys):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(self.keys), self.kind, np.int32)), pa.array(self.keys.view(np.int64)), pa.array(self.sums)], ["kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(self.keys), self.kind, np.int32)), pa.array(self.keys.view(np.int64)), pa.array(self.sums * self.train), pa.array(self.sums)], ["kind", "key", "n", "seen"])
         self.keys, self.sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
@@ -101,23 +109,54 @@ END = np.uint64(0x656E6420746F6B65)
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): token and n-gram counts of all training texts, summed over tasks."""
+    """(kind, key, n, seen): counts of the tokens of training texts and of the n-grams of all texts, summed over tasks;
+    ``n`` counts in training texts alone, so it is 0 for n-grams that only held-out texts have."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, grams = Tally(TOKEN), Tally(GRAM)
+        tokens, grams, held = Tally(TOKEN), Tally(GRAM), Tally(GRAM, False)
         for batch in it:
-            for _, data, offs in text_chunks(batch.column(0), 1 << 22):
+            texts, train = batch.column(0), batch.column(1)
+            for _, data, offs in text_chunks(texts.filter(train), 1 << 22):
                 symbols, _, _, hashes, _ = stream(data, offs)
                 yield from tokens.add(np.append(hashes, np.full(len(offs) - 1, END)))
                 yield from grams.add(_codes(symbols))
-        yield from tokens.flush()
-        yield from grams.flush()
+            for _, data, offs in text_chunks(texts.filter(pc.invert(train)), 1 << 22):
+                yield from held.add(_codes(stream(data, offs)[0]))
+        for tally in (tokens, grams, held):
+            yield from tally.flush()
+
+    each = docs.select("text", (crc_mod(F.col("doc_id"), 5) != 1).alias("train"))
+    return each.mapInArrow(batches, "kind int, key long, n long, seen long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
-    return docs.select("text").mapInArrow(batches, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+def spelling(grams: DataFrame) -> DataFrame:
+    """(key, seen, lp): the log10 probability of the last symbol of every n-gram of ORDER symbols, seen in training or not.
+
+    The automaton as tables: a state is a context that training texts hold, an arc each n-gram that they hold, and what
+    the arcs leave (interpolated absolute discounting) goes to the failure state, the context without its first symbol;
+    the last goes to all 257 symbols alike. The tables grow with the corpus, stay partitioned and meet by joins.
+    """
+    low = lambda k: F.col("g").bitwiseAND(F.lit((1 << (8 * k)) - 1))
+    every = {ORDER: grams.select(F.col("key").alias("g"), "n", "seen")}
+    for k in range(ORDER - 1, 0, -1):
+        every[k] = written(every[k + 1].groupBy(low(k).alias("g")).agg(F.sum("n").alias("n")))
+    total, arcs = every[1].agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
+    gain = F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.0))
+    if not total:
+        return grams.select("key", "seen", F.lit(-math.log10(257)).alias("lp"))
+    p = every[1].select("g", (gain / total + F.lit(DISCOUNT * arcs / total / 257)).alias("p"))
+    for k in range(2, ORDER + 1):
+        context = F.call_function("shiftright", F.col("g"), F.lit(8))
+        states = every[k].where("n > 0").groupBy(context.alias("_h")).agg(F.sum("n").alias("_c"), F.count(F.lit(1)).alias("_t"))
+        here = every[k].withColumns({"_h": context, "_low": low(k - 1)}).join(states, "_h", "left").join(p.select(F.col("g").alias("_low"), F.col("p").alias("_below")), "_low")
+        own = F.when(F.col("_c").isNull(), F.col("_below")).otherwise(gain / F.col("_c") + F.lit(DISCOUNT) * F.col("_t") / F.col("_c") * F.col("_below"))
+        p = here.select("g", *["seen"] * (k == ORDER), own.alias("p"))
+    return p.select(F.col("g").alias("key"), "seen", F.log10("p").alias("lp"))
 
 
 def automaton(arcs: dict[int, tuple[np.ndarray, np.ndarray]], contexts: dict[int, tuple[np.ndarray, np.ndarray]], total: int) -> dict:
-    """Dense tables of the automaton: next state and log10 probability by (state, symbol class).
+    """Dense tables of a small automaton: next state and log10 probability by (state, symbol class). ``spelling`` gives
+    the same probabilities for a corpus of any size; this plain form is what it is tested against.
 
     ``arcs[k]``: sorted n-grams of k symbols and counts; ``contexts[k]``: likewise for contexts. A state is a context;
     its failure state is the longest shorter context. Interpolated absolute discounting: what the arcs of a state leave
@@ -187,27 +226,28 @@ def walk(symbols: np.ndarray, a: dict) -> np.ndarray:
 
 
 def fit(counts: DataFrame) -> dict:
-    """The model from gathered counts: token totals, frequent tokens, automaton. What reaches the driver is bounded by
-    1/FREQUENT, 1/CONTEXT and 1/ARC rows; everything is counted before anything is left out."""
+    """The model from gathered counts: token totals, frequent tokens and n-grams, and the table of all n-grams. What
+    reaches the driver is bounded by 1/FREQUENT and 1/COMMON rows; the rest is looked up by joins."""
     tokens = counts.where(F.col("kind") == TOKEN)
     n, v = tokens.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, v = n or 0, v or 0
     often = tokens.where(F.col("n") >= max(1.0, FREQUENT * n)).select("key", "n").toPandas()
     order = np.argsort(often.key.to_numpy().view(np.uint64), kind="stable")
-    grams = counts.where(F.col("kind") == GRAM)
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    low = lambda k: F.lit((1 << (8 * k)) - 1)
-    parts = [F.struct(F.lit(k).alias("k"), F.lit(False).alias("ctx"), F.col("key").bitwiseAND(low(k)).alias("g")) for k in range(1, ORDER + 1)]
-    parts += [F.struct(F.lit(k).alias("k"), F.lit(True).alias("ctx"), F.call_function("shiftright", F.col("key"), F.lit(8)).bitwiseAND(low(k)).alias("g")) for k in range(1, ORDER)]
-    sums = grams.select("n", F.explode(F.array(*parts)).alias("s")).groupBy("s.k", "s.ctx", "s.g").agg(F.sum("n").alias("n"))
-    kept = sums.where(F.col("n") >= F.when(F.col("ctx"), max(2.0, CONTEXT * total)).otherwise(max(2.0, ARC * total)) - 1e-9).toPandas()
+    spelled = written(spelling(counts.where(F.col("kind") == GRAM)))
+    common = max(1.0, COMMON * (spelled.agg(F.sum("seen")).first()[0] or 0))
+    known = spelled.where(F.col("seen") >= common).select("key", "lp").toPandas().sort_values("key")
+    small = {"n": n, "v": v, "keys": often.key.to_numpy().view(np.uint64)[order], "counts": often.n.to_numpy()[order].astype(np.float64), "grams": known.key.to_numpy().astype(np.uint64), "lp": known.lp.to_numpy().astype(np.float64)}
+    return {"small": small, "tokens": tokens.where(F.col("n") < max(1.0, FREQUENT * n)).select("key", "n"), "grams": spelled.where(F.col("seen") < common).select("key", "lp")}
 
-    def pick(k: int, ctx: bool) -> tuple[np.ndarray, np.ndarray]:
-        t = kept[(kept.k == k) & (kept.ctx == ctx)].sort_values("g")
-        return t.g.to_numpy().astype(np.uint64), t.n.to_numpy().astype(np.float64)
 
-    a = automaton({k: pick(k, False) for k in range(1, ORDER + 1)}, {k: pick(k, True) for k in range(1, ORDER)}, total)
-    return {"n": n, "v": v, "least": max(1.0, FREQUENT * n), "keys": often.key.to_numpy().view(np.uint64)[order], "counts": often.n.to_numpy()[order].astype(np.float64), "automaton": a}
+def _find(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each key is in the sorted table, its value or 0)."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    uniq, back = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(table, uniq), len(table) - 1)
+    hit = table[at] == uniq
+    return hit[back], np.where(hit, values[at], 0)[back]
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -216,54 +256,66 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Training rows are those whose crc32 of the id modulo 5 is not 1. A token's probability in ``score`` mixes its
     spelling by the automaton with its smoothed frequency. Null texts count as empty
     (their end is a token); null ids hash as the empty text; repeated rows count each time; without training rows the
-    automaton is uniform. Words are held by 64-bit hashes.
+    automaton is uniform. Words are held by 64-bit hashes. Rare tokens and n-grams are looked up by joins, so every
+    count of the training texts has its part in the scores.
     """
     ship(docs.sparkSession)
-    counts = written(gather(docs.where(crc_mod(F.col("doc_id"), 5) != 1)))
-    model = fit(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    logd = math.log10(model["n"] + 0.5 * (model["v"] + 1))
+    model = fit(written(gather(docs)))
+    shared = docs.sparkSession.sparkContext.broadcast(model["small"])
+    n, v = model["small"]["n"], model["small"]["v"]
+    big = n + 0.5 * (v + 1)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        big = m["n"] + 0.5 * (m["v"] + 1)
         for batch in it:
             for lo, data, offs in text_chunks(batch.column(1)):
                 symbols, begin, before, hashes, is_end = stream(data, offs)
-                lp = walk(symbols, m["automaton"])
                 tokens = np.full(len(begin), END)
                 tokens[~is_end] = hashes
-                c = np.zeros(len(tokens))
-                if len(m["keys"]):
-                    uniq, back = np.unique(tokens, return_inverse=True)
-                    at = np.minimum(np.searchsorted(m["keys"], uniq), len(m["keys"]) - 1)
-                    c = np.where(m["keys"][at] == uniq, m["counts"][at], 0)[back]
-                known = c > 0
+                known, c = _find(tokens, m["keys"], m["counts"])
                 # spelled symbols of each token; the edges before a text belong to none
                 stops = np.append(begin[1:], len(symbols))
                 stops[is_end] = begin[is_end] + 1
+                windows = _windows(symbols)
+                common, lp = _find(windows, m["grams"], m["lp"])
                 run = np.concatenate([[0.0], np.cumsum(lp)])
                 spelled = run[stops] - run[begin]
+                gaps = np.flatnonzero(~common)
+                of = np.searchsorted(begin, gaps, "right") - 1
+                inside = (of >= 0) & (gaps < stops[of])
+                gaps, of = gaps[inside], of[inside]
+                whole = known.copy()
+                whole[of] = False
                 score = np.logaddexp(np.log((1 - SPELLED) * (c + 0.5) / big), spelled * math.log(10) + math.log(SPELLED)) / math.log(10)
                 sums = lambda x: np.add.reduceat(x, before[:-1])  # noqa: E731, B023
-                rare = ~known
-                owner = np.repeat(np.arange(len(offs) - 1), np.diff(before))[rare]
-                edges = np.searchsorted(owner, np.arange(len(offs)))
                 rows = len(offs) - 1
+                row = np.repeat(np.arange(rows), np.diff(before))
+
+                def lists(at: np.ndarray, **cols: pa.Array) -> pa.Array:
+                    edges = np.searchsorted(row[at], np.arange(rows + 1))  # noqa: B023
+                    t = pa.array((at - before[row[at]]).astype(np.int32))  # noqa: B023
+                    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([t, *cols.values()], ["t", *cols]))
+
+                left = np.flatnonzero(~whole)
                 keys = np.frombuffer(random.token_bytes(8 * rows), np.int64)
-                cols = [batch.column(0).slice(lo, rows), pa.array(keys), pa.array(np.diff(before)), pa.array(sums(known.astype(np.int64))), pa.array(sums(np.where(known, np.log10(c + 0.5), 0))), pa.array(sums(np.where(known, score, 0))), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([pa.array(tokens[rare].view(np.int64)), pa.array(spelled[rare].astype(np.float32))], ["key", "sp"]))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_key", "n_tokens", "_known", "_base", "_score", "_rare"])
+                todo = lists(left, key=pa.array(tokens[left].view(np.int64)), c=pa.array(c[left], mask=~known[left]), sp=pa.array(spelled[left]))
+                cols = [batch.column(0).slice(lo, rows), pa.array(keys), pa.array(np.diff(before)), pa.array(sums(known.astype(np.int64))), pa.array(sums(np.where(known, np.log10(c + 0.5), 0))), pa.array(sums(np.where(whole, score, 0))), todo, lists(of, key=pa.array(windows[gaps].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_key", "n_tokens", "_known", "_base", "_score", "_todo", "_gaps"])
 
     id_type = dict(docs.dtypes)["doc_id"]
-    scored = written(docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {id_type}, _key long, n_tokens long, _known long, _base double, _score double, _rare array<struct<key:long,sp:float>>"))
-    rare_counts = counts.where((F.col("kind") == TOKEN) & (F.col("n") < model["least"])).select("key", "n")
-    seen = scored.select("_key", F.inline("_rare")).join(rare_counts, "key", "left")
-    c = F.coalesce("n", F.lit(0)) + 0.5
-    big = model["n"] + 0.5 * (model["v"] + 1)
+    scored = written(docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {id_type}, _key long, n_tokens long, _known long, _base double, _score double, _todo array<struct<t:int,key:long,c:double,sp:double>>, _gaps array<struct<t:int,key:long>>"))
+    todo = scored.select("_key", F.inline("_todo"))
+    none = lambda t: F.lit(None).cast(t)
+    # frequent tokens with rare n-grams, rare tokens with their counts, and the rare n-grams of both
+    parts = todo.where("c is not null").select("_key", "t", "sp", "c", none("double").alias("n"), F.lit(0).alias("rare"))
+    parts = parts.unionByName(todo.where("c is null").join(model["tokens"], "key", "left").select("_key", "t", "sp", "c", F.col("n").cast("double").alias("n"), F.lit(1).alias("rare")))
+    parts = parts.unionByName(scored.select("_key", F.inline("_gaps")).join(model["grams"], "key").select("_key", "t", F.col("lp").alias("sp"), none("double").alias("c"), none("double").alias("n"), F.lit(0).alias("rare")))
+    each = parts.repartition("_key").groupBy("_key", "t").agg(F.sum("sp").alias("sp"), F.max("c").alias("c"), F.max("n").alias("n"), F.max("rare").alias("rare"))
+    c = F.coalesce("c", "n", F.lit(0.0)) + 0.5
     # the greater addend first: neither may underflow
     freq, spell = F.log10(c) + F.lit(math.log10((1 - SPELLED) / big)), F.col("sp") + math.log10(SPELLED)
     mixed = F.greatest(freq, spell) + F.log10(F.lit(1.0) + F.pow(F.lit(10.0), -F.abs(freq - spell)))
-    more = seen.groupBy("_key").agg(F.sum(F.log10(c)).alias("_more"), F.sum(mixed).alias("_better"), F.count("n").alias("_seen"))
-    out = scored.drop("_rare").join(more, "_key", "left")
-    base = F.col("_base") + F.coalesce("_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(logd)
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("_score") + F.coalesce("_better", F.lit(0.0))).alias("score"))
+    more = each.groupBy("_key").agg(F.sum(F.when(F.col("rare") == 1, F.log10(c))).alias("_more"), F.sum(mixed).alias("_better"), F.count("n").alias("_seen"))
+    out = scored.drop("_todo", "_gaps").join(more, "_key", "left")
+    base = F.col("_base") + F.coalesce("_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(big))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("_score") + F.coalesce("_better", F.lit(0.0))).alias("score"))

@@ -415,3 +415,30 @@ def test_pipeline(spark, tmp_path):
     assert abs(taken - 1.5 * size) <= 20
     last = P.run(spark, SF)
     assert ids(last) == ids(docs) and last.select("shard").distinct().count() == 24
+
+
+def test_language_model_keeps_every_ngram(spark, monkeypatch):
+    """Scores against the plain automaton over all n-grams, however rare they are in a large corpus; broadcast and joined look-ups agree."""
+    from evalsift.llm import backoff as B
+
+    mod = lambda d: zlib.crc32(str(d).encode()) % 5
+    common = "the same few words over and over " * 30
+    texts = {i: common for i in range(400)} | {500 + i: f"quixotic zephyr{i} jumps" for i in range(20)} | {600: "quixotic zephyr jumps vexed", 601: "", 602: "the quixotic"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    join = lambda ts: B.stream(*(lambda b: (np.frombuffer(b"".join(b), np.uint8), np.cumsum([0, *map(len, b)])))([t.encode() for t in ts]))
+    train = [t for d, t in texts.items() if mod(d) != 1]
+    codes = B._codes(join(train)[0])
+    table = lambda g: (lambda u, c: (u, c.astype(float)))(*np.unique(g, return_counts=True))
+    a = B.automaton({k: table(codes & B.MASK[k]) for k in range(1, 6)}, {k: table((codes >> np.uint64(8)) & B.MASK[k]) for k in range(1, 5)}, len(codes))
+    count = collections.Counter(w for t in train for w in [*words(t), None])
+    big = sum(count.values()) + 0.5 * (len(count) + 1)
+    want = {}
+    for d, t in texts.items():
+        symbols, begin, _, _, is_end = join([t])
+        lp, ends = B.walk(symbols, a), np.append(begin[1:], len(symbols))
+        want[d] = sum(math.log10((1 - B.SPELLED) * (count[w] + 0.5) / big + B.SPELLED * 10 ** lp[b:e].sum()) for w, b, e in zip([*words(t), None], begin, ends, strict=True))
+    for share in (B.COMMON, 1e-2, 1.0):
+        monkeypatch.setattr(B, "COMMON", share)
+        monkeypatch.setattr(B, "FREQUENT", share)
+        got = {r["doc_id"]: r["score"] for r in B.score_documents(df).collect()}
+        assert all(abs(got[d] - want[d]) < 1e-3 * max(1, abs(want[d])) for d in texts), share
