@@ -17,6 +17,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 #: A candidate beyond the base: a long run of key characters; and words that make its surroundings sensitive.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+#: A name and its sign of assignment at the start of a run: the candidate is what follows, the name belongs to its context.
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*=(?!=*$)")
 CONTEXT = re.compile(r"passw|secret|token|key|auth|bearer|credential|private|signature|session|cookie|cert", re.IGNORECASE | re.ASCII)
 #: How far before a candidate its context may stand; how much text on both sides primes the dictionary.
 REACH, PRIME = 64, 512
@@ -55,8 +58,11 @@ def scan(text: str, compressors: dict | None = None) -> tuple[list[tuple[int, in
     if CONTEXT.search(fold):
         taken = sorted(base)
         for m in CANDIDATE.finditer(text):
-            piece, s, e = m[0], m.start(), m.end()
-            if not (any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)) or not CONTEXT.search(text, max(0, s - REACH), s):
+            s, e = m.start(), m.end()
+            name = NAME.match(m[0])
+            s += name.end() if name else 0
+            piece = text[s:e]
+            if len(piece) < LEAST or not CONTEXT.search(text, max(0, s - REACH), s):
                 continue
             if any(a < e and s < b for a, _, b in taken):
                 continue

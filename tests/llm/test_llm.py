@@ -442,3 +442,17 @@ def test_language_model_keeps_every_ngram(spark, monkeypatch):
         monkeypatch.setattr(B, "FREQUENT", share)
         got = {r["doc_id"]: r["score"] for r in B.score_documents(df).collect()}
         assert all(abs(got[d] - want[d]) < 1e-3 * max(1, abs(want[d])) for d in texts), share
+
+
+def test_secrets_in_env_lines(spark):
+    """A name that is one run with its value, and values of letters or digits alone; names and prose are no secrets."""
+    from evalsift.llm.secrets import find_secrets
+
+    values = ["Zx81hGqkL0pQ93vT", "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "qZxWvKpLmRtYhBnGdFsJ", "8392-0174-6509-1827-3645", "b2kX-93hjQ82_mmPPw01zLq8Vb=="]
+    names = ["auth", "private_key", "aws_secret_access_key", "SESSION-COOKIE", "client_credential", "export SIGNATURE"]
+    lines = [f"{n}={v}" for n, v in zip(names, values, strict=True)]
+    plain = ["authorization_settings=configuration", "private_key_settings_environment", "the certificate_authority=authority_certificate here", "width=Zx81hGqkL0pQ93vT"]
+    got = {r["doc_id"]: r for r in find_secrets(spark.createDataFrame(list(enumerate(lines + plain)), "doc_id long, text string")).collect()}
+    for i, (line, v) in enumerate(zip(lines, values, strict=True)):
+        assert got[i]["spans"] == f"novel:{line.index(v)}:{len(line)}", (line, got[i]["spans"])
+    assert not any(got[len(lines) + i]["spans"] for i in range(len(plain)))
