@@ -60,6 +60,11 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def row_key() -> Column:
+    """A 64-bit hash of a row's doc_id and text: rows that share it have the same text, whatever their ids."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), body)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, words, written
+from .common import ascii_lower, let, row_key, words, written
 
 SHINGLE, CONTAINMENT = 5, 0.75
 #: Minima of an item's sketch: one more than the shingles that a hit may lack, but MINIMA at most (then the chance that
@@ -77,6 +77,7 @@ def find(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) ->
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that hold an item; rows that stay are unchanged."""
-    hits = written(find(docs, items).select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_evs_k")).distinct())
-    return docs.withColumn("_evs_k", F.coalesce("doc_id", F.lit(-(1 << 62)))).join(_small(hits, hits.count()), "_evs_k", "left_anti").drop("_evs_k")
+    """``docs`` without those that hold an item; rows that stay are unchanged. Each row stands for its own text, whether
+    its id is null, repeated or neither."""
+    hits = written(find(docs.select(row_key().alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_evs_k")).distinct())
+    return docs.withColumn("_evs_k", row_key()).join(_small(hits, hits.count()), "_evs_k", "left_anti").drop("_evs_k")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, ship, text_chunks, word_hashes, written
+from .common import mix, row_key, ship, text_chunks, word_hashes, written
 
 SHINGLE, BANDS, ROWS = 5, 40, 3
 #: Similarity threshold as a fraction.
@@ -76,35 +76,34 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, fp, bands, b0...): one row a document; without shingles fp and bands are null."""
+    """(doc_id, row, n, fp, bands, b0...): one row a document; without shingles fp and bands are null."""
     ship(docs.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n, fps, keys, maps = [], [], [], []
-            for s in shingle_sets(batch.column(1)):
+            for s in shingle_sets(batch.column(2)):
                 n.append(len(s))
                 fps.append(fingerprint(s) if len(s) else None)
                 keys.append(bands(s) if len(s) else None)
                 maps.append(bitmap(s))
             m = np.array(maps, np.int64).reshape(len(n), WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *[pa.array(m[:, i]) for i in range(WORDS)]], ["doc_id", "n", "fp", "bands", *BITMAP])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *[pa.array(m[:, i]) for i in range(WORDS)]], ["doc_id", "row", "n", "fp", "bands", *BITMAP])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n long, fp long, bands array<long>, " + ", ".join(f"{b} long" for b in BITMAP))
+    return docs.select("doc_id", row_key().alias("row"), "text").mapInArrow(batches, f"doc_id {kind}, row long, n long, fp long, bands array<long>, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(fp, set) of the documents in ``ids`` (doc_id), one row a class."""
+def whole_sets(docs: DataFrame, picks: DataFrame) -> DataFrame:
+    """(fp, set) of the documents whose row key is in ``picks`` (pick), one row a class."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             sets = list(shingle_sets(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "set"])
 
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    picked = docs.select("doc_id", "text").join(small, F.col("doc_id") == F.col("_id"), "left_semi")
+    small = F.broadcast(picks) if picks.count() <= BROADCAST_ROWS else picks
+    picked = docs.select("text", row_key().alias("pick")).join(small, "pick", "left_semi")
     return picked.select("text").mapInArrow(batches, "fp long, set array<long>")
 
 
@@ -267,23 +266,18 @@ def forest_links(members: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(batches, "a long, b long").distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: similarity self-join on distinct five-word shingles.
-
-    Null and blank texts have no shingles and are their own component. Rows of one id stand each for their own text.
-    A null id counts for no component's smallest id (a component of null ids alone has a null). Extra columns are
-    ignored; an empty table gives no rows.
-    """
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signatures of all rows, (fp, rep, comp) of every class): its smallest id, which may be null, and its component."""
     sig = written(signatures(docs))
     rows = sig.where("fp is not null")
     # band members: equal sets collapse before anything meets; lone members of a band leave here
     entries = rows.select("fp", F.posexplode("bands").alias("band", "key")).distinct()
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("pivot")).where("c > 1")
-    classes = rows.groupBy("fp").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"), *[F.max(b).alias(b) for b in BITMAP])
+    classes = rows.groupBy("fp").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"), F.min("row").alias("pick"), *[F.max(b).alias(b) for b in BITMAP])
     members = written(entries.join(shared, "key"))
     wanted = members.select("fp").distinct()
     known = written(classes.join(wanted, "fp", "left_semi"))
-    sets = written(whole_sets(docs, known.select(F.col("rep").alias("doc_id"))).join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
+    sets = written(whole_sets(docs, known.select("pick")).join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
     bits = ["n", *BITMAP]
     side = lambda p: known.select(F.col("fp").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in bits])
     star = members.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
@@ -297,32 +291,44 @@ def join(docs: DataFrame) -> DataFrame:
     for first, last in ROUNDS:
         placed = members.where(F.col("band").between(first, last)).join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).drop("pivot")
         apart = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
-        open_ = placed.join(apart, "key", "left_semi").join(known.drop("rep"), "fp").join(sets, "fp")
+        open_ = placed.join(apart, "key", "left_semi").join(known.drop("rep", "pick"), "fp").join(sets, "fp")
         blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("long")
         open_ = open_.withColumn("_block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         open_ = open_.withColumns({"i": F.least("_block", "_other"), "j": F.greatest("_block", "_other"), "side": F.when(F.col("_block") > F.col("_other"), 1).otherwise(0)})
         links = written(links.union(forest_links(open_)))
         comps = written(components(links))
-    label = classes.select("fp", "rep").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    return sig, classes.select("fp", "rep").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: similarity self-join on distinct five-word shingles.
+
+    Null and blank texts have no shingles and are their own component. Rows of one id stand each for their own text.
+    A null id counts for no component's smallest id (a component of null ids alone has a null), but its text links
+    like any other. Extra columns are ignored; an empty table gives no rows.
+    """
+    sig, label = linked(docs)
     least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_class = label.join(least, "comp").select("fp", "component_id")
-    linked = rows.select("doc_id", "n", "fp").join(of_class, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(sig.where("fp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    real = sig.where("fp is not null").select("doc_id", "n", "fp").join(of_class, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return real.unionByName(sig.where("fp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: of its smallest id, the row of least text where rows repeat the id.
+    """``docs`` with one row of each component: of its smallest id (a row without id only where none has one), the row of
+    least key where several are left.
 
-    Rows without an id or without shingles all stay.
+    Rows without shingles all stay.
     """
-    found = join(docs)
-    kept = written(found.where("doc_id = component_id and n_shingles > 0").select(F.col("doc_id").alias("_evs_id")).distinct())
+    sig, label = linked(docs)
+    rows = sig.where("fp is not null").join(label.select("fp", "comp"), "fp")
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("best"))
+    kept = written(best.select(F.col("best.row").alias("_evs_row")))
     small = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
     blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\u000b\f\r", "     ")) == ""
-    real = docs.where(~blank & F.col("doc_id").isNotNull()).join(small, F.col("doc_id") == F.col("_evs_id"), "left_semi")
-    twice = written(real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_evs_c"), F.min(F.sha2("text", 256)).alias("_evs_h")).where("_evs_c > 1").drop("_evs_c"))
-    rest = docs.where(blank | F.col("doc_id").isNull())
+    real = docs.where(~blank).withColumn("_evs_row", row_key()).join(small, "_evs_row", "left_semi")
+    twice = written(real.groupBy("_evs_row").agg(F.count(F.lit(1)).alias("_evs_c")).where("_evs_c > 1").select("_evs_row"))
     if not twice.isEmpty():
-        one = real.join(twice, "doc_id").where(F.sha2("text", 256) == F.col("_evs_h")).dropDuplicates(["doc_id"]).select(*docs.columns)
-        real = real.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
-    return real.unionByName(rest)
+        one = real.join(twice, "_evs_row", "left_semi").dropDuplicates(["_evs_row"])
+        real = real.join(twice, "_evs_row", "left_anti").unionByName(one)
+    return real.select(*docs.columns).unionByName(docs.where(blank))

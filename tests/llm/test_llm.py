@@ -456,3 +456,29 @@ def test_secrets_in_env_lines(spark):
     for i, (line, v) in enumerate(zip(lines, values, strict=True)):
         assert got[i]["spans"] == f"novel:{line.index(v)}:{len(line)}", (line, got[i]["spans"])
     assert not any(got[len(lines) + i]["spans"] for i in range(len(plain)))
+
+
+def test_rows_without_id_and_repeated_ids(spark):
+    """Decisions are by row: null ids and repeated ids neither drag each other along nor pool their shingles."""
+    from evalsift.llm.containment import drop_contaminated
+    from evalsift.llm.jaccard_join import join, keep_one
+
+    item = [f"i{i}" for i in range(40)]
+    half = lambda a, b, s: " ".join([*item[a:b], *(f"{s}{i}" for i in range(60))])
+    hit, clean = " ".join(item) + " tail", [half(0, 20, "p"), half(16, 40, "q")]
+    rows = [(None, hit), (None, clean[0]), (None, clean[0]), (None, clean[1]), (7, clean[0]), (7, clean[1]), (8, hit), (8, "another clean text altogether here"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    count = lambda x: collections.Counter(tuple(r) for r in x.select("doc_id", "text").collect())
+    assert count(drop_contaminated(df, items)) == collections.Counter(r for r in rows if r[1] != hit)
+    # 20 and 21 are linked only by rows without id; 22 repeats with two unlinked texts; two copies and a near copy without id
+    w = [f"w{i}" for i in range(80)]
+    ends = [" ".join(w), " ".join([*(f"x{i}" for i in range(8)), *w[8:]]), " ".join([*(f"x{i}" for i in range(14)), *w[14:]])]
+    lone = [" ".join(f"{c}{i}" for i in range(50)) for c in "abc"]
+    rows = [(20, ends[0]), (None, ends[1]), (21, ends[2]), (22, lone[0]), (22, lone[1]), (None, lone[2]), (None, lone[2]), (None, lone[2] + " end"), (None, ""), (23, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(tuple(r) for r in join(df).collect()) == collections.Counter(brute_components(rows))
+    got = count(keep_one(df))
+    for text in (lone[2], lone[2] + " end"):
+        got[None, "none"] += got.pop((None, text), 0)
+    assert got == collections.Counter({(20, ends[0]): 1, (22, lone[0]): 1, (22, lone[1]): 1, (None, "none"): 1, (None, ""): 1, (23, None): 1})
