@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,17 +21,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a folder
+    of its own; any other is refused, since its executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         where = spark.sparkContext.getCheckpointDir()
     return where
 
 
+#: Bytes of one Arrow batch on its way to a Python worker, unless the session sets its own bound.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers wherever they run: Spark hands each of them a zip of it, once."""
+    """Makes this package importable in Python workers wherever they run: Spark hands each of them a zip of it, once.
+    Arrow batches are bound by bytes, so that rows with long texts need no more memory than others."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     if getattr(sc, "_evalsift_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]
@@ -46,6 +57,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+            if folder.getName().startswith("evalsift-"):
+                folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -89,11 +109,14 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        step = np.full(max(n, 1 << 20), _BASE if kind == "up" else _INV, np.uint64)
-        step[0] = 1
-        _powers[kind] = np.cumprod(step)
-    return _powers[kind][:n]
+    """The first n powers; 1 << 20 of them are kept between calls, longer runs (of a text above 1 MB) are not."""
+    if len(_powers[kind]) >= n:
+        return _powers[kind][:n]
+    step = np.full(max(n, 1 << 20), _BASE if kind == "up" else _INV, np.uint64)
+    step[0] = 1
+    step = np.cumprod(step)
+    _powers[kind] = step[: 1 << 20].copy()
+    return step[:n]
 
 
 def text_chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -135,17 +158,28 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = SPACE, p
     return hashes, np.searchsorted(starts, offs), starts
 
 
+#: Buckets whose sums meet in one task of ``prefix_before``.
+GROUP = 2048
+
+
 def prefix_before(df: DataFrame, part: list[str], order: list[Column], bucket: Column, value: Column, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same ``part`` that come before in the order.
 
-    ``bucket`` must rise with the order. Rows meet only within (part, bucket); between buckets only the buckets' sums
-    meet, one row each, so that no task ever holds a whole part.
+    ``bucket`` must rise with the order. Three levels: rows meet only within (part, bucket), the sums of buckets within
+    runs of GROUP buckets, and the sums of runs within a part, one row each: with 512 rows a bucket a part of 1e10 rows
+    has 1e4 runs. No task ever holds a whole part.
     """
+    keys = [f"_k{i}" for i in range(len(part))]
+    named = [F.col(c).alias(k) for c, k in zip(part, keys, strict=True)]
+    before = lambda by, order: W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    sum_ = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
     keyed = df.withColumn("_b", bucket).withColumn("_v", value)
-    inner = W.partitionBy(*part, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    sums = keyed.groupBy(*part, "_b").agg(F.sum("_v").alias("_s"))
-    over = W.partitionBy(*part).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(part)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_pre"))
-    local = keyed.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(part)] + [F.col("_b") == F.col("_kb")]
-    return local.join(sums, on).withColumn(out, F.col("_in") + F.col("_pre")).drop("_b", "_v", "_in", "_pre", "_kb", *[f"_k{i}" for i in range(len(part))])
+    sums = keyed.groupBy(*named, F.col("_b").alias("_kb")).agg(F.sum("_v").alias("_s")).withColumn("_run", F.floor(F.col("_kb") / F.lit(GROUP)))
+    runs = sums.groupBy(*[F.col(k).alias(f"_r{k}") for k in keys], F.col("_run").alias("_rr")).agg(F.sum("_s").alias("_rs"))
+    runs = runs.withColumn("_far", sum_("_rs", before([f"_r{k}" for k in keys], ["_rr"]))).drop("_rs")
+    within = sums.withColumn("_near", sum_("_s", before([*keys, "_run"], ["_kb"])))
+    same = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys] + [F.col("_run") == F.col("_rr")]
+    within = within.join(runs, same).select(*keys, "_kb", (F.col("_near") + F.col("_far")).alias("_pre"))
+    local = keyed.withColumn("_in", sum_("_v", before([*part, "_b"], order)))
+    on = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(part, keys, strict=True)] + [F.col("_b") == F.col("_kb")]
+    return local.join(within, on).withColumn(out, F.col("_in") + F.col("_pre")).drop("_b", "_v", "_in", "_pre", "_kb", *keys)

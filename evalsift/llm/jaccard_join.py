@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, row_key, ship, text_chunks, word_hashes, written
+from .common import discard, mix, row_key, ship, text_chunks, word_hashes, written
 
 SHINGLE, BANDS, ROWS = 5, 40, 3
 #: Similarity threshold as a fraction.
 NUM, DEN = 75, 100
-#: Bits of a bitmap, in 64-bit words; members of a leaf block of a large tree; children of a node.
-WORDS, BLOCK, FAN = 8, 1024, 8
-#: Bands whose trees are walked in turn; what one round joins, the next need not compare.
+#: Bits of a bitmap, in 64-bit words; members of a leaf block of a large tree, and their shingles; children of a node.
+WORDS, BLOCK, BLOCK_SHINGLES, FAN = 8, 1024, 1 << 19, 8
+#: Trees are walked in turn, by their keys modulo BANDS; what one round joins, the next need not compare.
 ROUNDS = [(0, 1), (2, 9), (10, BANDS - 1)]
 #: Ids up to this many (about 50 MB as a hash table) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -117,7 +117,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(fp, comp) of every class in ``links`` (a, b): the least fp reachable. Alternating large and small stars; the
     neighbours of a hub meet in an aggregate and a join, never in one array."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = last = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -127,6 +127,8 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small)
+        discard(last)
+        last = edges
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break
@@ -229,7 +231,8 @@ def tree_links(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray
 
 def forest_links(members: DataFrame) -> DataFrame:
     """Links (a, b) of all trees. ``members``: key, i, j, side, fp, n, comp, set, b0...; the rows of a (key, i, j) are
-    one block or two, BLOCK members each on average, and come together in one task, one after another."""
+    one block or two, each of BLOCK members and BLOCK_SHINGLES shingles (4 MB) on average, and come together in one task,
+    one after another."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -271,10 +274,10 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sig = written(signatures(docs))
     rows = sig.where("fp is not null")
     # band members: equal sets collapse before anything meets; lone members of a band leave here
-    entries = rows.select("fp", F.posexplode("bands").alias("band", "key")).distinct()
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("pivot")).where("c > 1")
+    entries = rows.select("fp", "n", F.explode("bands").alias("key")).distinct()
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("pivot"), F.sum("n").alias("shingles")).where("c > 1")
     classes = rows.groupBy("fp").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"), F.min("row").alias("pick"), *[F.max(b).alias(b) for b in BITMAP])
-    members = written(entries.join(shared, "key"))
+    members = written(entries.drop("n").join(shared, "key"))
     wanted = members.select("fp").distinct()
     known = written(classes.join(wanted, "fp", "left_semi"))
     sets = written(whole_sets(docs, known.select("pick")).join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
@@ -289,14 +292,17 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = written(verified(star, sets))
     comps = written(components(links))
     for first, last in ROUNDS:
-        placed = members.where(F.col("band").between(first, last)).join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).drop("pivot")
+        placed = members.where(F.pmod("key", F.lit(BANDS)).between(first, last)).join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).drop("pivot")
         apart = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
         open_ = placed.join(apart, "key", "left_semi").join(known.drop("rep", "pick"), "fp").join(sets, "fp")
-        blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("long")
+        blocks = F.ceil(F.greatest(F.col("c") / F.lit(BLOCK), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("long")
         open_ = open_.withColumn("_block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         open_ = open_.withColumns({"i": F.least("_block", "_other"), "j": F.greatest("_block", "_other"), "side": F.when(F.col("_block") > F.col("_other"), 1).otherwise(0)})
-        links = written(links.union(forest_links(open_)))
-        comps = written(components(links))
+        more = written(links.union(forest_links(open_)))
+        again = written(components(more))
+        discard(links, comps)
+        links, comps = more, again
+    discard(links, members, known, sets, star)
     return sig, classes.select("fp", "rep").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
 
 
