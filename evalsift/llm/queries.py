@@ -78,13 +78,13 @@ WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UP}'
 FIVES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
 
 ORACLES: dict[str, str] = {
-    "op2_mix_sources": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS weight
+    "op2_mix_sources": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS h, CASE q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS weight
             FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id)),
         s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY 1),
         r AS (SELECT *, 2.0 * source_size / w AS r, 1.5 * sum(source_size) OVER () AS goal FROM s),
         l AS (SELECT *, (goal - coalesce(sum(2.0 * source_size) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM r WINDOW o AS (ORDER BY r, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT source, source_size, least(2.0 * source_size, w * (SELECT level FROM l WHERE level <= r ORDER BY r LIMIT 1))::DOUBLE AS target FROM l),
-        k AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY 1 - pow((('0x' || substr(md5('17|' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE, 1 / weight), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t USING (source))
+        k AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY 1 - pow((('0x' || substr(md5('17|' || doc_id || '|' || h), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE, 1 / weight), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t USING (source))
         SELECT doc_id, size, source_size, target, (floor(floor(target) / source_size) * size + greatest(0, least(size, floor(target) - floor(floor(target) / source_size) * source_size - before)))::BIGINT AS taken FROM k""",
     "op4_ngram_jaccard_join": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents), g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({FIVES}) AS g FROM d),
         n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
