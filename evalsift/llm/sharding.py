@@ -11,36 +11,47 @@ from pyspark.sql import Window as W
 from .common import prefix_before, written
 
 #: Bits of a tie value below each coordinate, and bins of one pass of a median search (two passes are made).
-TIE, BINS = 32, 4096
+TIE, BINS = 28, 4096
+#: Places of an axis.
+SCALE = 1 << 16
 #: A group of equal texts above this share of a shard may be split; smaller ones stay in one shard.
 SPLIT_SHARE = 1 / 8
 ROWS_PER_BUCKET = 512
 
 
-def _category(c: str) -> Column:
-    """A stable place in [0, 65536) for a category; nulls share one."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit("\u0000"))), F.lit(65536))
+def _axis(narrow: DataFrame, c: str) -> DataFrame:
+    """(category, place): categories in order of their rows' mean size, each in the middle of its share of all bytes, in
+    [0, SCALE): neighbours hold alike documents, and a large category takes a wide part of the axis. One row a category."""
+    name = f"_{c}"
+    cats = narrow.groupBy(F.col(c).alias(name)).agg(F.sum("size").alias("_w"), F.avg("size").alias("_m"))
+    order = W.orderBy("_m", F.col(name).asc_nulls_first())
+    run = F.sum("_w").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return cats.select(name, F.floor((run - F.col("_w") / 2) / F.sum("_w").over(W.partitionBy()) * (SCALE - 1)).cast("long").alias(f"_place_{c}"))
 
 
 def points(docs: DataFrame, shards: int) -> DataFrame:
     """(doc_id, size, text_crc32, weight, d0, d1, d2, _tie): a point for each row.
 
-    Dimensions: source, language (least of a group of equal texts) and the logarithm of the size. Each coordinate ends
-    in TIE bits that order the points of one place: a hash of the text, so that equal texts share all coordinates; for
-    groups too large to stay whole (at most ``shards / SPLIT_SHARE`` exist), a hash of the id.
+    Dimensions: source and language (least of a group of equal texts) by share of bytes, and the logarithm of the size
+    between the table's least and greatest; all three run over [0, SCALE). Each coordinate ends in TIE bits that order
+    the points of one place: a hash of the text, so that equal texts share all coordinates; for groups too large to stay
+    whole (at most ``shards / SPLIT_SHARE`` exist), a hash of the id.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select("doc_id", "lang", "source", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
     narrow = written(narrow)
     groups = narrow.groupBy("h", "text_crc32").agg(F.min("lang").alias("glang"), F.min("source").alias("gsource"), F.sum("size").alias("gsize"), F.count(F.lit(1)).alias("gcount"))
-    total = narrow.agg(F.sum("size")).first()[0] or 0
-    large = math.ceil(total / shards * SPLIT_SHARE)
+    total, least, most = narrow.agg(F.sum("size"), F.min("size"), F.max("size")).first()
+    large = math.ceil((total or 0) / shards * SPLIT_SHARE)
     shared = groups.where("gcount > 1").select(F.col("h").alias("gh"), F.col("text_crc32").alias("gcrc"), "glang", "gsource", "gsize")
     joined = narrow.join(shared, (F.col("h") == F.col("gh")) & (F.col("text_crc32") == F.col("gcrc")), "left")
     joined = joined.withColumns({"lang": F.when(F.col("gh").isNotNull(), F.col("glang")).otherwise(F.col("lang")), "source": F.when(F.col("gh").isNotNull(), F.col("gsource")).otherwise(F.col("source"))})
+    for c in ("source", "lang"):
+        joined = joined.join(_axis(narrow, c), F.col(c).eqNullSafe(F.col(f"_{c}")), "left")
     tie = F.when(F.coalesce(F.col("gsize"), F.lit(0)) > large, F.xxhash64("doc_id", F.lit(3))).otherwise(F.xxhash64("h", F.lit(5)))
     tie = F.pmod(tie, F.lit(1 << TIE))
-    place = {"d0": _category("source"), "d1": _category("lang"), "d2": (F.log2("size") * 1638).cast("long")}
+    low, span = math.log2(least or 8), max(1e-9, math.log2(most or 8) - math.log2(least or 8))
+    place = {"d0": F.col("_place_source"), "d1": F.col("_place_lang"), "d2": ((F.log2("size") - low) / span * (SCALE - 1)).cast("long")}
     return joined.select("doc_id", "size", "text_crc32", tie.alias("_tie"), *[(v * F.lit(1 << TIE) + tie).alias(k) for k, v in place.items()])
 
 
@@ -54,7 +65,7 @@ def kd_tree(pts: DataFrame, leaves: int, dims: list[str], weight: str) -> list[d
 
     A node with k leaves is cut where its low side holds floor(k/2)/k of its weight: the bin with that quantile among
     BINS, then the quantile among BINS within it. Only bin sums leave the executors' map side; what returns to the
-    driver is one row a node.
+    driver is BINS rows a node at most, of ``leaves / 2`` nodes at most.
     """
     frontier, tree = [{"node": 1, "leaves": leaves}], []
     at = F.lit(1).cast("long")
@@ -77,16 +88,17 @@ def kd_tree(pts: DataFrame, leaves: int, dims: list[str], weight: str) -> list[d
             hist = hist.groupBy("_n", _bin(F.col("_x"), F.col("lo"), F.col("hi")).alias("bin")).agg(F.sum(weight).alias("w"), F.min("_x").alias("least"), F.max("_x").alias("most"))
             for n in cuts:
                 n["rest"] = n["goal"] - n["below"]
-            hit = hist.withColumns({"run": F.sum("w").over(W.partitionBy("_n").orderBy("bin")), "goal": pick("rest")}).where("run >= goal")
-            hit = hit.groupBy("_n").agg(F.min_by(F.struct("bin", "w", "run", "least", "most"), "bin").alias("s"))
-            found = {r["_n"]: r["s"] for r in hit.collect()}
+            bins: dict[int, list] = {}
+            for r in sorted(hist.collect(), key=lambda r: r["bin"]):
+                bins.setdefault(r["_n"], []).append(r)
             for n in cuts:
-                s = found.get(n["node"])
-                if s is not None:
-                    n["last"] = s
-                    n["below_in"] = s["run"] - s["w"]
-                    n["lo"], n["hi"] = s["least"], s["most"]
-                    n["below"] += n["below_in"]
+                run = 0
+                for s in bins.get(n["node"], []):
+                    if run + s["w"] >= n["rest"]:
+                        n["last"], n["lo"], n["hi"] = s, s["least"], s["most"]
+                        n["below"] += run
+                        break
+                    run += s["w"]
         nxt = []
         for n in cuts:
             s = n["last"]
@@ -117,14 +129,14 @@ def shards(docs: DataFrame, count: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row, in shards of near equal bytes.
 
     Equal texts share a shard unless their group exceeds SPLIT_SHARE of one. ``slot`` numbers each shard's rows from 0
-    by (hash of the id, id); rows alike in all columns take any of their slots. Null texts have size 8; null ids,
+    by (hash of id, checksum and size, id); rows alike in all columns take any of their slots. Null texts have size 8; null ids,
     sources and languages are values like others; extra columns are ignored; an empty table gives no rows.
     """
     pts = written(points(docs, count))
     tree = kd_tree(pts, count, ["d0", "d1", "d2"], "size")
     rows = pts.count()
     step = max(1, (1 << 32) // max(1, math.ceil(rows / count / ROWS_PER_BUCKET)))
-    placed = pts.select("doc_id", "size", "text_crc32", leaf_of(tree).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("_o"))
+    placed = pts.select("doc_id", "size", "text_crc32", leaf_of(tree).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(1 << 32)).alias("_o"))
     order = [F.col("_o"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     out = prefix_before(placed, ["shard"], order, F.floor(F.col("_o") / F.lit(step)), F.lit(1).cast("long"), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
