@@ -1,92 +1,76 @@
-"""LM scoring: a weighted backoff automaton over smoothed byte n-grams, mixed with token frequencies."""
+"""LM scoring: a weighted backoff automaton over words.
+
+States are the words of the training texts (and the end token, which also stands before a text's first word), and a root.
+State v has an arc to w for each pair v w of the training texts, of weight (c(v w) + PRIOR * p(w)) / (c(v) + PRIOR), and a
+failure arc to the root of weight PRIOR / (c(v) + PRIOR); the root's arcs weigh p(w), the smoothed frequency. A text is
+walked once, left to right: the state is the token before, each step adds the logarithms of the arcs that it takes.
+
+No task holds the automaton. A step's weight needs the counts of its pair and its word, and a token's own count as the
+state it leads to, so the steps of a word meet: the walk takes the arcs between hot words from a broadcast table of bounded
+size, and sends each other step to the bucket of its word (of a hot word: of the pair), where the arcs that the training
+texts hold are counted and every step gets its weight. Steps travel in blocks, as arrays; their sums return by block.
+"""
 
 from __future__ import annotations
 
-import math
-import secrets as random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, SPACE, crc_mod, ship, text_chunks, word_hashes, written
-
-#: Bytes of an n-gram. Every n-gram that training texts hold is an arc, every context that they hold a state.
-ORDER = 5
-#: Tokens with this share of all are looked up in a broadcast table (at most 1/FREQUENT rows, 48 MB); others by a join.
-FREQUENT = 2.5e-7
-#: Likewise for n-grams of ORDER bytes and their probabilities (at most 1/COMMON rows, 16 MB).
-COMMON = 1e-6
-#: Absolute discount of n-gram counts; the automaton's share in a token's probability, the rest being its frequency.
-DISCOUNT, SPELLED = 0.6, 0.1
-#: The end of a text, and what stands before it; no UTF-8 text has this byte. Bytes that one automaton step walks.
-EDGE, SEGMENT = 255, 512
+from .common import crc_mod, mix, ship, text_chunks, word_hashes, written
+
+#: Words with 1/HOT of the training tokens or more are hot: HOT words at most. Arcs between them with this share of the
+#: tokens or more are broadcast, at most 1/SHARE of them (16 MB).
+HOT, SHARE = 4096, 1e-6
+#: Mass of the failure arc in counts, the same for every state.
+PRIOR = 100.0
+#: Tokens of a block, which one task walks at a time; its rows at most; tokens that meet in a bucket on average.
+BLOCK, ROWS, BUCKET = 1 << 21, 1 << 16, 1 << 21
 #: Distinct keys that one task gathers before it passes them on.
 GATHER = 1 << 20
-MASK = [np.uint64((1 << (8 * k)) - 1) for k in range(9)]
+END = np.uint64(0x656E6420746F6B65)
+#: Bytes of a word before, as a step carries it: 40 bits beside the 64 of its word.
+LEAST = 5
+FIELDS = "bucket int, kind int, block long, a binary, b binary, c binary, d binary, e binary, ids array<{}>"
+TRAIN, HELD, TEXTS = 0, 1, 2
 
 
-def stream(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, place of each token's first symbol, token count before each text, word hashes, hash index of tokens).
+NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
-    A text is ORDER - 1 edges, then its words, each with a blank, then an edge, which is its end token.
-    """
-    hashes, first, starts = word_hashes(data, offs)
-    docs, n = len(offs) - 1, len(data)
-    pad = ORDER - 1
-    keep = np.flatnonzero(~SPACE[data]) if n else np.zeros(0, np.int64)
-    word_of = np.searchsorted(starts, keep, "right") - 1
-    doc_of_word = np.repeat(np.arange(docs), np.diff(first))
-    place = np.arange(len(keep)) + word_of + (pad * (doc_of_word + 1) + doc_of_word)[word_of] if len(keep) else keep
-    out = np.full(len(keep) + len(starts) + docs * (pad + 1), EDGE, np.uint8)
-    out[place] = FOLD[data[keep]]
-    if len(starts):
-        last = np.append(np.flatnonzero(np.diff(word_of)), len(keep) - 1)
-        out[place[last] + 1] = 32
-    # tokens: each text's words, then its end
-    before = first + np.arange(docs + 1)
-    begin = np.zeros(before[-1], np.int64)
-    is_end = np.zeros(before[-1], bool)
-    is_end[before[1:] - 1] = True
-    if len(starts):
-        begin[~is_end] = place[np.searchsorted(keep, starts)]
-    lengths = np.zeros(docs, np.int64)
-    if len(keep):
-        lengths = np.bincount(doc_of_word[word_of], minlength=docs) + np.diff(first)
-    begin[is_end] = np.cumsum(lengths + pad + 1) - 1
-    return out, begin, before, hashes, is_end
-
-
-def _windows(symbols: np.ndarray) -> np.ndarray:
-    """The last ORDER symbols at each place, as one number."""
-    code = np.zeros(len(symbols), np.uint64)
-    for j in range(ORDER):
-        code[j:] |= symbols[: len(symbols) - j].astype(np.uint64) << np.uint64(8 * j)
-    return code
-
-
-def _codes(symbols: np.ndarray) -> np.ndarray:
-    """The windows of all places but those before a text's first byte."""
-    code = _windows(symbols)
-    edge = symbols == EDGE
-    lead = np.zeros(len(symbols), bool)
-    at = np.flatnonzero(edge)
-    if len(at):
-        # runs of edges: the first of a run ends a text, ORDER - 1 follow; the very first run only leads
-        run = np.cumsum(np.append(True, np.diff(at) > 1)) - 1
-        rank = np.arange(len(at)) - np.flatnonzero(np.append(True, np.diff(at) > 1))[run]
-        lead[at] = np.where(run == 0, (rank + 1) % ORDER != 0, rank % ORDER != 0)
-    return code[~lead]
+
+def _record(bucket: int, kind: int, block: int, parts: list, ids: pa.Array) -> pa.RecordBatch:
+    """One row: up to five arrays as bytes, and the ids of a block's texts (else none of their type)."""
+    raw = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts]
+    raw += [pa.nulls(1, pa.binary())] * (5 - len(raw))
+    head = [pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.int64())]
+    return pa.RecordBatch.from_arrays([*head, *raw, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], NAMES)
+
+
+def tokens_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens: each text's words, then its end; index of each text's first, the total last)."""
+    hashes, first, _ = word_hashes(data, offs)
+    begin = first + np.arange(len(offs))
+    out = np.full(begin[-1], END)
+    inner = np.ones(begin[-1], bool)
+    inner[begin[1:] - 1] = False
+    out[inner] = hashes
+    return out, begin
+
+
+def _before(tokens: np.ndarray) -> np.ndarray:
+    """The state at each token: the token before, which is an end at a text's start too."""
+    return np.concatenate([[END], tokens[:-1]]).astype(np.uint64)
 
 
 class Tally:
     """Counts by key, passed on as Arrow batches whenever GATHER distinct keys have come together."""
 
-    def __init__(self, kind: int, train: bool = True):
-        self.kind, self.train, self.keys, self.sums = kind, train, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def __init__(self):
+        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         new, count = np.unique(keys, return_counts=True)
@@ -100,222 +84,196 @@ class Tally:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if len(self.keys):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(self.keys), self.kind, np.int32)), pa.array(self.keys.view(np.int64)), pa.array(self.sums * self.train), pa.array(self.sums)], ["kind", "key", "n", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.sums)], ["key", "n"])
         self.keys, self.sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-TOKEN, GRAM = 0, 1
-END = np.uint64(0x656E6420746F6B65)
+def _at(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The place of each key in the sorted table, -1 where it has none."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
 
 
-def gather(docs: DataFrame) -> DataFrame:
-    """(kind, key, n, seen): counts of the tokens of training texts and of the n-grams of all texts, summed over tasks;
-    ``n`` counts in training texts alone, so it is 0 for n-grams that only held-out texts have."""
+def _counted(train: DataFrame, keys) -> DataFrame:
+    """(key, n): how often each of ``keys(tokens)`` occurs in the texts of ``train``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, grams, held = Tally(TOKEN), Tally(GRAM), Tally(GRAM, False)
+        tally = Tally()
         for batch in it:
-            texts, train = batch.column(0), batch.column(1)
-            for _, data, offs in text_chunks(texts.filter(train), 1 << 22):
-                symbols, _, _, hashes, _ = stream(data, offs)
-                yield from tokens.add(np.append(hashes, np.full(len(offs) - 1, END)))
-                yield from grams.add(_codes(symbols))
-            for _, data, offs in text_chunks(texts.filter(pc.invert(train)), 1 << 22):
-                yield from held.add(_codes(stream(data, offs)[0]))
-        for tally in (tokens, grams, held):
-            yield from tally.flush()
-
-    each = docs.select("text", (crc_mod(F.col("doc_id"), 5) != 1).alias("train"))
-    return each.mapInArrow(batches, "kind int, key long, n long, seen long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
-
-
-def spelling(grams: DataFrame) -> DataFrame:
-    """(key, seen, lp): the log10 probability of the last symbol of every n-gram of ORDER symbols, seen in training or not.
-
-    The automaton as tables: a state is a context that training texts hold, an arc each n-gram that they hold, and what
-    the arcs leave (interpolated absolute discounting) goes to the failure state, the context without its first symbol;
-    the last goes to all 257 symbols alike. The tables grow with the corpus, stay partitioned and meet by joins.
-    """
-    low = lambda k: F.col("g").bitwiseAND(F.lit((1 << (8 * k)) - 1))
-    every = {ORDER: grams.select(F.col("key").alias("g"), "n", "seen")}
-    for k in range(ORDER - 1, 0, -1):
-        every[k] = written(every[k + 1].groupBy(low(k).alias("g")).agg(F.sum("n").alias("n")))
-    total, arcs = every[1].agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
-    gain = F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.0))
-    if not total:
-        return grams.select("key", "seen", F.lit(-math.log10(257)).alias("lp"))
-    p = every[1].select("g", (gain / total + F.lit(DISCOUNT * arcs / total / 257)).alias("p"))
-    for k in range(2, ORDER + 1):
-        context = F.call_function("shiftright", F.col("g"), F.lit(8))
-        states = every[k].where("n > 0").groupBy(context.alias("_h")).agg(F.sum("n").alias("_c"), F.count(F.lit(1)).alias("_t"))
-        here = every[k].withColumns({"_h": context, "_low": low(k - 1)}).join(states, "_h", "left").join(p.select(F.col("g").alias("_low"), F.col("p").alias("_below")), "_low")
-        own = F.when(F.col("_c").isNull(), F.col("_below")).otherwise(gain / F.col("_c") + F.lit(DISCOUNT) * F.col("_t") / F.col("_c") * F.col("_below"))
-        p = here.select("g", *["seen"] * (k == ORDER), own.alias("p"))
-    return p.select(F.col("g").alias("key"), "seen", F.log10("p").alias("lp"))
-
-
-def automaton(arcs: dict[int, tuple[np.ndarray, np.ndarray]], contexts: dict[int, tuple[np.ndarray, np.ndarray]], total: int) -> dict:
-    """Dense tables of a small automaton: next state and log10 probability by (state, symbol class). ``spelling`` gives
-    the same probabilities for a corpus of any size; this plain form is what it is tested against.
-
-    ``arcs[k]``: sorted n-grams of k symbols and counts; ``contexts[k]``: likewise for contexts. A state is a context;
-    its failure state is the longest shorter context. Interpolated absolute discounting: what the arcs of a state leave
-    goes to the failure state's distribution, in the end to all 257 symbols alike, so each state's arcs sum to one.
-    """
-    used = np.unique(arcs[1][0].astype(np.int64)) if len(arcs[1][0]) else np.array([EDGE])
-    classes = np.full(256, len(used), np.int64)
-    classes[used] = np.arange(len(used))
-    m = len(used) + 1  # the last class: any symbol not among the arcs
-    first, size = {0: 0}, 1
-    for k in range(1, ORDER):
-        first[k], size = size, size + len(contexts[k][0])
-    nxt = np.zeros((size, m), np.int32)
-    prob = np.full((size, m), 1 / 257)
-
-    def state(k: int, codes: np.ndarray) -> np.ndarray:
-        return first[k] + np.searchsorted(contexts[k][0], codes)
-
-    for k in range(ORDER):
-        here = np.array([0], np.uint64) if k == 0 else contexts[k][0]
-        counts = np.array([max(1, total)]) if k == 0 else contexts[k][1]
-        rows = np.array([0]) if k == 0 else first[k] + np.arange(len(here))
-        if k:
-            fail = np.zeros(len(here), np.int64) if k == 1 else state(k - 1, here & MASK[k - 1])
-            nxt[rows], below = nxt[fail], prob[fail]
-        else:
-            below = np.full((1, m), 1 / 257)
-        g, c = arcs[k + 1]
-        held = np.zeros(0, np.int64)
-        if len(g):
-            ctx = g >> np.uint64(8)
-            at = np.searchsorted(here, ctx)
-            ok = (at < len(here)) & (here[np.minimum(at, len(here) - 1)] == ctx) if len(here) else np.zeros(len(g), bool)
-            held, sym, c = at[ok], classes[(g[ok] & MASK[1]).astype(np.int64)], c[ok]
-        gain = np.zeros((len(here), m))
-        if len(held):
-            gain[held, sym] = np.maximum(c - DISCOUNT, 0) / counts[held]
-        left = np.clip(1 - gain.sum(1, keepdims=True), 1e-9, 1)
-        prob[rows] = gain + left * below
-        if k + 1 < ORDER and len(contexts[k + 1][0]):
-            longer = contexts[k + 1][0]
-            at = np.searchsorted(here, longer >> np.uint64(8))
-            ok = (at < len(here)) & (here[np.minimum(at, len(here) - 1)] == longer >> np.uint64(8)) if len(here) else np.zeros(len(longer), bool)
-            nxt[rows[at[ok]], classes[(longer[ok] & MASK[1]).astype(np.int64)]] = first[k + 1] + np.flatnonzero(ok)
-    return {"classes": classes, "next": nxt.ravel(), "logp": np.log10(prob).astype(np.float32).ravel(), "m": m}
-
-
-def walk(symbols: np.ndarray, a: dict) -> np.ndarray:
-    """log10 probability of each symbol: the state is carried left to right, in many stretches of the text at once.
-
-    No context has more than ORDER - 1 symbols, so a stretch that starts so many symbols early is in the right state.
-    """
-    n, lead = len(symbols), ORDER - 1
-    out = np.zeros(n)
-    width = max(1, -(-n // SEGMENT))
-    cls = np.concatenate([np.full(lead, a["classes"][EDGE]), a["classes"][symbols], np.full(width * SEGMENT - n, a["classes"][EDGE])])
-    start = np.arange(width) * SEGMENT
-    state = np.zeros(width, np.int64)
-    whole = np.zeros((SEGMENT, width), np.float32)
-    for t in range(-lead, SEGMENT):
-        at = state * a["m"] + cls[start + (t + lead)]
-        if t >= 0:
-            whole[t] = a["logp"][at]
-        state = a["next"][at]
-    out[:] = whole.T.ravel()[:n]
-    return out
-
-
-def fit(counts: DataFrame) -> dict:
-    """The model from gathered counts: token totals, frequent tokens and n-grams, and the table of all n-grams. What
-    reaches the driver is bounded by 1/FREQUENT and 1/COMMON rows; the rest is looked up by joins."""
-    tokens = counts.where(F.col("kind") == TOKEN)
-    n, v = tokens.agg(F.sum("n"), F.count(F.lit(1))).first()
-    n, v = n or 0, v or 0
-    often = tokens.where(F.col("n") >= max(1.0, FREQUENT * n)).select("key", "n").toPandas()
-    order = np.argsort(often.key.to_numpy().view(np.uint64), kind="stable")
-    spelled = written(spelling(counts.where(F.col("kind") == GRAM)))
-    common = max(1.0, COMMON * (spelled.agg(F.sum("seen")).first()[0] or 0))
-    known = spelled.where(F.col("seen") >= common).select("key", "lp").toPandas().sort_values("key")
-    small = {"n": n, "v": v, "keys": often.key.to_numpy().view(np.uint64)[order], "counts": often.n.to_numpy()[order].astype(np.float64), "grams": known.key.to_numpy().astype(np.uint64), "lp": known.lp.to_numpy().astype(np.float64)}
-    return {"small": small, "tokens": tokens.where(F.col("n") < max(1.0, FREQUENT * n)).select("key", "n"), "grams": spelled.where(F.col("seen") < common).select("key", "lp")}
-
-
-def _find(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether each key is in the sorted table, its value or 0)."""
-    if not len(table):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    uniq, back = np.unique(keys, return_inverse=True)
-    at = np.minimum(np.searchsorted(table, uniq), len(table) - 1)
-    hit = table[at] == uniq
-    return hit[back], np.where(hit, values[at], 0)[back]
+            for _, data, offs in text_chunks(batch.column(0), 1 << 22):
+                yield from tally.add(keys(tokens_of(data, offs)[0]))
+        yield from tally.flush()
+
+    return train.select("text").mapInArrow(batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame) -> dict:
+    """Totals, hot words and the arcs between them, from the training texts: what the driver and each task may hold."""
+    train = docs.where(crc_mod(F.col("doc_id"), 5) != 1)
+    words = written(_counted(train, lambda t: t))
+    n, v = words.agg(F.sum("n"), F.count(F.lit(1))).first()
+    n, v = int(n or 0), int(v)
+    often = sorted((r["key"] % (1 << 64), r["n"]) for r in words.where(F.col("n") * HOT >= max(1, n)).collect())
+    hot, counts = np.array([k for k, _ in often], np.uint64), np.array([c for _, c in often], np.float64)
+
+    def pairs(tokens: np.ndarray) -> np.ndarray:
+        at = _at(tokens, hot)
+        state = np.concatenate([_at(np.array([END]), hot), at[:-1]])
+        both = (at >= 0) & (state >= 0)
+        return (state[both] * HOT + at[both]).astype(np.uint64)
+
+    arcs = sorted((r["key"], r["n"]) for r in _counted(train, pairs).where(F.col("n") >= max(1.0, SHARE * n)).collect()) if len(hot) else []
+    return {"n": n, "v": v, "big": n + 0.5 * (v + 1), "hot": hot, "counts": counts, "arcs": np.array([k for k, _ in arcs], np.int64), "arc_counts": np.array([c for _, c in arcs], np.float64)}
+
+
+def _step(pair: np.ndarray, word: np.ndarray, big: float) -> np.ndarray:
+    """log10 of an arc's weight before its state's share is divided out: the arc itself, or failure and the root's arc."""
+    return np.log10(pair + PRIOR * (word + 0.5) / big)
+
+
+def _state(word: np.ndarray) -> np.ndarray:
+    """log10 of what divides all arcs of the state that a token leads to."""
+    return -np.log10(word + PRIOR)
+
+
+def _walk(texts: list[pa.Array], ids: list[pa.Array], train: np.ndarray, model: dict, buckets: int, block: int) -> Iterator[pa.RecordBatch]:
+    """One block: sums of the steps that the broadcast tables settle, and the other steps by bucket."""
+    parts = [tokens_of(data, offs) for t in texts for _, data, offs in text_chunks(t, 1 << 22)]
+    tokens = np.concatenate([t for t, _ in parts])
+    lengths = np.concatenate([np.diff(b) for _, b in parts])
+    state, row = _before(tokens), np.repeat(np.arange(len(lengths)), lengths)
+    at = _at(tokens, model["hot"])
+    known = at >= 0
+    add = lambda v, r: np.bincount(r, v, len(lengths))
+    c = model["counts"][at[known]]
+    base, score = add(np.log10((c + 0.5) / model["big"]), row[known]), add(_state(c), row[known])
+    seen = np.bincount(row[known], minlength=len(lengths))
+    before = np.concatenate([_at(np.array([END]), model["hot"]), at[:-1]])
+    arc = np.where(known & (before >= 0), _at(before * HOT + at, model["arcs"]), -1)
+    took = arc >= 0
+    score += add(_step(model["arc_counts"][arc[took]], model["counts"][at[took]], model["big"]), row[took])
+    kept = pa.concat_arrays(ids)
+    yield _record(block % buckets, TEXTS, block, [lengths.astype(np.int64), seen.astype(np.int64), base, score], kept)
+    left = np.flatnonzero(~took)
+    w, v, r = tokens[left], state[left], row[left]
+    to = mix(np.where(at[left] >= 0, w ^ mix(v), w)) % np.uint64(buckets)
+    for kind, of in ((TRAIN, train[r]), (HELD, ~train[r])):
+        pick = np.flatnonzero(of)
+        pick = pick[np.lexsort((r[pick], w[pick], to[pick]))]
+        edges = np.searchsorted(to[pick], np.arange(buckets + 1, dtype=np.uint64))
+        for k in np.flatnonzero(np.diff(edges)):
+            x = pick[edges[k] : edges[k + 1]]
+            yield _record(int(k), kind, block, [w[x], mix(v[x]).view(np.uint8).reshape(-1, 8)[:, :LEAST], r[x].astype(np.uint16)], kept[:0])
+
+
+def _settle(steps: list[dict], model: dict, none: pa.Array) -> Iterator[pa.RecordBatch]:
+    """One bucket: the weights of its steps, summed by block and row. Of each record that came, one goes: rows and their
+    scores, rows with rare words and what these add to base and known tokens."""
+    w = np.concatenate([_array(r["a"], np.uint64) for r in steps])
+    before = np.zeros((len(w), 8), np.uint8)
+    before[:, :LEAST] = np.concatenate([_array(r["b"], np.uint8).reshape(-1, LEAST) for r in steps])
+    rows = [_array(r["c"], np.uint16).astype(np.int64) for r in steps]
+    train = np.repeat([r["kind"].as_py() == TRAIN for r in steps], [len(x) for x in rows])
+    uniq, back = np.unique(w, return_inverse=True)
+    count = np.bincount(back, train)
+    at = _at(uniq, model["hot"])
+    count[at >= 0] = model["counts"][at[at >= 0]]
+    count, rare = count[back], (at < 0)[back]
+    _, back = np.unique(mix(w ^ mix(before.view(np.uint64).ravel())), return_inverse=True)
+    weight = _step(np.bincount(back, train)[back], count, model["big"]) + np.where(rare, _state(count), 0)
+    base = np.log10((count + 0.5) / model["big"])
+    lo = 0
+    for r, row in zip(steps, rows, strict=True):
+        mine = slice(lo, lo := lo + len(row))
+        seldom = row[rare[mine]]
+        total = lambda at, values: np.bincount(at, values, ROWS)
+        here, there = np.flatnonzero(total(row, None)), np.flatnonzero(total(seldom, None))
+        new, known = base[mine][rare[mine]], (count[mine] > 0)[rare[mine]]
+        parts = [here.astype(np.uint16), total(row, weight[mine])[here].astype(np.float32), there.astype(np.uint16), total(seldom, new)[there], total(seldom, known)[there].astype(np.uint32)]
+        yield _record(0, TRAIN, r["block"].as_py(), parts, none)
+
+
+def _array(value: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
+
+
+def _groups(it: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Runs of rows with the same key, in the order in which they come."""
+    run: list[dict] = []
+    for batch in it:
+        for row in (dict(zip(batch.schema.names, (c[i] for c in batch.columns), strict=True)) for i in range(len(batch))):
+            if run and run[-1][key] != row[key]:
+                yield run
+                run = []
+            run.append(row)
+    if run:
+        yield run
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    Training rows are those whose crc32 of the id modulo 5 is not 1. A token's probability in ``score`` mixes its
-    spelling by the automaton with its smoothed frequency. Null texts count as empty
-    (their end is a token); null ids hash as the empty text; repeated rows count each time; without training rows the
-    automaton is uniform. Words are held by 64-bit hashes. Rare tokens and n-grams are looked up by joins, so every
-    count of the training texts has its part in the scores.
+    Training rows are those whose crc32 of the id modulo 5 is not 1; only they make states and arcs, all of them, however
+    rare. Null texts count as empty (their end is a token); null ids hash as the empty text; repeated rows count each
+    time; without training rows every score is 0, as the base formula has it. Words are held by 64-bit hashes, the state
+    of a step by 40 further bits. Extra columns are ignored; an empty table gives no rows. The largest group that meets
+    in one task is a word below 1/HOT of all tokens, or a pair of hot words below SHARE of them.
     """
     ship(docs.sparkSession)
-    model = fit(written(gather(docs)))
-    shared = docs.sparkSession.sparkContext.broadcast(model["small"])
-    n, v = model["small"]["n"], model["small"]["v"]
-    big = n + 0.5 * (v + 1)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    kind = dict(docs.dtypes)["doc_id"]
+    fields = FIELDS.format(kind)
+    model = fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    buckets = max(1, -(-int(model["n"] * 1.25) // BUCKET))
+
+    def walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, train, size, n, part = [], [], [], 0, 0, TaskContext.get().partitionId() << 32
         for batch in it:
-            for lo, data, offs in text_chunks(batch.column(1)):
-                symbols, begin, before, hashes, is_end = stream(data, offs)
-                tokens = np.full(len(begin), END)
-                tokens[~is_end] = hashes
-                known, c = _find(tokens, m["keys"], m["counts"])
-                # spelled symbols of each token; the edges before a text belong to none
-                stops = np.append(begin[1:], len(symbols))
-                stops[is_end] = begin[is_end] + 1
-                windows = _windows(symbols)
-                common, lp = _find(windows, m["grams"], m["lp"])
-                run = np.concatenate([[0.0], np.cumsum(lp)])
-                spelled = run[stops] - run[begin]
-                gaps = np.flatnonzero(~common)
-                of = np.searchsorted(begin, gaps, "right") - 1
-                inside = (of >= 0) & (gaps < stops[of])
-                gaps, of = gaps[inside], of[inside]
-                whole = known.copy()
-                whole[of] = False
-                score = np.logaddexp(np.log((1 - SPELLED) * (c + 0.5) / big), spelled * math.log(10) + math.log(SPELLED)) / math.log(10)
-                sums = lambda x: np.add.reduceat(x, before[:-1])  # noqa: E731, B023
-                rows = len(offs) - 1
-                row = np.repeat(np.arange(rows), np.diff(before))
-
-                def lists(at: np.ndarray, **cols: pa.Array) -> pa.Array:
-                    edges = np.searchsorted(row[at], np.arange(rows + 1))  # noqa: B023
-                    t = pa.array((at - before[row[at]]).astype(np.int32))  # noqa: B023
-                    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([t, *cols.values()], ["t", *cols]))
-
-                left = np.flatnonzero(~whole)
-                keys = np.frombuffer(random.token_bytes(8 * rows), np.int64)
-                todo = lists(left, key=pa.array(tokens[left].view(np.int64)), c=pa.array(c[left], mask=~known[left]), sp=pa.array(spelled[left]))
-                cols = [batch.column(0).slice(lo, rows), pa.array(keys), pa.array(np.diff(before)), pa.array(sums(known.astype(np.int64))), pa.array(sums(np.where(known, np.log10(c + 0.5), 0))), pa.array(sums(np.where(whole, score, 0))), todo, lists(of, key=pa.array(windows[gaps].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_key", "n_tokens", "_known", "_base", "_score", "_todo", "_gaps"])
-
-    id_type = dict(docs.dtypes)["doc_id"]
-    scored = written(docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {id_type}, _key long, n_tokens long, _known long, _base double, _score double, _todo array<struct<t:int,key:long,c:double,sp:double>>, _gaps array<struct<t:int,key:long>>"))
-    todo = scored.select("_key", F.inline("_todo"))
-    none = lambda t: F.lit(None).cast(t)
-    # frequent tokens with rare n-grams, rare tokens with their counts, and the rare n-grams of both
-    parts = todo.where("c is not null").select("_key", "t", "sp", "c", none("double").alias("n"), F.lit(0).alias("rare"))
-    parts = parts.unionByName(todo.where("c is null").join(model["tokens"], "key", "left").select("_key", "t", "sp", "c", F.col("n").cast("double").alias("n"), F.lit(1).alias("rare")))
-    parts = parts.unionByName(scored.select("_key", F.inline("_gaps")).join(model["grams"], "key").select("_key", "t", F.col("lp").alias("sp"), none("double").alias("c"), none("double").alias("n"), F.lit(0).alias("rare")))
-    each = parts.repartition("_key").groupBy("_key", "t").agg(F.sum("sp").alias("sp"), F.max("c").alias("c"), F.max("n").alias("n"), F.max("rare").alias("rare"))
-    c = F.coalesce("c", "n", F.lit(0.0)) + 0.5
-    # the greater addend first: neither may underflow
-    freq, spell = F.log10(c) + F.lit(math.log10((1 - SPELLED) / big)), F.col("sp") + math.log10(SPELLED)
-    mixed = F.greatest(freq, spell) + F.log10(F.lit(1.0) + F.pow(F.lit(10.0), -F.abs(freq - spell)))
-    more = each.groupBy("_key").agg(F.sum(F.when(F.col("rare") == 1, F.log10(c))).alias("_more"), F.sum(mixed).alias("_better"), F.count("n").alias("_seen"))
-    out = scored.drop("_todo", "_gaps").join(more, "_key", "left")
-    base = F.col("_base") + F.coalesce("_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(big))
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("_score") + F.coalesce("_better", F.lit(0.0))).alias("score"))
+            ids.append(batch.column(0))
+            texts.append(batch.column(1))
+            train.append(batch.column(2).to_numpy(zero_copy_only=False))
+            size += batch.column(1).nbytes
+            n += len(batch)
+            if size >= 6 * BLOCK or n >= ROWS // 2:
+                yield from blocks(ids, texts, train, part)
+                part += 1 + n // ROWS
+                ids, texts, train, size, n = [], [], [], 0, 0
+        if n:
+            yield from blocks(ids, texts, train, part)
+
+    def blocks(ids: list, texts: list, train: list, first: int) -> Iterator[pa.RecordBatch]:
+        if sum(map(len, ids)) <= ROWS:
+            yield from _walk(texts, ids, np.concatenate(train), shared.value, buckets, first)
+            return
+        every, whole, flags = pa.concat_arrays(ids), pa.concat_arrays(texts), np.concatenate(train)
+        for k, lo in enumerate(range(0, len(every), ROWS)):
+            yield from _walk([whole.slice(lo, ROWS)], [every.slice(lo, ROWS)], flags[lo : lo + ROWS], shared.value, buckets, first + k)
+
+    def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _groups(it, "bucket"):
+            steps = [r for r in run if r["kind"].as_py() != TEXTS]
+            for r in run:
+                if r["kind"].as_py() == TEXTS:
+                    yield _record(0, TEXTS, r["block"].as_py(), [_array(r[x], np.uint8) for x in "abcd"], r["ids"].values)
+            if steps:
+                yield from _settle(steps, shared.value, run[0]["ids"].values[:0])
+
+    def combine(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _groups(it, "block"):
+            (own,) = [r for r in run if r["kind"].as_py() == TEXTS]
+            n, known, base, score = (_array(own[x], t).copy() for x, t in zip("abcd", (np.int64, np.int64, np.float64, np.float64), strict=True))
+            for r in run:
+                if r is not own:
+                    score[_array(r["a"], np.uint16)] += _array(r["b"], np.float32)
+                    rare = _array(r["c"], np.uint16)
+                    base[rare] += _array(r["d"], np.float64)
+                    known[rare] += _array(r["e"], np.uint32)
+            yield pa.RecordBatch.from_arrays([own["ids"].values, pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    each = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 5) != 1).alias("train"))
+    steps = each.mapInArrow(walk, fields).repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket")
+    sums = steps.mapInArrow(settle, fields).repartition("block").sortWithinPartitions("block")
+    out = sums.mapInArrow(combine, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")

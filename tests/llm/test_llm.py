@@ -280,57 +280,67 @@ def test_containment(docs, rows, spark):
     assert find(docs, items.limit(0)).count() == 0 and find(docs.limit(0), items).count() == 0
 
 
-def test_language_model(docs, rows):
-    from evalsift.llm.backoff import score_documents
-
-    mod = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5
-    tokens = [(d, [*words((t or "").translate(FOLD)), None]) for d, t, _, _ in rows]
-    c = collections.Counter(w for d, ws in tokens if mod(d) != 1 for w in ws)
+def plain_model(rows):
+    """(counts, pair counts, N, V, p(w), p(w | v)) from training texts; None is the end token."""
+    from evalsift.llm.backoff import PRIOR
+
+    c, pairs = collections.Counter(), collections.Counter()
+    for d, t in rows:
+        if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1:
+            ws = [*words((t or "").translate(FOLD)), None]
+            c.update(ws)
+            pairs.update(zip([None, *ws[:-1]], ws, strict=True))
     n, v = sum(c.values()), len(c)
-    want = sorted((str(d), mod(d) == 1, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 4)) for d, ws in tokens)
-    got = score_documents(docs).collect()
-    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
+    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    return c, pairs, n, v, p, lambda u, w: (pairs[u, w] + PRIOR * p(w)) / (c[u] + PRIOR)
+
+
+def check_language_model(got, rows):
+    c, _, n, _, p, arc = plain_model(rows)
+    want = []
+    for d, t in rows:
+        ws = [*words((t or "").translate(FOLD)), None]
+        held = zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
+        want.append((str(d), held, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10(p(w)) for w in ws), sum(math.log10(arc(u, w)) for u, w in zip([None, *ws[:-1]], ws, strict=True))))
+    got = [(str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got]
+    assert len(got) == len(want)
+    for x, y in zip(sorted(got), sorted(want), strict=True):
+        assert x[:5] == y[:5] and abs(x[5] - y[5]) < 1e-6 * max(1, abs(y[5])) and abs(x[6] - y[6]) < 1e-5 * max(1, abs(y[6])), (x, y)
+
+
+def test_language_model(docs, rows, monkeypatch):
+    """Scores against backoff word by word; few and many buckets, blocks, hot words and broadcast arcs give the same."""
+    from evalsift.llm import backoff as B
+
+    flat = [(d, t) for d, t, _, _ in rows]
+    got = B.score_documents(docs).collect()
+    check_language_model(got, flat)
     held = [r for r in got if r["held_out"] and r["doc_id"] and r["doc_id"] < 900000]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) and all(r["score"] < 0 for r in got)
-    assert score_documents(docs.limit(0)).count() == 0
+    assert B.score_documents(docs.limit(0)).count() == 0
+    for k, v in {"BUCKET": 1 << 12, "BLOCK": 1 << 10, "ROWS": 40, "HOT": 50, "SHARE": 1e-3}.items():
+        monkeypatch.setattr(B, k, v)
+    check_language_model(B.score_documents(docs).collect(), flat)
 
 
-def test_automaton_is_a_distribution_and_walks_like_backoff():
-    from evalsift.llm import backoff as B
+def test_language_model_keeps_rare_and_unseen(spark):
+    """A pair seen once in a large corpus is an arc; without training rows all scores are 0."""
+    from evalsift.llm.backoff import score_documents
+
+    rows = [(i, "the same few words over and over " * 30) for i in range(200)] + [(500 + i, f"quixotic zephyr{i} jumps") for i in range(20)] + [(600, "quixotic zephyr jumps vexed"), (601, ""), (602, "the quixotic"), (None, None), (602, "the quixotic")]
+    check_language_model(score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    got = score_documents(spark.createDataFrame([(lone, "a b c")], "doc_id long, text string")).first()
+    assert got["score"] == got["base_score"] == got["train_tokens"] == 0 and got["n_tokens"] == 4
+
 
-    data = np.frombuffer(b"abracadabra abracadabra banana band " * 40, np.uint8)
-    symbols, *_ = B.stream(data, np.array([0, len(data)]))
-    codes = B._codes(symbols)
-    assert len(codes) == (symbols != B.EDGE).sum() + 1
-
-    def table(k, ctx):
-        g = (codes >> np.uint64(8)) & B.MASK[k] if ctx else codes & B.MASK[k]
-        u, c = np.unique(g, return_counts=True)
-        return u, c.astype(float)
-
-    arcs, ctxs = {k: table(k, False) for k in range(1, 6)}, {k: table(k, True) for k in range(1, 5)}
-    a = B.automaton(arcs, ctxs, len(codes))
-    p = 10.0 ** a["logp"].reshape(-1, a["m"])
-    used = a["m"] - 1
-    assert np.allclose(p[:, :used].sum(1) + p[:, used] * (257 - used), 1, atol=1e-4)
-    arc = {k: dict(zip(*map(list, arcs[k]), strict=True)) for k in arcs}
-    ctx = {k: dict(zip(*map(list, ctxs[k]), strict=True)) for k in ctxs}
-
-    def prob(h, x):
-        if not h:
-            below, total, seen = 1 / 257, len(codes), arc[1]
-        else:
-            code = int.from_bytes(bytes(h), "big")
-            if code not in ctx[len(h)]:
-                return prob(h[1:], x)
-            below, total, seen = prob(h[1:], x), ctx[len(h)][code], arc[len(h) + 1]
-        mine = [max(c - B.DISCOUNT, 0) for g, c in seen.items() if not h or int(g) >> 8 == int.from_bytes(bytes(h), "big")]
-        full = int.from_bytes(bytes([*h, x]), "big")
-        return max(seen.get(full, 0) - B.DISCOUNT, 0) / total + max(1e-9, 1 - sum(mine) / total) * below
-
-    s = symbols.tolist()
-    lp = B.walk(symbols, a)
-    assert all(abs(10 ** lp[i] - prob(s[i - 4 : i], s[i])) < 1e-4 for i in range(4, 120))
+def test_automaton_states_are_distributions():
+    """Arcs of a state, and what its failure arc leads on to, sum to one over all words and one word never seen."""
+    texts = [(i, t) for i, t in enumerate(["a b a b c", "b c", "a a a d", "", "c d a b"] * 3)]
+    c, pairs, n, v, p, arc = plain_model(texts)
+    assert pairs and n
+    for state in [*c, "unseen"]:
+        assert abs(sum(arc(state, w) for w in [*c, "never"]) - 1) < 1e-9
 
 
 def test_urls(spark):
@@ -417,33 +427,6 @@ def test_pipeline(spark, tmp_path):
     assert ids(last) == ids(docs) and last.select("shard").distinct().count() == 24
 
 
-def test_language_model_keeps_every_ngram(spark, monkeypatch):
-    """Scores against the plain automaton over all n-grams, however rare they are in a large corpus; broadcast and joined look-ups agree."""
-    from evalsift.llm import backoff as B
-
-    mod = lambda d: zlib.crc32(str(d).encode()) % 5
-    common = "the same few words over and over " * 30
-    texts = {i: common for i in range(400)} | {500 + i: f"quixotic zephyr{i} jumps" for i in range(20)} | {600: "quixotic zephyr jumps vexed", 601: "", 602: "the quixotic"}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    join = lambda ts: B.stream(*(lambda b: (np.frombuffer(b"".join(b), np.uint8), np.cumsum([0, *map(len, b)])))([t.encode() for t in ts]))
-    train = [t for d, t in texts.items() if mod(d) != 1]
-    codes = B._codes(join(train)[0])
-    table = lambda g: (lambda u, c: (u, c.astype(float)))(*np.unique(g, return_counts=True))
-    a = B.automaton({k: table(codes & B.MASK[k]) for k in range(1, 6)}, {k: table((codes >> np.uint64(8)) & B.MASK[k]) for k in range(1, 5)}, len(codes))
-    count = collections.Counter(w for t in train for w in [*words(t), None])
-    big = sum(count.values()) + 0.5 * (len(count) + 1)
-    want = {}
-    for d, t in texts.items():
-        symbols, begin, _, _, is_end = join([t])
-        lp, ends = B.walk(symbols, a), np.append(begin[1:], len(symbols))
-        want[d] = sum(math.log10((1 - B.SPELLED) * (count[w] + 0.5) / big + B.SPELLED * 10 ** lp[b:e].sum()) for w, b, e in zip([*words(t), None], begin, ends, strict=True))
-    for share in (B.COMMON, 1e-2, 1.0):
-        monkeypatch.setattr(B, "COMMON", share)
-        monkeypatch.setattr(B, "FREQUENT", share)
-        got = {r["doc_id"]: r["score"] for r in B.score_documents(df).collect()}
-        assert all(abs(got[d] - want[d]) < 1e-3 * max(1, abs(want[d])) for d in texts), share
-
-
 def test_secrets_in_env_lines(spark):
     """A name that is one run with its value, and values of letters or digits alone; names and prose are no secrets."""
     from evalsift.llm.secrets import find_secrets
