@@ -107,6 +107,11 @@ def plausible_code(text: Column) -> Column:
     return F.when(text.startswith("ERR_"), 0).otherwise((F.contains(text, F.lit("return ")) | F.contains(text, F.lit("def "))).cast("int"))
 
 
+def json_cases(text: Column, item: str, most: int = 5) -> Column:
+    """The first ``most`` items of a JSON array in a string; none where it is missing or malformed."""
+    return F.slice(F.coalesce(F.from_json(text, f"array<{item}>"), F.array().cast(f"array<{item}>")), F.lit(1), F.lit(most))
+
+
 def render_item(benchmark: Column, fallback: Column) -> Column:
     """One text for an item: the registered renderer of its benchmark, else ``fallback``."""
     out = None
@@ -122,19 +127,54 @@ def grade(benchmark: Column, pred: Column, gold: Column) -> Column:
     return out.otherwise(0)
 
 
-c = F.col
-#: Templates by benchmark: fixed forms over the columns question, choices, context, solution, tests.
+def _or_empty(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def _lines(*parts: Column | str) -> Column:
+    """Parts one below another; a string is the label of the part after it."""
+    out, label = [], None
+    for p in parts:
+        if isinstance(p, str):
+            label = p
+        else:
+            out.append(F.concat(F.lit(label), p) if label else p)
+            label = None
+    return F.array_join(F.array(*out), "\n")
+
+
+def _letter(at: Column) -> Column:
+    return F.char(F.lit(65) + at)
+
+
+def listed(labels: Column, texts: Column) -> Column:
+    """``label. text``, a line each."""
+    return F.array_join(F.zip_with(labels, texts, lambda a, b: F.concat(a, F.lit(". "), b)), "\n")
+
+
+def judged(texts: Column, labels: Column) -> Column:
+    """``text (label)``, a line each."""
+    return F.array_join(F.zip_with(texts, labels, lambda a, b: F.concat(a, F.lit(" ("), b, F.lit(")"))), "\n")
+
+
+c = _or_empty
+#: Templates by benchmark, over the columns question, answer, subject, choices, labels, label, context and solution:
+#: fixed values, since overlap with a corpus is measured on these very texts.
 for _name, _build in {
-    "gsm8k": lambda: F.concat_ws("\n", F.concat(F.lit("Question: "), c("question")), F.concat(F.lit("Answer: "), c("solution"))),
-    "mmlu": lambda: F.concat_ws("\n", c("question"), mc_options(c("choices"))),
-    "arc_challenge": lambda: F.concat_ws("\n", c("question"), mc_options(c("choices"))),
-    "hellaswag": lambda: F.concat_ws(" ", c("context"), F.get(c("choices"), F.lit(0))),
+    "gsm8k_test": lambda: _lines("Question: ", c("question"), "Answer: ", c("answer")),
+    "mmlu_test": lambda: _lines("Subject: ", c("subject"), "Question: ", c("question"), mc_options(F.col("choices")), "Answer: ", _letter(F.col("label"))),
+    "hellaswag_val": lambda: _lines("Context: ", c("context"), "Continuation: ", F.get(F.col("choices"), F.col("label"))),
+    "arc_challenge": lambda: _lines("Question: ", c("question"), listed(F.col("labels"), F.col("choices")), "Answer: ", c("answer")),
     "humaneval": lambda: F.concat(c("question"), c("solution")),
-    "mbpp": lambda: F.concat_ws("\n", c("question"), c("solution")),
-    "math": lambda: F.concat_ws("\n", F.concat(F.lit("Problem: "), c("question")), F.concat(F.lit("Solution: "), c("solution"))),
-    "truthfulqa": lambda: F.concat_ws("\n", c("question"), F.get(c("choices"), F.lit(0))),
-    "bbh": lambda: F.concat_ws("\n", c("question"), c("solution")),
+    "mbpp": lambda: _lines(c("question"), c("solution")),
+    "math": lambda: _lines("Problem: ", c("question"), "Solution: ", c("solution")),
+    "math500": lambda: _lines("Problem: ", c("question"), "Solution: ", c("solution")),
+    "truthfulqa_mc": lambda: _lines("Question: ", c("question"), judged(F.col("choices"), F.col("labels"))),
+    "bbh": lambda: _lines(c("question"), "Answer: ", c("answer")),
+    "agieval": lambda: _lines(c("question"), "Answer: ", c("answer")),
+    "aime2024": lambda: _lines("Problem: ", c("question"), "Answer: ", c("answer")),
+    "livecodebench": lambda: _lines(c("question"), c("solution")),
 }.items():
     register_renderer(_name, _build)
-for _name, _grader in {"gsm8k": lambda p, g: (last_number(p) == gold_number(g)).cast("int"), "mmlu": letter_match, "hellaswag": letter_match, "arc_challenge": letter_match, "humaneval": prefix_match, "mbpp": prefix_match, "math": grade_numeric}.items():
+for _name, _grader in {"gsm8k_test": lambda p, g: (last_number(p) == gold_number(g)).cast("int"), "mmlu_test": letter_match, "hellaswag_val": letter_match, "arc_challenge": letter_match, "humaneval": prefix_match, "mbpp": prefix_match, "math": grade_numeric}.items():
     register_grader(_name, _grader)

@@ -84,6 +84,34 @@ def hypergeom_cdf(k: Column, total: Column, good: Column, draws: Column) -> Colu
     return F.when(k < first, 0.0).otherwise(F.least(out, F.lit(1.0)))
 
 
+def binomial_draw(n: Column, k: Column, uniforms: Column) -> Column:
+    """Binomial(n, k / n) numbers from an array of uniforms, by inversion: how many values of the distribution function
+    lie below each. The function is tabled from 12 deviations below the mean to 12 above (beyond lies less than 1e-30)."""
+    m, p = k.cast("double"), k / n
+    wide = F.ceil(12 * F.sqrt(m * (1 - p)) + 12)
+    lo, hi = F.greatest(F.lit(0.0), F.floor(m - wide)).cast("long"), F.least(n.cast("double"), F.ceil(m + wide)).cast("long")
+    start = F.exp(log_choose(n, lo) + lo * F.log(p) + (n - lo) * F.log(1 - p))
+
+    def step(acc: Column, x: Column) -> Column:
+        nxt = acc["p"] * (n - x) / (x + 1) * p / (1 - p)
+        return F.struct(nxt.alias("p"), F.concat(acc["out"], F.array(F.element_at(acc["out"], -1) + nxt)).alias("out"))
+
+    table = F.aggregate(F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>")), F.struct(start.alias("p"), F.array(start).alias("out")), step)["out"]
+
+    def place(u: Column, cdf: Column) -> Column:
+        """How many entries of the sorted ``cdf`` lie below u, by halving."""
+        def halve(acc: Column, _: Column) -> Column:
+            mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+            below = F.get(cdf, mid) < u
+            going = acc["lo"] < acc["hi"]
+            return F.struct(F.when(going & below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(going & ~below, mid).otherwise(acc["hi"]).alias("hi"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(cdf) + 1)).cast("int") + 1), F.struct(F.lit(0).alias("lo"), F.size(cdf).alias("hi")), halve)["lo"]
+
+    drawn = F.transform(F.array(table), lambda cdf: F.transform(uniforms, lambda u: lo + place(u, cdf)))[0]
+    return F.when((k > 0) & (k < n), drawn).otherwise(F.transform(uniforms, lambda u: k.cast("long")))
+
+
 def mde(p: Column, n1: Column, n2: Column, z_alpha: float = 1.6448536, z_power: float = 0.8416212) -> Column:
     """The least gap that is found with the wanted power; null at rates of 0 and 1, where the formula has no meaning."""
     return F.when((p > 0) & (p < 1), (z_alpha + z_power) * F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .peers import difficulty_quantile, nearest_match
 from .ranks import best_threshold, curve, f1, prf, roc_auc
 from .resample import md5_order
 
@@ -83,6 +84,43 @@ def score(model: dict, policy: str = "mean") -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def deployment_gap(scored: DataFrame, keys: list[str], least: int = 20, low: float = 0.1, high: float = 0.5) -> DataFrame:
+    """(n_cells, mean_gap, correct_dir): over cells with ``least`` rows below ``low`` and above ``high``, the mean gap in
+    ``correct`` between the two, and the share of cells where the upper rows fare better. One row."""
+    clean, contam = F.col("score") < low, F.col("score") > high
+    cells = scored.groupBy(*keys).agg(F.count_if(clean).alias("_n0"), F.count_if(contam).alias("_n1"), (F.avg(F.when(clean, F.col("correct"))) - F.avg(F.when(contam, F.col("correct")))).alias("_gap"))
+    return cells.where((F.col("_n0") >= least) & (F.col("_n1") >= least)).agg(F.count("_gap").alias("n_cells"), F.avg("_gap").alias("mean_gap"), F.avg((F.col("_gap") < 0).cast("double")).alias("correct_dir"))
+
+
+def matched_rows(rows: DataFrame, features: list[str], value: str, label: str, row: str, variant: str) -> DataFrame:
+    """(variant, split, label, features, difficulty): the positives of each variant, and for each of them the negative
+    nearest in ``value``, repeated as often as it is the nearest. ``difficulty`` is the row's quantile in its variant."""
+    ranked = difficulty_quantile(rows, value, [variant], row).select(variant, row, "split", label, *features, "difficulty")
+    pos, neg = ranked.where(F.col(label) == 1), ranked.where(F.col(label) == 0)
+    near = nearest_match(rows.where(F.col(label) == 1), rows.where(F.col(label) == 0), value, row, [variant]).where(F.col("match").isNotNull()).select(variant, F.col("match").alias(row))
+    return pos.unionByName(neg.join(near, [variant, row]))
+
+
+def difficulty_matched(rows: DataFrame, features: list[str], value: str, label: str, row: str, variant: str) -> DataFrame:
+    """(n_dev, n_val, auc, f1) of an ensemble with the difficulty quantile, fitted on the matched rows of dev variants."""
+    matched = matched_rows(rows, features, value, label, row, variant).fillna(0.0, [*features, "difficulty"])
+    model = fit_ensemble(matched.where("split = 'dev'"), [*features, "difficulty"], label)
+    val = matched.where("split = 'val'").withColumn("score", score(model))
+    sizes = matched.agg(F.count_if(F.col("split") == "dev").alias("n_dev"), F.count_if(F.col("split") == "val").alias("n_val"))
+    return sizes.crossJoin(F.broadcast(roc_auc(val, "score", label, []))).crossJoin(F.broadcast(max_f1(val, "score", label, []))).select("n_dev", "n_val", "auc", F.col("max_f1").alias("f1"))  # one row each
+
+
+def kmeans_strata(df: DataFrame, row: str, vector: str, k: int) -> DataFrame:
+    """(row, stratum): clusters of vectors; fewer than ``k`` rows are one stratum."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    if len(df.select(row).limit(k).take(k)) < k:
+        return df.select(row, F.lit(0).alias("stratum"))
+    e = df.select(row, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    return KMeans(k=k, seed=0).fit(e).transform(e).select(row, F.col("prediction").alias("stratum"))
+
+
 def score_with_table(df: DataFrame, ensemble: DataFrame, features: list[str], row: str) -> DataFrame:
     """(row, p): the same from a coefficient table (feature, mean, std, coef, intercept)."""
     lf = df.unpivot([row], [F.col(f).cast("double").alias(f) for f in features], "feature", "x")

@@ -30,7 +30,7 @@ def sample_rows(df: DataFrame, row: str, n: int = 3, seed: str = "sample") -> Da
 
 
 def max_cosine(queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """(key, best): the greatest dot product of each query with any corpus vector, at least 0.
+    """(key, best): the greatest dot product of each query with any corpus vector of another key, at least 0.
 
     Queries go in blocks of ``block`` rows, each a matrix beside a stream of corpus batches: a block is a broadcast of
     bounded size, and only its maxima leave a task.
@@ -49,9 +49,11 @@ def max_cosine(queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vecto
             top = np.zeros(len(ids))
             for pdf in it:
                 if len(pdf):
-                    top = np.maximum(top, (np.stack(pdf.iloc[:, 0].to_numpy()).astype(np.float64) @ m.T).max(0))
+                    dots = np.stack(pdf[vector].to_numpy()).astype(np.float64) @ m.T
+                    dots[pdf[key].to_numpy()[:, None] == ids] = -np.inf
+                    top = np.maximum(top, dots.max(0))
             yield pd.DataFrame({key: ids, "best": top})
 
-        one = corpus.select(vector).mapInPandas(best, f"{key} long, best double").groupBy(key).agg(F.max("best").alias("best"))
+        one = corpus.select(key, vector).mapInPandas(best, f"{key} long, best double").groupBy(key).agg(F.max("best").alias("best"))
         out = one if out is None else out.unionByName(one)
     return out if out is not None else queries.select(key, F.lit(0.0).alias("best"))

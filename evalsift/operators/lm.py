@@ -26,7 +26,7 @@ def token_logprobs(items: DataFrame, lm: DataFrame, by: str = "source", key: str
     toks = items.select(key, F.posexplode("t").alias("pos", "tok"))
     wanted = toks.select("tok").distinct()
     seen = lm.select(by, "tok", "c").join(wanted, "tok", "left_semi")
-    grid = toks.crossJoin(totals)  # a score for each part is the result asked for
+    grid = toks.crossJoin(F.broadcast(totals))  # a row a part; a score for each part is the result asked for
     return grid.join(seen, [by, "tok"], "left").select(by, key, "pos", logprob(F.coalesce("c", F.lit(0)), F.col("n"), F.col("v")).alias("lp"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .prefix import numbered, part_of, with_rank
+
 
 def capability_peers(models: DataFrame, k: int = 7, within: float | None = 0.15, least: int = 3) -> DataFrame:
     """(model, peer, diff, rank): up to ``k`` models of other families within the accuracy window, nearest first; models
@@ -31,8 +33,9 @@ def peer_delta(losses: DataFrame, peers: DataFrame) -> DataFrame:
 
 
 def within_z(df: DataFrame, value: str, keys: list[str], out: str = "z") -> DataFrame:
-    w = W.partitionBy(*keys)
-    return df.withColumn(out, (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + 1e-6))
+    """(x - mean) / (deviation + 1e-6) within ``keys``: one aggregate, joined back."""
+    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    return df.join(stats, keys).withColumn(out, (F.col(value) - F.col("_mean")) / (F.col("_sd") + 1e-6)).drop("_mean", "_sd")
 
 
 def robust_z(df: DataFrame, value: str, keys: list[str], out: str = "peer_z", pool: str | None = None) -> DataFrame:
@@ -61,17 +64,22 @@ def nearest_match(positives: DataFrame, negatives: DataFrame, value: str, row: s
 
 
 def difficulty_quantile(df: DataFrame, value: str, keys: list[str], row: str = "item_id") -> DataFrame:
-    w = W.partitionBy(*keys)
-    r = (F.row_number().over(w.orderBy(value, row)) - 1) / F.greatest(F.count(F.lit(1)).over(w) - 1, F.lit(1))
-    return df.withColumn("difficulty", r)
+    """``df`` with ``difficulty``: the place of a row in the order of its value (and row), from 0 to 1."""
+    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    r = numbered(df, keys, [F.col(value), F.col(row)], F.when(F.col(value).isNull(), F.lit(-1)).otherwise(part_of(df, value)), "_i")
+    return r.join(size, keys).withColumn("difficulty", F.col("_i") / F.greatest(F.col("_size") - 1, F.lit(1))).drop("_i", "_size")
 
 
 def spearman_matrix(losses: DataFrame) -> DataFrame:
     """(m1, m2, n, rho) of every pair of models over the items that all models have."""
     n = losses.select("model").distinct().agg(F.count(F.lit(1)).alias("_m"))
     common = losses.where("loss is not null").groupBy("item_id").agg(F.count_distinct("model").alias("_c")).crossJoin(F.broadcast(n)).where("_c = _m").select("item_id")  # one row
-    from .ranks import avg_rank
-
-    r = losses.join(common, "item_id", "left_semi").withColumn("_r", avg_rank("loss", ["model"]))
+    r = with_rank(losses.join(common, "item_id", "left_semi"), "loss", ["model"], "_r")
     a, b = r.select("item_id", F.col("model").alias("m1"), F.col("_r").alias("_r1")), r.select("item_id", F.col("model").alias("m2"), F.col("_r").alias("_r2"))
     return a.join(b, "item_id").where("m1 < m2").groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n"), F.corr("_r1", "_r2").alias("rho"))
+
+
+def spearman_summary(pairs: DataFrame) -> DataFrame:
+    """(pairs, mean, median, positive, above_03) of a matrix of correlations: one row."""
+    share = lambda c: F.avg(c.cast("double"))
+    return pairs.agg(F.count("rho").alias("pairs"), F.avg("rho").alias("mean"), F.median("rho").alias("median"), share(F.col("rho") > 0).alias("positive"), share(F.col("rho") > 0.3).alias("above_03"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.stats import hypergeom_cdf
+from ..functions.stats import binomial_draw, hypergeom_cdf
+from .prefix import numbered
 
 
 def md5_order(seed: str, *keys: Column) -> Column:
@@ -30,40 +31,40 @@ def exact_permutation(cells: DataFrame) -> DataFrame:
     return cells.withColumn("p_exact", hypergeom_cdf(F.col("k_clean"), t, g, F.col("n_clean")))
 
 
-def permutation_test(items: DataFrame, keys: list[str], n: int, seed: int = 1) -> DataFrame:
-    """(keys, p_perm): share of label shuffles whose gap is at most the observed one. ``items``: side, correct, item_id."""
-    totals = items.groupBy(*keys).agg(F.count_if(F.col("side") == "clean").alias("_nc"), F.sum(F.when(F.col("side") == "clean", F.col("correct"))).alias("_kc"))
-    rows = reps(items.select(*keys, "item_id", "correct").join(totals, keys), n)
-    pick = F.row_number().over(W.partitionBy(*keys, "rep").orderBy(md5_order(str(seed), F.col("rep"), F.col("item_id")), "item_id")) <= F.col("_nc")
-    one = rows.withColumn("_in", pick).groupBy(*keys, "rep", "_kc").agg(F.sum(F.when(F.col("_in"), F.col("correct")).otherwise(0)).alias("_k"))
-    # sizes are fixed, so the gap orders as the number of correct clean items does
-    return one.groupBy(*keys).agg(F.avg((F.col("_k") <= F.col("_kc")).cast("double")).alias("p_perm"))
+def by_side(items: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_clean, n_contam, k_clean, k_contam): rows and correct ones of each side; all that 0/1 outcomes tell."""
+    n = lambda s: F.count_if(F.col("side") == s)
+    hit = lambda s: F.sum(F.when(F.col("side") == s, F.col("correct")).otherwise(0)).cast("long")
+    return items.groupBy(*keys).agg(n("clean").alias("n_clean"), n("contam").alias("n_contam"), hit("clean").alias("k_clean"), hit("contam").alias("k_contam"))
 
 
-def poisson(u: Column, most: int = 6) -> Column:
-    """A Poisson(1) draw from a uniform one."""
-    import math
+def uniform(*keys: Column) -> Column:
+    return (md5_int(*keys) + 0.5) / F.lit(float(1 << 32))
 
-    out, cum = F.lit(most), 0.0
-    cuts = []
-    for k in range(most):
-        cum += math.exp(-1) / math.factorial(k)
-        cuts.append((k, cum))
-    for k, c in reversed(cuts):
-        out = F.when(u < c, k).otherwise(out)
-    return out
 
+def permutation_test(items: DataFrame, keys: list[str], n: int, seed: int = 1) -> DataFrame:
+    """(keys, p_perm): share of ``n`` label shuffles whose gap is at most the observed one. ``items``: side, correct.
 
-def uniform(*keys: Column) -> Column:
-    return (md5_int(*keys) + 0.5) / F.lit(float(1 << 32))
+    A shuffle decides how many correct rows fall on the clean side, a hypergeometric number, and sizes are fixed, so the
+    gap orders as that number does. It is drawn by inversion: it is at most the observed number just where its uniform,
+    from the md5 of (seed, repetition, cell), is at most the distribution function there. Rows are counted once.
+    """
+    cells = exact_permutation(by_side(items, keys).where("n_clean > 0 and n_contam > 0"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda rep: (uniform(F.lit(seed), rep, *[F.col(k) for k in keys]) <= F.col("p_exact")).cast("int"))
+    return cells.select(*keys, (F.aggregate(draws, F.lit(0), lambda a, x: a + x) / n).alias("p_perm"))
 
 
 def bootstrap_ci(items: DataFrame, keys: list[str], n: int, seed: int = 2) -> DataFrame:
-    """(keys, ci_low, ci_high) of the gap: Poisson weights, so that each row draws alone and nothing is sorted."""
-    rows = reps(items, n).withColumn("_w", poisson(uniform(F.lit(seed), F.col("rep"), F.col("item_id"))))
-    mean = lambda s: F.try_divide(F.sum(F.when(F.col("side") == s, F.col("_w") * F.col("correct"))), F.sum(F.when(F.col("side") == s, F.col("_w"))))
-    g = rows.groupBy(*keys, "rep").agg((mean("clean") - mean("contam")).alias("_g"))
-    return g.groupBy(*keys).agg(F.percentile("_g", 0.025).alias("ci_low"), F.percentile("_g", 0.975).alias("ci_high"))
+    """(keys, ci_low, ci_high): percentiles of the gap over ``n`` resamples of each side.
+
+    A resample of a side with k of m correct has a binomial number of correct rows; both numbers are drawn by inversion
+    from uniforms of (seed, side, repetition, cell). Rows are counted once, and a cell's repetitions stay in its row.
+    """
+    cells = by_side(items, keys).where("n_clean > 0 and n_contam > 0")
+    side = lambda s: binomial_draw(F.col(f"n_{s}"), F.col(f"k_{s}"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda rep: uniform(F.lit(seed), F.lit(s), rep, *[F.col(k) for k in keys])))
+    gaps = F.zip_with(side("clean"), side("contam"), lambda a, b: a / F.col("n_clean") - b / F.col("n_contam"))
+    at = lambda q: F.get("_g", F.lit(int(q * (n - 1)))) + (F.get("_g", F.lit(min(n - 1, int(q * (n - 1)) + 1))) - F.get("_g", F.lit(int(q * (n - 1))))) * (q * (n - 1) - int(q * (n - 1)))
+    return cells.withColumn("_g", F.sort_array(gaps)).select(*keys, at(0.025).alias("ci_low"), at(0.975).alias("ci_high"))
 
 
 def sign_flip_test(pairs: DataFrame, diff: str, row: str, keys: list[str], n: int, seed: int = 3) -> DataFrame:
@@ -112,5 +113,8 @@ def balanced_sample(df: DataFrame, keys: list[str], group: str, k: int, seed: st
 
 
 def kfold(df: DataFrame, k: int, seed: str, row: str, keys: list[str]) -> DataFrame:
-    r = F.row_number().over(W.partitionBy(*keys).orderBy(md5_order(seed, F.col(row)), row))
-    return df.withColumn("fold", F.pmod(r - 1, F.lit(k)))
+    """``df`` with ``fold``: rows dealt in turn along the md5 order, whose first two digits are even parts of it."""
+    order = md5_order(seed, F.col(row))
+    part = F.conv(F.substring(order, 1, 2), 16, 10).cast("int")
+    r = numbered(df.withColumn("_md5", order), keys, [F.col("_md5"), F.col(row)], part, "_i")
+    return r.withColumn("fold", F.pmod("_i", F.lit(k))).drop("_md5", "_i")

@@ -18,6 +18,13 @@ def phi(z: str) -> str:
     return S.PHI_SQL.format(z=f"({z})")
 
 
+def t_tail_sql(t: str, df: str, steps: int = 2000) -> str:
+    """The two-sided tail of Student's t by Simpson's rule on its density, which is not how Spark's side gets it."""
+    f = f"pow(1 + pow(abs({t}) * i / {steps}.0::DOUBLE, 2) / ({df}), -(({df}) + 1) / 2.0::DOUBLE)"
+    area = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f})) * abs({t}) / {steps * 3}.0::DOUBLE"
+    return f"greatest(0, 1 - 2 * exp(lgamma((({df}) + 1) / 2.0::DOUBLE) - lgamma(({df}) / 2.0::DOUBLE)) / sqrt(({df}) * pi()) * {area})"
+
+
 def long_calib(spark, sf):
     return K.long_form(calib(spark, sf), FEATURES, ["variant", "split", "row_id", "label"])
 
@@ -124,14 +131,31 @@ def cohen_kappa(spark, sf):
     return ranks.kappa(_preds(spark, sf), ["variant"])
 
 
-@query(sql("SELECT variant, avg(((rating >= 4) = (toxic = 1))::INT) AS agreement, avg((rating >= 4)::INT) FILTER (toxic = 1) AS tpr, avg((rating >= 4)::INT) FILTER (toxic = 0) AS fpr FROM (SELECT *, row_id % 5 + 1 AS rating FROM calib) GROUP BY 1", "calib", rnd="agreement tpr fpr"))
+JUDGES = "SELECT variant, row_id, toxic, (1 + least(4, floor(distinct_ratio * 5)) >= 4)::INT AS one, (1 + least(4, floor(n_words / 100)) >= 4)::INT AS two FROM calib"
+
+
+@query(sql(f"""SELECT variant, a, b, n, agreement, (agreement - pe) / nullif(1 - pe, 0) AS kappa, tpr, fpr FROM (SELECT variant, a, b, count(*) AS n, avg((x = y)::INT) AS agreement, avg(x) * avg(y) + (1 - avg(x)) * (1 - avg(y)) AS pe, avg(x) FILTER (y = 1) AS tpr, avg(x) FILTER (y = 0) AS fpr
+    FROM (SELECT variant, 'one' AS a, 'detector' AS b, one AS x, toxic AS y FROM j UNION ALL SELECT variant, 'two', 'detector', two, toxic FROM j UNION ALL SELECT variant, 'one', 'two', one, two FROM j) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, 3)""", "calib", rnd="agreement kappa tpr fpr").replace(") SELECT * REPLACE", f"), j AS ({JUDGES}) SELECT * REPLACE", 1))
 def judge_agreement(spark, sf):
-    c = calib(spark, sf).withColumn("hi", (F.col("row_id") % 5 + 1 >= 4).cast("int"))
-    on = lambda t: F.avg(F.when(F.col("toxic") == t, F.col("hi")))
-    return c.groupBy("variant").agg(F.avg((F.col("hi") == F.col("toxic")).cast("double")).alias("agreement"), on(1).alias("tpr"), on(0).alias("fpr"))
+    """Two judges, whose ratings of 4 and 5 say yes, each against the detector and against each other."""
+    rating = lambda x: (1 + F.least(F.lit(4), F.floor(x)) >= 4).cast("int")
+    c = calib(spark, sf).select("variant", rating(F.col("distinct_ratio") * 5).alias("one"), rating(F.col("n_words") / 100).alias("two"), F.col("toxic").cast("int").alias("detector"))
+    return ranks.agreement(c, ["variant"], [("one", "detector"), ("two", "detector"), ("one", "two")])
 
 
-@query()
+PER_METHOD = """WITH r AS (SELECT *, rank() OVER (PARTITION BY detector ORDER BY score) + (count(*) OVER (PARTITION BY detector, score) - 1) / 2 AS r FROM long_calib WHERE split = 'dev' AND score IS NOT NULL),
+    a AS (SELECT detector, (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS auc FROM r GROUP BY 1),
+    t AS (SELECT l.detector, split, label, score * CASE WHEN auc < 0.5 THEN -1 ELSE 1 END AS score FROM long_calib l JOIN a USING (detector)),
+    g AS (SELECT detector, score, count(*) FILTER (label = 1) AS p, count(*) AS n FROM t WHERE split = 'dev' AND score IS NOT NULL GROUP BY 1, 2),
+    f AS (SELECT detector, score, round(2 * sum(p) OVER w / (sum(n) OVER w + sum(p) OVER (PARTITION BY detector)), 12) AS f FROM g WINDOW w AS (PARTITION BY detector ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT detector, score AS threshold, f AS best_f1 FROM f QUALIFY row_number() OVER (PARTITION BY detector ORDER BY f DESC, score) = 1),
+    m AS (SELECT detector, split, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label = 0) AS fp, count(*) FILTER (NOT score >= threshold AND label = 1) AS fn FROM t JOIN c USING (detector) GROUP BY 1, 2),
+    q AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM m)
+    SELECT detector, (CASE WHEN auc < 0.5 THEN -1 ELSE 1 END)::BIGINT AS sign, greatest(auc, 1 - auc) AS dev_auc, threshold, best_f1, d.precision AS dev_precision, d.recall AS dev_recall, d.f1 AS dev_f1, v.precision AS val_precision, v.recall AS val_recall, v.f1 AS val_f1
+    FROM a JOIN c USING (detector) JOIN (SELECT * FROM q WHERE split = 'dev') d USING (detector) LEFT JOIN (SELECT * FROM q WHERE split = 'val') v USING (detector)"""
+
+
+@query(sql(PER_METHOD, "long_calib", rnd="dev_auc threshold best_f1 dev_precision dev_recall dev_f1 val_precision val_recall val_f1"))
 def per_method_calibration(spark, sf):
     return K.per_method(long_calib(spark, sf), "label")
 
@@ -183,23 +207,22 @@ def mde_power(spark, sf):
     return c.select(*CELL, "mde", (F.abs("gap") >= F.col("mde")).alias("reached"))
 
 
-@query(sql("SELECT benchmark, count(*) AS n, avg(gap) AS mean, stddev_samp(gap) AS sd, avg(gap) / (stddev_samp(gap) / sqrt(count(*))) AS t FROM cells GROUP BY 1", "cells", rnd="mean sd t"))
+@query(sql(f"SELECT *, {t_tail_sql('t', 'n - 1')} AS p FROM (SELECT benchmark, count(*) AS n, avg(gap) AS mean, stddev_samp(gap) AS sd, avg(gap) / (stddev_samp(gap) / sqrt(count(*))) AS t FROM cells GROUP BY 1)", "cells", rnd="mean sd t p"))
 def ttest_1samp(spark, sf):
-    return inference.ttest_1samp(C.gap(audit(spark, sf), CELL), "gap", ["benchmark"]).drop("p")
+    return inference.ttest_1samp(C.gap(audit(spark, sf), CELL), "gap", ["benchmark"])
 
 
-@query(sql("SELECT benchmark, (m1 - m0) / sqrt(v0 / n0 + v1 / n1) AS t, (v0 / n0 + v1 / n1) ** 2 / ((v0 / n0) ** 2 / (n0 - 1) + (v1 / n1) ** 2 / (n1 - 1)) AS df FROM (SELECT benchmark, count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1, avg(loss) FILTER (g = 0) AS m0, avg(loss) FILTER (g = 1) AS m1, var_samp(loss) FILTER (g = 0) AS v0, var_samp(loss) FILTER (g = 1) AS v1 FROM (SELECT *, (p > 0.5)::INT AS g FROM audit) GROUP BY 1)", "audit", rnd="t df"))
+@query(sql(f"SELECT *, {t_tail_sql('t', 'df')} AS p FROM (SELECT benchmark, (m1 - m0) / sqrt(v0 / n0 + v1 / n1) AS t, (v0 / n0 + v1 / n1) ** 2 / ((v0 / n0) ** 2 / (n0 - 1) + (v1 / n1) ** 2 / (n1 - 1)) AS df FROM (SELECT benchmark, count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1, avg(loss) FILTER (g = 0) AS m0, avg(loss) FILTER (g = 1) AS m1, var_samp(loss) FILTER (g = 0) AS v0, var_samp(loss) FILTER (g = 1) AS v1 FROM (SELECT *, (p > 0.5)::INT AS g FROM audit) GROUP BY 1))", "audit", rnd="t df p"))
 def ttest_welch(spark, sf):
     a = audit(spark, sf).withColumn("g", (F.col("p") > 0.5).cast("int"))
-    return inference.ttest_welch(a, "loss", "g", ["benchmark"]).select("benchmark", "t", "df")
+    return inference.ttest_welch(a, "loss", "g", ["benchmark"])
 
 
-@query(sql("SELECT item_id, 1 - 2 * atan(abs(delta) * 3) / pi() AS p1, 1 - abs(delta) * 3 / sqrt(2 + 9 * delta * delta) AS p2 FROM audit WHERE stratum = 0", "audit", rnd="p1 p2"))
+@query(sql("SELECT item_id, 1 - 2 * atan(abs(delta) * 3) / pi() AS p1, 1 - abs(delta) * 3 / sqrt(2 + 9 * delta * delta) AS p2 FROM audit", "audit", rnd="p1 p2"))
 def student_t_tail(spark, sf):
     """Against the closed forms for one and two degrees of freedom."""
     t = F.col("delta") * 3
-    a = audit(spark, sf).where("stratum = 0")
-    return a.select("item_id", S.student_t_tail(t, F.lit(1.0)).alias("p1"), S.student_t_tail(t, F.lit(2.0)).alias("p2"))
+    return audit(spark, sf).select("item_id", S.student_t_tail(t, F.lit(1.0)).alias("p1"), S.student_t_tail(t, F.lit(2.0)).alias("p2"))
 
 
 RANKED = "SELECT *, rank() OVER (PARTITION BY {k} ORDER BY {v}) + (count(*) OVER (PARTITION BY {k}, {v}) - 1) / 2 AS r, count(*) OVER (PARTITION BY {k}, {v}) AS t FROM ({s})"
@@ -215,10 +238,11 @@ def wilcoxon_signed(spark, sf):
     return ranks.wilcoxon(audit(spark, sf).withColumn("d", F.round(F.col("p") - F.col("p1"), 9)), "d", ["benchmark"])
 
 
-@query(sql("SELECT wins, 12::BIGINT AS n, (SELECT sum(exp(lgamma(13) - lgamma(k + 1) - lgamma(13 - k)) / 4096) FROM range(wins, 13) t(k)) AS p FROM (SELECT DISTINCT r_regionkey * 2 AS wins FROM region)", rnd="p"))
+@query(sql("SELECT benchmark, wins, n, (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) FROM range(wins, n + 1) t(k)) AS p FROM (SELECT benchmark, count(*) FILTER (gap > 0) AS wins, count(*) FILTER (gap <> 0) AS n FROM cells GROUP BY 1)", "cells", rnd="p"))
 def sign_test(spark, sf):
-    d = table(spark, sf, "region").select((F.col("r_regionkey") * 2).alias("wins"), F.lit(12).alias("n"))
-    return d.select("wins", "n", S.binomial_tail(F.col("wins"), F.col("n")).alias("p"))
+    """How many of a benchmark's gaps are positive, and the tail of so many heads."""
+    g = C.gap(audit(spark, sf), CELL).groupBy("benchmark").agg(F.count_if(F.col("gap") > 0).alias("wins"), F.count_if(F.col("gap") != 0).alias("n"))
+    return g.select("benchmark", "wins", "n", S.binomial_tail(F.col("wins"), F.col("n")).alias("p"))
 
 
 @query(sql(f"SELECT benchmark, count(*) AS n, corr(p, loss) AS pearson, corr(r, r2) AS spearman FROM (SELECT *, rank() OVER (PARTITION BY benchmark ORDER BY loss) + (count(*) OVER (PARTITION BY benchmark, loss) - 1) / 2 AS r2 FROM ({RANKED.format(k='benchmark', v='p', s='SELECT * FROM audit')})) GROUP BY 1", "audit", rnd="pearson spearman"))
@@ -231,6 +255,12 @@ def spearman_matrix(spark, sf):
     return peers.spearman_matrix(matrix(spark, sf))
 
 
+@query(sql("SELECT count(rho) AS pairs, avg(rho) AS mean, median(rho) AS median, avg((rho > 0)::INT) AS positive, avg((rho > 0.3)::INT) AS above_03 FROM (SELECT a.model AS m1, m2, corr(a.r, b.r) AS rho FROM x a JOIN (SELECT item_id, model AS m2, r FROM x) b ON a.item_id = b.item_id AND a.model < m2 GROUP BY 1, 2)", "matrix", rnd="mean median positive above_03").replace(") SELECT * REPLACE", "), x AS (SELECT model, item_id, rank() OVER (PARTITION BY model ORDER BY loss) + (count(*) OVER (PARTITION BY model, loss) - 1) / 2 AS r FROM matrix WHERE item_id IN (SELECT item_id FROM matrix GROUP BY 1 HAVING count(*) = 10)) SELECT * REPLACE", 1))
+def spearman_summary(spark, sf):
+    """Mean and median of all pairs' correlations, and how many are above 0 and 0.3."""
+    return peers.spearman_summary(peers.spearman_matrix(matrix(spark, sf)))
+
+
 @query(sql("SELECT model, n, slope, intercept, r, se, 1.959964 * se AS band FROM (SELECT model, count(*) AS n, regr_slope(loss, p) AS slope, regr_intercept(loss, p) AS intercept, corr(p, loss) AS r, sqrt(greatest(0, (1 - corr(p, loss) ** 2) * regr_syy(loss, p) / (count(*) - 2)) / regr_sxx(loss, p)) AS se FROM audit GROUP BY 1)", "audit", rnd="slope intercept r se band"))
 def linear_fit(spark, sf):
     return inference.linear_fit(audit(spark, sf), "p", "loss", ["model"])

@@ -15,9 +15,12 @@ from .base import NGRAMS_SQL, audit, ben_tok, calib, doc_tok, query, sql
 
 
 
-@query(sql("SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 25"))
+@query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_idx, item_id, text FROM benchmark")
 def scan_items(spark, sf):
-    return io.scan_items(table(spark, sf, "benchmark").select("item_id", "text"), 25)
+    """Items as JSON lines under an explicit schema, numbered."""
+    path = io.scratch(spark, "items")
+    table(spark, sf, "benchmark").select("item_id", "text").write.json(path)
+    return io.scan_items(io.scan_jsonl(spark, path, "item_id long, text string"))
 
 
 @query(sql("SELECT corpus, doc_id, len(t)::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY doc_id) AS r FROM (SELECT 'docs_' || lang AS corpus, doc_id, t FROM doc_tok WHERE lang IN ('en', 'de') AND len(t) >= 13)) WHERE r <= 200", "doc_tok"))
@@ -39,10 +42,11 @@ def scan_partitioned(spark, sf):
     return io.roundtrip_partitioned(audit(spark, sf).select("model", "benchmark", "item_id", "p"), ["model"], io.scratch(spark, "scores"))
 
 
-@query(sql("SELECT item_id, coalesce(max(loss) FILTER (stratum = 1), max(loss) FILTER (stratum = 0)) AS loss FROM (SELECT item_id % 5000 AS item_id, stratum, max(loss) AS loss FROM audit WHERE stratum < 2 GROUP BY 1, 2) GROUP BY item_id", "audit", rnd="loss"))
+@query(sql("SELECT item_id, coalesce(max(loss) FILTER (stratum = 3), max(loss) FILTER (stratum = 2), max(loss) FILTER (stratum = 1), max(loss) FILTER (stratum = 0)) AS loss FROM (SELECT item_id // 16 AS item_id, stratum, max(loss) AS loss FROM audit GROUP BY 1, 2) GROUP BY item_id", "audit", rnd="loss"))
 def layered_lookup(spark, sf):
-    a = audit(spark, sf).groupBy((F.col("item_id") % 5000).alias("item_id"), "stratum").agg(F.max("loss").alias("loss"))
-    return io.layered_lookup([a.where(F.col("stratum") == i).select("item_id", "loss") for i in (0, 1)], ["item_id"])
+    """Four layers over groups of neighbouring items; the last layer that has a group wins."""
+    a = audit(spark, sf).groupBy(F.floor(F.col("item_id") / 16).alias("item_id"), "stratum").agg(F.max("loss").alias("loss"))
+    return io.layered_lookup([a.where(F.col("stratum") == i).select("item_id", "loss") for i in range(4)], ["item_id"])
 
 
 @query(sql("SELECT model, benchmark, n_clean, n_contam, gap FROM cells", "cells", rnd="gap"))
@@ -50,9 +54,12 @@ def csv_roundtrip(spark, sf):
     return io.roundtrip_csv(C.gap(audit(spark, sf), C.CELL).select("model", "benchmark", "n_clean", "n_contam", "gap"), io.scratch(spark, "cells"))
 
 
-@query()
+@query(sql("SELECT model, benchmark, n_items, round(p_mean, 6) AS p_mean, round(p_p90, 6) AS p_p90, round(high_risk_rate, 6) AS high_risk_rate FROM (SELECT model, benchmark, count(*) AS n_items, avg(p) AS p_mean, quantile_cont(p, 0.9) AS p_p90, avg((p > 0.5)::INT) AS high_risk_rate FROM audit GROUP BY 1, 2)", "audit"))
 def summary_json(spark, sf):
-    return io.summary_json(C.audit_summary(audit(spark, sf)), "benchmark", "model")
+    """A JSON object by benchmark for each model, and what a reader finds in it."""
+    s = io.summary_json(C.audit_summary(audit(spark, sf)).select("model", "benchmark", "n_items", "p_mean", "p_p90", "high_risk_rate"), "benchmark", "model")
+    found = F.from_json("summary", "map<string, struct<n_items: bigint, p_mean: double, p_p90: double, high_risk_rate: double>>")
+    return s.select("model", F.explode(found).alias("benchmark", "v")).select("model", "benchmark", "v.*")
 
 
 @query(sql("SELECT corpus, n, docs, tokens, ngrams FROM (SELECT lang AS corpus, n, count(DISTINCT g) AS ngrams FROM (SELECT lang, 8::BIGINT AS n, unnest(" + NGRAMS_SQL.format(t="t", n=8) + ") AS g FROM doc_tok UNION ALL SELECT lang, 13, unnest(" + NGRAMS_SQL.format(t="t", n=13) + ") FROM doc_tok) GROUP BY 1, 2) JOIN (SELECT lang AS corpus, count(*) AS docs, sum(len(t))::BIGINT AS tokens FROM doc_tok GROUP BY 1) USING (corpus)", "doc_tok"))
@@ -61,10 +68,12 @@ def write_index(spark, sf):
     return io.write_index(docs, T.tokenize_words(F.col("text")), [8, 13], io.scratch(spark, "index"))
 
 
-@query(sql("SELECT item_id, max(p) AS p FROM (SELECT item_id % 3000 AS item_id, 0 AS v, max(p) AS p FROM audit WHERE stratum = 0 GROUP BY 1) o WHERE item_id NOT IN (SELECT item_id % 3000 FROM audit WHERE stratum = 3) GROUP BY 1 UNION ALL SELECT item_id % 3000, max(p) FROM audit WHERE stratum = 3 GROUP BY 1", "audit", rnd="p"))
+@query(sql("SELECT item_id, coalesce(max(p) FILTER (stratum = 3), max(p) FILTER (stratum < 3)) AS p FROM (SELECT item_id // 16 AS item_id, stratum, p FROM audit) GROUP BY 1", "audit", rnd="p"))
 def upsert_results(spark, sf):
-    a = lambda s: audit(spark, sf).where(F.col("stratum") == s).groupBy((F.col("item_id") % 3000).alias("item_id")).agg(F.max("p").alias("p"))
-    return io.upsert(a(0), a(3), ["item_id"])
+    """New results (the last stratum) over old ones (all others), by groups of neighbouring items."""
+    a = audit(spark, sf).select(F.floor(F.col("item_id") / 16).alias("item_id"), "stratum", "p")
+    of = lambda c: a.where(c).groupBy("item_id").agg(F.max("p").alias("p"))
+    return io.upsert(of("stratum < 3"), of("stratum = 3"), ["item_id"])
 
 
 @query(sql("SELECT text, quality AS label FROM documents JOIN labels USING (doc_id)"))
@@ -106,18 +115,33 @@ def hash_ngram(spark, sf):
     return h.agg(F.sum("c").alias("n_grams"), F.count(F.lit(1)).alias("n_hashes"))
 
 
-ITEM_SQL = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'gsm8k' WHEN 1 THEN 'mmlu' WHEN 2 THEN 'hellaswag' WHEN 3 THEN 'humaneval' ELSE 'other' END AS benchmark, url AS question, string_split(url, '/') AS choices, substr(html, 1, 60) AS solution, substr(url, 1, 9) AS context FROM pages"
+BENCHMARKS = ("gsm8k_test", "mmlu_test", "hellaswag_val", "arc_challenge", "humaneval", "mbpp", "math", "math500", "truthfulqa_mc", "bbh", "agieval", "aime2024", "livecodebench", "unknown")
+ITEM_SQL = f"""SELECT *, page_id % len(choices) AS label, list_transform(range(0, len(choices)), lambda i: (i = page_id % len(choices))::INT::VARCHAR) AS marks, list_transform(range(1, len(choices) + 1), lambda i: i::VARCHAR) AS numbers
+    FROM (SELECT page_id, {list(BENCHMARKS)}[page_id % {len(BENCHMARKS)} + 1] AS benchmark, url AS question, 'a' || page_id AS answer, 's' || page_id % 7 AS subject, string_split(url, '/') AS choices, substr(url, 1, 9) AS context, substr(html, 1, 60) AS solution FROM pages)"""
 
 
 def rendered(spark, sf):
-    b = F.element_at(F.array(*[F.lit(x) for x in ("gsm8k", "mmlu", "hellaswag", "humaneval", "other")]), (F.col("page_id") % 5 + 1).cast("int"))
-    return table(spark, sf, "pages").select("page_id", b.alias("benchmark"), F.col("url").alias("question"), F.split("url", "/").alias("choices"), F.substring("html", 1, 60).alias("solution"), F.substring("url", 1, 9).alias("context"))
-
-
-@query(f"""SELECT page_id, CASE benchmark WHEN 'gsm8k' THEN 'Question: ' || question || chr(10) || 'Answer: ' || solution WHEN 'mmlu' THEN question || chr(10) || array_to_string(list_transform(range(1, len(choices) + 1), lambda i: chr((64 + i)::INT) || '. ' || choices[i]), chr(10))
-    WHEN 'hellaswag' THEN context || ' ' || choices[1] WHEN 'humaneval' THEN question || solution ELSE question END AS text FROM ({ITEM_SQL})""")
+    """Pages as items of every benchmark in turn, and of one that has no template."""
+    b = F.element_at(F.array(*[F.lit(x) for x in BENCHMARKS]), (F.col("page_id") % len(BENCHMARKS) + 1).cast("int"))
+    n = F.size("choices")
+    marks = F.transform("choices", lambda _, i: (i == F.col("page_id") % n).cast("int").cast("string"))
+    numbers = F.transform("choices", lambda _, i: (i + 1).cast("string"))
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    p = table(spark, sf, "pages").withColumn("choices", F.split("url", "/"))
+    return p.select("page_id", b.alias("benchmark"), F.col("url").alias("question"), text("a", F.col("page_id")).alias("answer"), text("s", F.col("page_id") % 7).alias("subject"), "choices", F.when(b == "truthfulqa_mc", marks).otherwise(numbers).alias("labels"), (F.col("page_id") % n).cast("int").alias("label"), F.substring("url", 1, 9).alias("context"), F.substring("html", 1, 60).alias("solution"))
+
+
+@query(f"""SELECT page_id, CASE WHEN benchmark = 'gsm8k_test' THEN concat('Question: ', question, chr(10), 'Answer: ', answer)
+    WHEN benchmark = 'mmlu_test' THEN concat('Subject: ', subject, chr(10), 'Question: ', question, chr(10), array_to_string(list_transform(range(1, len(choices) + 1), lambda i: chr((64 + i)::INT) || '. ' || choices[i]), chr(10)), chr(10), 'Answer: ', chr((65 + label)::INT))
+    WHEN benchmark = 'hellaswag_val' THEN concat('Context: ', context, chr(10), 'Continuation: ', choices[label + 1])
+    WHEN benchmark = 'arc_challenge' THEN concat('Question: ', question, chr(10), array_to_string(list_transform(range(1, len(choices) + 1), lambda i: numbers[i] || '. ' || choices[i]), chr(10)), chr(10), 'Answer: ', answer)
+    WHEN benchmark = 'humaneval' THEN concat(question, solution) WHEN benchmark IN ('mbpp', 'livecodebench') THEN concat(question, chr(10), solution) WHEN benchmark IN ('math', 'math500') THEN concat('Problem: ', question, chr(10), 'Solution: ', solution)
+    WHEN benchmark = 'truthfulqa_mc' THEN concat('Question: ', question, chr(10), array_to_string(list_transform(range(1, len(choices) + 1), lambda i: choices[i] || ' (' || marks[i] || ')'), chr(10)))
+    WHEN benchmark IN ('bbh', 'agieval') THEN concat(question, chr(10), 'Answer: ', answer) WHEN benchmark = 'aime2024' THEN concat('Problem: ', question, chr(10), 'Answer: ', answer)
+    ELSE concat('{{"question":"', question, '","answer":"', answer, '"}}') END AS text FROM ({ITEM_SQL})""")
 def render_item(spark, sf):
-    return rendered(spark, sf).select("page_id", G.render_item(F.col("benchmark"), F.col("question")).alias("text"))
+    whole = F.to_json(F.struct("question", "answer"))
+    return rendered(spark, sf).select("page_id", G.render_item(F.col("benchmark"), whole).alias("text"))
 
 
 @query(f"SELECT page_id, array_to_string(list_transform(range(1, len(choices) + 1), lambda i: chr((64 + i)::INT) || '. ' || choices[i]), chr(10)) AS options FROM ({ITEM_SQL})")
@@ -272,9 +296,16 @@ def parse_rating(spark, sf):
     return table(spark, sf, "pages").select("page_id", rating.alias("rating"), reason.alias("reason"))
 
 
-@query("SELECT event_id, coalesce((try_cast(props AS JSON)->>'$.k')::BIGINT, -1) AS k FROM events")
+CASES = "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[' || repeat(props || ',', (event_id % 9)::INT) || props || ']' WHEN 1 THEN '[]' ELSE '[' || props END AS t FROM events"
+
+
+@query(f"SELECT event_id, coalesce(len(ks), 0)::BIGINT AS n, coalesce(list_sum(ks), 0)::BIGINT AS total FROM (SELECT event_id, list_transform((try_cast(t AS JSON)->'$[*].k')[1:5], lambda k: k::BIGINT) AS ks FROM ({CASES}))")
 def json_cases(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.from_json("props", "k bigint")["k"], F.lit(-1).cast("long")).alias("k"))
+    """Arrays of up to nine objects in a string, empty ones and malformed ones: at most five items of each."""
+    props = F.col("props")
+    t = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), F.repeat(F.concat(props, F.lit(",")), (F.col("event_id") % 9).cast("int")), props, F.lit("]"))).when(F.col("event_id") % 3 == 1, "[]").otherwise(F.concat(F.lit("["), props))
+    cases = G.json_cases(t, "struct<k: bigint>")
+    return table(spark, sf, "events").select("event_id", F.size(cases).alias("n"), F.aggregate(cases, F.lit(0).cast("long"), lambda a, x: a + x["k"]).alias("total"))
 
 
 @query(sql("SELECT row_id, x AS dropped, coalesce(x, avg(x) OVER (PARTITION BY variant)) AS filled, coalesce(x, 0) AS zeroed FROM (SELECT row_id, variant, CASE WHEN row_id % 7 = 0 THEN NULL ELSE n_chars END AS x FROM calib)", "calib", rnd="dropped filled zeroed"))

@@ -11,9 +11,10 @@ from ..operators import calibrate as K
 from ..operators import cells as C
 from ..operators import peers, ranks, resample
 from ..operators import inference as I
+from ..operators.prefix import with_rank
 from ..sources import io
 from ..sources.io import table
-from .agg_queries import AUC_SQL, CURVE, IV, _se_cells, long_calib, phi
+from .agg_queries import AUC_SQL, CURVE, IV, _se_cells, long_calib, phi, t_tail_sql
 from .base import FEATURES, audit, calib, matrix, query, sql
 from .join_queries import DELTA, _delta
 
@@ -89,10 +90,8 @@ VERS = "v AS (SELECT model, benchmark, gap, 1 AS v FROM cells UNION ALL SELECT m
 
 
 def _loo(spark, sf, key, name):
-    v = _versions(spark, sf).withColumns({"_e": key, "g": F.round("gap", 12)})
-    dropped = v.select(F.col("_e").alias(name)).distinct()
-    rows = v.join(F.broadcast(dropped), F.col("_e") != F.col(name))  # each version without one: the result's own size times cells
-    return ranks.mann_whitney(rows, "g", "v", [name]).select(name, "u")
+    """U over all versions but those of one cell, or model, at a time."""
+    return ranks.u_without(_versions(spark, sf).withColumns({name: key, "g": F.round("gap", 12)}), "g", "v", name)
 
 
 @query(sql(LOO.format(k="cell", e="model || '|' || benchmark"), "cells", "cells1", rnd="u").replace(") SELECT * REPLACE", f"), {VERS} SELECT * REPLACE", 1))
@@ -107,7 +106,7 @@ def loo_model(spark, sf):
 
 @query(sql("SELECT model, item_id, rank() OVER (PARTITION BY model ORDER BY loss) + (count(*) OVER (PARTITION BY model, loss) - 1) / 2 AS r FROM matrix", "matrix", rnd="r"))
 def avg_rank(spark, sf):
-    return matrix(spark, sf).select("model", "item_id", ranks.avg_rank("loss", ["model"]).alias("r"))
+    return with_rank(matrix(spark, sf), "loss", ["model"], "r").select("model", "item_id", "r")
 
 
 @query(sql("SELECT model, benchmark, gap - avg(gap) OVER (PARTITION BY model) AS residual FROM cells", "cells", rnd="residual"))
@@ -174,37 +173,34 @@ M32 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 SIDES = "s AS (SELECT model, benchmark, item_id, correct, p < 0.1 AS clean FROM audit WHERE p < 0.1 OR p > 0.5)"
 
 
-@query(sql("SELECT model, benchmark, avg((k <= kc)::INT) AS p_perm FROM (SELECT model, benchmark, rep, kc, sum(CASE WHEN i <= nc THEN correct ELSE 0 END) AS k FROM (SELECT s.*, nc, kc, rep, row_number() OVER (PARTITION BY model, rep ORDER BY md5('1|' || rep || '|' || item_id), item_id) AS i FROM s JOIN (SELECT model, count(*) FILTER (clean) AS nc, sum(correct) FILTER (clean) AS kc FROM s WHERE benchmark = '1-URGENT' GROUP BY 1) USING (model), range(200) g(rep) WHERE benchmark = '1-URGENT') GROUP BY 1, 2, 3, 4) GROUP BY 1, 2", "audit", rnd="p_perm").replace(") SELECT * REPLACE", f"), {SIDES} SELECT * REPLACE", 1))
-def permutation_test(spark, sf):
-    return resample.permutation_test(_sides(spark, sf).where("benchmark = '1-URGENT'"), CELL, 200)
-
-
 HYPER = "(SELECT sum(exp(lgamma(g + 1) - lgamma(x + 1) - lgamma(g - x + 1) + lgamma(t - g + 1) - lgamma(n_clean - x + 1) - lgamma(t - g - n_clean + x + 1) - lgamma(t + 1) + lgamma(n_clean + 1) + lgamma(t - n_clean + 1))) FROM range(greatest(0, n_clean + g - t), k_clean + 1) r(x))"
 
 
 @query(sql(f"SELECT model, benchmark, {HYPER} AS p_exact FROM (SELECT model, benchmark, count(*) FILTER (p < 0.1) AS n_clean, coalesce(sum(correct) FILTER (p < 0.1), 0)::BIGINT AS k_clean, count(*) AS t, sum(correct)::BIGINT AS g FROM audit WHERE p < 0.1 OR p > 0.5 GROUP BY 1, 2)", "audit", rnd="p_exact"))
 def exact_permutation(spark, sf):
-    s = _sides(spark, sf)
-    n = lambda k: F.count_if(F.col("side") == k)
-    hit = lambda k: F.sum(F.when(F.col("side") == k, F.col("correct")).otherwise(0))
-    cells = s.groupBy(*CELL).agg(n("clean").alias("n_clean"), n("contam").alias("n_contam"), hit("clean").alias("k_clean"), hit("contam").alias("k_contam"))
-    return resample.exact_permutation(cells).select(*CELL, "p_exact")
+    return resample.exact_permutation(resample.by_side(_sides(spark, sf), CELL)).select(*CELL, "p_exact")
+
+
+def uniform_sql(key: str) -> str:
+    """A uniform number from the md5 of a key, as ``resample.uniform`` has it."""
+    return f"(({M32.format(key)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
-def _poisson_sql(u: str) -> str:
-    cum, cases = 0.0, []
-    for k in range(6):
-        cum += math.exp(-1) / math.factorial(k)
-        cases.append(f"WHEN {u} < {cum!r}::DOUBLE THEN {k}")
-    return f"CASE {' '.join(cases)} ELSE 6 END"
+@query(sql(f"SELECT model, benchmark, avg(({uniform_sql("'1|' || rep || '|' || model || '|' || benchmark")} <= p_exact)::INT) AS p_perm FROM (SELECT model, benchmark, {HYPER} AS p_exact FROM (SELECT model, benchmark, count(*) FILTER (clean) AS n_clean, coalesce(sum(correct) FILTER (clean), 0)::BIGINT AS k_clean, count(*) AS t, sum(correct)::BIGINT AS g FROM s GROUP BY 1, 2) WHERE n_clean > 0 AND n_clean < t), range(5000) r(rep) GROUP BY 1, 2", "audit", rnd="p_perm").replace(") SELECT * REPLACE", f"), {SIDES} SELECT * REPLACE", 1))
+def permutation_test(spark, sf):
+    return resample.permutation_test(_sides(spark, sf), CELL, 5000)
 
 
-BOOT = f"SELECT model, benchmark, rep, sum(w * correct) FILTER (clean) / nullif(sum(w) FILTER (clean), 0) - sum(w * correct) FILTER (NOT clean) / nullif(sum(w) FILTER (NOT clean), 0) AS g FROM (SELECT *, {_poisson_sql('u')} AS w FROM (SELECT s.*, rep, ({M32.format(chr(39) + '2|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || item_id')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM s, range(100) r(rep))) GROUP BY 1, 2, 3"
+BINOMIAL = f"""c AS (SELECT model, benchmark, CASE WHEN clean THEN 'clean' ELSE 'contam' END AS side, count(*) AS n, sum(correct)::BIGINT AS k FROM s GROUP BY 1, 2, 3),
+    f AS (SELECT model, benchmark, side, x, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(k / n) + (n - x) * ln(1 - k / n))) OVER (PARTITION BY model, benchmark, side ORDER BY x) AS cdf FROM (SELECT *, unnest(range(n + 1)) AS x FROM c WHERE k > 0 AND k < n)),
+    u AS (SELECT *, {uniform_sql("'2|' || side || '|' || rep || '|' || model || '|' || benchmark")} AS u FROM c, range(2000) r(rep)),
+    d AS (SELECT u.model, u.benchmark, u.side, u.rep, coalesce(f.x, u.k) / u.n AS m FROM u ASOF LEFT JOIN f ON u.model = f.model AND u.benchmark = f.benchmark AND u.side = f.side AND u.u <= f.cdf),
+    g AS (SELECT model, benchmark, rep, max(m) FILTER (side = 'clean') - max(m) FILTER (side = 'contam') AS g FROM d GROUP BY 1, 2, 3)"""
 
 
-@query(sql(f"SELECT model, benchmark, quantile_cont(g, 0.025) AS ci_low, quantile_cont(g, 0.975) AS ci_high FROM ({BOOT}) GROUP BY 1, 2", "audit", rnd="ci_low ci_high").replace(") SELECT * REPLACE", f"), {SIDES} SELECT * REPLACE", 1))
+@query(sql("SELECT model, benchmark, quantile_cont(g, 0.025) AS ci_low, quantile_cont(g, 0.975) AS ci_high FROM g WHERE g IS NOT NULL GROUP BY 1, 2", "audit", rnd="ci_low ci_high").replace(") SELECT * REPLACE", f"), {SIDES}, {BINOMIAL} SELECT * REPLACE", 1))
 def bootstrap_ci(spark, sf):
-    return resample.bootstrap_ci(_sides(spark, sf), CELL, 100)
+    return resample.bootstrap_ci(_sides(spark, sf), CELL, 2000)
 
 
 def _pairs(spark, sf):
@@ -277,15 +273,17 @@ def fit_ensemble(spark, sf):
     return auc.join(K.max_f1(scored, "score", "label", ["split"]), "split")
 
 
-@query()
-def export_ensemble(spark, sf):
-    return io.roundtrip_json(K.ensemble_table(spark, _fit(spark, sf), "v2"), io.scratch(spark, "ensemble"))
-
-
 FIXED = {"features": {"n_chars": (2500.0, 3000.0, 0.4), "n_words": (400.0, 500.0, -0.2), "distinct_ratio": (0.8, 0.1, 0.7)}, "intercept": 0.3}
 FIXED_SQL = "1 / (1 + exp(-(0.3 + 0.4 * (n_chars - 2500) / 3000 - 0.2 * (n_words - 400) / 500 + 0.7 * (coalesce(distinct_ratio, 0.8) - 0.8) / 0.1)))"
 
 
+@query("SELECT 'v2' AS version, unnest(['n_chars', 'n_words', 'distinct_ratio']) AS feature, unnest([0, 1, 2])::BIGINT AS ord, unnest([2500.0, 400.0, 0.8])::DOUBLE AS mean, unnest([3000.0, 500.0, 0.1])::DOUBLE AS std, unnest([0.4, -0.2, 0.7])::DOUBLE AS coef, 0.3::DOUBLE AS intercept, n AS n_rows FROM (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id))")
+def export_ensemble(spark, sf):
+    """A stored model as a portable table, written as JSON and read again, beside the number of rows it is meant for."""
+    table_ = io.roundtrip_json(K.ensemble_table(spark, FIXED, "v2"), io.scratch(spark, "ensemble"))
+    return table_.crossJoin(F.broadcast(calib(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"))))  # one row
+
+
 @query(sql(f"SELECT row_id, {FIXED_SQL} AS p FROM calib", "calib", rnd="p"))
 def score_ensemble(spark, sf):
     """A stored coefficient table applied by a join, without unpickling anything."""
@@ -293,57 +291,68 @@ def score_ensemble(spark, sf):
     return K.score_with_table(calib(spark, sf), spark.range(1).select(F.inline(rows)), FEATURES, "row_id")
 
 
-@query()
-def ablate_features(spark, sf):
-    """Val AUC after leaving out each feature."""
-    c, out = calib(spark, sf), None
-    for f in FEATURES:
-        one = ranks.roc_auc(c.where("split = 'val'").withColumn("score", K.score(_fit(spark, sf, [x for x in FEATURES if x != f]))), "score", "label", []).select(F.lit(f).alias("dropped"), "auc")
+def _evaluated(c, features, name: str, value: str, policy: str = "mean"):
+    """(name, auc, f1, n_cells, mean_gap, correct_dir): an ensemble fitted on dev rows, judged on val rows, and deployed."""
+    model = K.fit_ensemble(c.where("split = 'dev'"), list(features), "label")
+    scored = c.withColumn("score", K.score(model, policy))
+    val = scored.where("split = 'val'")
+    auc = ranks.roc_auc(val, "score", "label", [])
+    f1 = ranks.prf(val, "score", "label", F.lit(0.5), []).select("f1")
+    gap = K.deployment_gap(scored.withColumn("correct", 1 - F.col("toxic")), ["variant"])
+    return auc.crossJoin(F.broadcast(f1)).crossJoin(F.broadcast(gap)).select(F.lit(value).alias(name), "auc", "f1", "n_cells", "mean_gap", "correct_dir")  # one row each
+
+
+def _stacked(parts):
+    out = None
+    for one in parts:
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query()
-def alt_ensembles(spark, sf):
-    c, out = calib(spark, sf), None
-    for name, fs in (("full", FEATURES), ("length", FEATURES[:2]), ("ratio", FEATURES[2:])):
-        one = ranks.roc_auc(c.where("split = 'val'").withColumn("score", K.score(_fit(spark, sf, fs), "zero")), "score", "label", []).select(F.lit(name).alias("ensemble"), "auc")
-        out = one if out is None else out.unionByName(one)
-    return out
+def ablate_features(spark, sf):
+    """Val AUC and F1 and the deployment gap after leaving out each feature."""
+    c = calib(spark, sf)
+    return _stacked(_evaluated(c, [x for x in FEATURES if x != f], "dropped", f) for f in FEATURES)
 
 
-def _with_feature(spark, sf, extra, name):
-    feats = [*FEATURES, name]
-    c = calib(spark, sf).join(extra, "row_id", "left")
-    model = K.fit_ensemble(c.where("split = 'dev'").fillna({name: 0.0}), feats, "label")
-    return c.select("row_id", "variant", "label", name, K.score(model, "zero").alias("p"))
+@query()
+def alt_ensembles(spark, sf):
+    """The same for named subsets of the features, missing values as 0."""
+    c = calib(spark, sf)
+    return _stacked(_evaluated(c, fs, "ensemble", name, "zero") for name, fs in (("full", FEATURES), ("length", FEATURES[:2]), ("ratio", FEATURES[2:])))
 
 
 @query()
 def difficulty_matched_ensemble(spark, sf):
-    """A further feature: the difficulty quantile, after matching each positive with its nearest negative."""
-    c = calib(spark, sf)
-    m = peers.nearest_match(c.where("label = 1"), c.where("label = 0"), "n_chars", "row_id", ["variant"]).select("row_id", "distance")
-    d = peers.difficulty_quantile(c, "n_chars", ["variant"], "row_id").select("row_id", "difficulty")
-    return _with_feature(spark, sf, d.join(m, "row_id", "left").select("row_id", "difficulty"), "difficulty")
+    """(n_dev, n_val, auc, f1): each variant's positives and, for each, the negative nearest in difficulty, repeats kept;
+    the difficulty quantile is a further feature; fitted on dev variants, judged on val ones."""
+    return K.difficulty_matched(calib(spark, sf), FEATURES, "n_chars", "label", "row_id", "variant")
 
 
 @query()
 def peer_ensemble(spark, sf):
-    """A further feature: the robust z-score of a document among those of its language and size class."""
-    c = calib(spark, sf).withColumn("g", F.floor(F.log2(F.col("n_chars") + 1)))
-    return _with_feature(spark, sf, peers.robust_z(c, "n_words", ["variant", "g"]).select("row_id", "peer_z"), "peer_z")
+    """(features, auc, f1): losses alone, and with the robust z-score of a model's loss among all models on the item."""
+    z = peers.robust_z(matrix(spark, sf), "loss", ["item_id"]).withColumns({"label": F.col("correct"), "split": F.when(F.col("item_id") % 5 < 3, "dev").otherwise("val")})
+
+    def one(features, name):
+        scored = z.withColumn("score", K.score(K.fit_ensemble(z.where("split = 'dev'"), features, "label"))).where("split = 'val'")
+        return ranks.roc_auc(scored, "score", "label", []).crossJoin(F.broadcast(K.max_f1(scored, "score", "label", []))).select(F.lit(name).alias("features"), "auc", F.col("max_f1").alias("f1"))  # one row
+
+    return one(["loss"], "loss").unionByName(one(["loss", "peer_z"], "loss and peer_z"))
 
 
 @query()
 def kfold_eval(spark, sf):
-    c = resample.kfold(calib(spark, sf), 3, "cv", "row_id", []).cache()
-    out = None
-    for i in range(3):
-        model = K.fit_ensemble(c.where(F.col("fold") != i), FEATURES, "label")
-        one = ranks.roc_auc(c.where(F.col("fold") == i).withColumn("score", K.score(model)), "score", "label", []).select(F.lit(i).alias("fold"), "auc")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(k, fold, auc, f1) of cross-validation with 2, 3 and 5 folds."""
+    c = calib(spark, sf)
+
+    def one(k, i, folds):
+        model = K.fit_ensemble(folds.where(F.col("fold") != i), FEATURES, "label")
+        scored = folds.where(F.col("fold") == i).withColumn("score", K.score(model))
+        return ranks.roc_auc(scored, "score", "label", []).crossJoin(F.broadcast(K.max_f1(scored, "score", "label", []))).select(F.lit(k).alias("k"), F.lit(i).alias("fold"), "auc", F.col("max_f1").alias("f1"))  # one row
+
+    return _stacked(one(k, i, folds) for k in (2, 3, 5) for folds in [resample.kfold(c, k, "cv", "row_id", [])] for i in range(k))
 
 
 @query(sql(f"SELECT variant, greatest(a, 1 - a) AS auc FROM (SELECT variant, (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS a FROM (SELECT *, rank() OVER (PARTITION BY variant ORDER BY s) + (count(*) OVER (PARTITION BY variant, s) - 1) / 2 AS r FROM (SELECT variant, label, round({FIXED_SQL}, 9) AS s FROM calib)) GROUP BY 1)", "calib", rnd="auc"))
@@ -361,18 +370,19 @@ def exposure_curve(spark, sf):
 
 @query()
 def kmeans_strata(spark, sf):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """Four clusters of the embeddings as strata."""
+    return K.kmeans_strata(table(spark, sf, "embeddings"), "vec_id", "embedding", 4)
 
-    e = table(spark, sf, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=4, seed=0).fit(e).transform(e).select("vec_id", F.col("prediction").alias("stratum"))
 
-
-@query(sql(f"SELECT detector, greatest(auc, 0) AS auc, max_f1 FROM (SELECT variant, detector, auc FROM ({AUC_SQL})) JOIN (SELECT variant, detector, max(2 * tp / (tp + fp + p)) AS max_f1 FROM ({CURVE}) GROUP BY 1, 2) USING (variant, detector) WHERE detector <> 'distinct_ratio' AND variant = 'A'", "long_calib", rnd="auc max_f1"))
+@query(sql(f"SELECT variant, detector, auc, max_f1, auc - ref AS lift FROM ({AUC_SQL}) JOIN (SELECT variant, detector, max(2 * tp / (tp + fp + p)) AS max_f1 FROM ({CURVE}) GROUP BY 1, 2) USING (variant, detector) JOIN (SELECT variant, auc AS ref FROM ({AUC_SQL}) WHERE detector = 'distinct_ratio') USING (variant) WHERE detector <> 'distinct_ratio'", "long_calib", rnd="auc max_f1 lift"))
 def blind_baseline(spark, sf):
-    """What text length alone would detect, in the first variant."""
-    lf = long_calib(spark, sf).where("variant = 'A' and detector <> 'distinct_ratio'")
-    return ranks.roc_auc(lf, "score", "label", ["detector"]).select("detector", "auc").join(K.max_f1(lf, "score", "label", ["detector"]), "detector")
+    """What text length alone would detect in each variant, either way round, beside a reference detector."""
+    lf = long_calib(spark, sf)
+    auc = ranks.roc_auc(lf, "score", "label", ["variant", "detector"]).select("variant", "detector", "auc")
+    f1 = K.max_f1(lf, "score", "label", ["variant", "detector"])
+    ref = auc.where("detector = 'distinct_ratio'").select("variant", F.col("auc").alias("_ref"))
+    blind = auc.where("detector <> 'distinct_ratio'").join(f1, ["variant", "detector"]).join(ref, "variant")
+    return blind.select("variant", "detector", "auc", "max_f1", (F.col("auc") - F.col("_ref")).alias("lift"))
 
 
 @query(sql("SELECT model, count(*) AS n, corr(loss - a, loss - b) AS pearson FROM (SELECT m.model, m.loss, x.loss AS a, y.loss AS b FROM matrix m JOIN matrix x ON x.item_id = m.item_id AND x.model = 'm0' JOIN matrix y ON y.item_id = m.item_id AND y.model = 'm9' WHERE m.model NOT IN ('m0', 'm9')) GROUP BY 1", "matrix", rnd="pearson"))
@@ -383,9 +393,9 @@ def refmodel_sensitivity(spark, sf):
     return j.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.corr(F.col("loss") - F.col("a"), F.col("loss") - F.col("b")).alias("pearson"))
 
 
-@query(sql("SELECT count(*) AS n, avg(gap) AS mean, stddev_samp(gap) AS sd, avg(gap) / (stddev_samp(gap) / sqrt(count(*))) AS t FROM (" + split_sql(f"SELECT model, correct, round(delta, 9) AS delta FROM ({DELTA}) JOIN matrix USING (model, item_id)", "model", "delta", 0.2, 0.8, "contam", "clean") + ")", "models", rnd="mean sd t"))
+@query(sql(f"SELECT *, {t_tail_sql('t', 'n - 1')} AS p FROM (SELECT count(*) AS n, avg(gap) AS mean, stddev_samp(gap) AS sd, avg(gap) / (stddev_samp(gap) / sqrt(count(*))) AS t FROM (" + split_sql(f"SELECT model, correct, round(delta, 9) AS delta FROM ({DELTA}) JOIN matrix USING (model, item_id)", "model", "delta", 0.2, 0.8, "contam", "clean") + "))", "models", rnd="mean sd t p"))
 def peer_delta_gap(spark, sf):
     """Gaps after splitting items by their delta to capability peers, and the test of their mean."""
     d = _delta(spark, sf).join(matrix(spark, sf).select("model", "item_id", "correct"), ["model", "item_id"])
     g = C.quantile_split(d.withColumn("delta", F.round("delta", 9)), "delta", ["model"], 0.2, 0.8, True)
-    return I.ttest_1samp(g, "gap", []).drop("p")
+    return I.ttest_1samp(g, "gap", [])

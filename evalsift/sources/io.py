@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import ngram_hashes
+from ..operators.prefix import numbered, part_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,17 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; our own where that is unset)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local master gets one of its own where that is unset)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         where = spark.sparkContext.getCheckpointDir()
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def scan_items(items: DataFrame, most: int | None = None) -> DataFrame:
-    """Items with a stable index by id; with ``most``, the first so many (a top-k, not a sort of all)."""
-    return items.orderBy("item_id").limit(most) if most else items
+    """Items with a stable index ``item_idx`` in order of their ids; with ``most``, the first so many (a top-k)."""
+    first = items.orderBy("item_id").limit(most) if most else items
+    return numbered(first, [], [F.col("item_id")], part_of(first, "item_id"), "item_idx")
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -89,6 +94,13 @@ def write_index(docs: DataFrame, tokens: Column, sizes: list[int], path: str) ->
     return unique.join(counts, "corpus").select("corpus", F.col("n").cast("int").alias("n"), "docs", "tokens", "ngrams")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, however often it is read."""
+    path = scratch(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def roundtrip_csv(df: DataFrame, path: str) -> DataFrame:
     df.write.option("header", True).csv(path)
     return df.sparkSession.read.option("header", True).schema(df.schema).csv(path)

@@ -10,16 +10,15 @@ from ..functions.text import ngram_hashes, tokenize_words
 
 
 def stream_index(spark: SparkSession, source: str, schema: StructType, index: str, checkpoint: str, n: int = 13, files: int = 1) -> None:
-    """Consumes all files of ``source``; each batch appends the hashes that the stored index lacks.
+    """Consumes all files of ``source``; each batch adds the hashes that it holds.
 
-    No state grows in the stream: what was seen is the index itself, against which a batch is anti-joined. A batch that
-    is repeated after a failure finds its own rows and appends nothing, and readers take distinct hashes in any case.
+    No state grows in the stream, and no batch reads what others wrote: each writes its distinct hashes into a folder of
+    its own, which a batch repeated after a failure writes anew. Readers take distinct hashes over all batches.
     """
-    spark.createDataFrame([], "h long").write.mode("ignore").parquet(index)
+    spark.createDataFrame([], "h long").write.mode("ignore").parquet(f"{index}/batch=-1")
 
-    def append(batch: DataFrame, _: int) -> None:
-        fresh = batch.distinct().join(spark.read.schema("h long").parquet(index), "h", "left_anti")
-        fresh.write.mode("append").parquet(index)
+    def append(batch: DataFrame, number: int) -> None:
+        batch.distinct().write.mode("overwrite").parquet(f"{index}/batch={number}")
 
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     grams = docs.select(F.explode(ngram_hashes(tokenize_words(F.col("text")), n)).alias("h"))
