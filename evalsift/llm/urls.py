@@ -48,6 +48,7 @@ def listed(pages: DataFrame, listing: DataFrame, key: str = "canonical") -> Data
 
     ``listing`` may repeat keys. The filter's blocks grow with the list (about 16 bits a key) up to MAX_BLOCKS. Pages
     that the filter rules out never reach the join; of the rest, the hash join on the whole key removes the false hits.
+    Both kinds are read apart (two narrow scans): in one join the pages ruled out would be shuffled with the others.
     """
     keys = listing.select(F.col(key)).where(F.col(key).isNotNull() & (F.col(key) != "")).distinct()
     blocks = 64
