@@ -465,3 +465,137 @@ def test_rows_without_id_and_repeated_ids(spark):
     for text in (lone[2], lone[2] + " end"):
         got[None, "none"] += got.pop((None, text), 0)
     assert got == collections.Counter({(20, ends[0]): 1, (22, lone[0]): 1, (22, lone[1]): 1, (None, "none"): 1, (None, ""): 1, (23, None): 1})
+
+
+def test_pii_is_linear_and_finds_planted(spark):
+    """100 000 candidates in one text; and recall of what the base patterns miss, among lookalikes."""
+    import time
+
+    from evalsift.llm.pii import find_pii
+
+    warm = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
+    find_pii(warm).collect()
+    many = spark.createDataFrame([(1, "card 4111 1111 1111 1112 x@y.z " * 50_000)], "doc_id long, text string")
+    began = time.time()
+    got = find_pii(many).first()
+    assert got["n_email"] == 50_000 and time.time() - began < 60
+    rng = np.random.default_rng(2)
+    num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    loose, plain = [], []
+    for i in range(300):
+        loose.append([f"please mail joe{i} [at] firm{i}.example.com today", f"call {num(3)}-{num(3)}-{num(4)} now", f"login from 10[.]{i % 250}[.]3[.]7 was seen", f"write to anna{i} at mail{i} dot org please"][i % 4])
+        plain.append([f"version {i} of the text at hand", f"the sum of {num(3)} and {num(4)} is odd", f"look at page {i} dot by dot", f"ratio 3:4 in {i} cases"][i % 4])
+    strict = [f"mail b{i}@c.org or call +49 30 {num(8)} from 192.0.2.{i % 250}" for i in range(300)]
+    rows = list(enumerate(strict + loose + plain))
+    got = {r["doc_id"]: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[i]["n_more"] > 0 for i in range(300, 600))
+    assert found >= 0.9 * 300 and sum(got[i]["n_more"] for i in range(600, 900)) <= 3
+
+
+def test_pii_expectation_maximisation_and_classifier(spark):
+    """Reliabilities and naive Bayes weights against numpy."""
+    from evalsift.llm import pii as P
+
+    rng = np.random.default_rng(4)
+    n = 600
+    truth = rng.random(n) < 0.6
+    votes = np.stack([np.where(rng.random(n) < 0.2, -1, np.where(rng.random(n) < acc, truth, ~truth)) for acc in (0.95, 0.9, 0.8, 0.7, 0.85, 0.75)], 1).astype(int)
+    feats = np.stack([np.where(truth, 1, 0), *(rng.integers(0, 3, n) for _ in range(4))], 1)
+    df = spark.createDataFrame([(0, *map(int, v), *map(int, f)) for v, f in zip(votes, feats, strict=True)], "kind int, " + ", ".join(f"{c} int" for c in P.NAMES))
+    model = P.reliabilities(df.groupBy("kind", *P.NAMES[: P.VOTERS]).agg(F.count(F.lit(1)).alias("n")))
+    prior, t, f = 0.5, np.full(6, 0.8), np.full(6, 0.3)
+    clip = lambda x: np.clip(x, 1e-4, 1 - 1e-4)
+
+    def post():
+        z = np.log(prior / (1 - prior)) + np.where(votes == 1, np.log(t / f), np.where(votes == 0, np.log((1 - t) / (1 - f)), 0)).sum(1)
+        return 1 / (1 + np.exp(-z))
+
+    for _ in range(P.ROUNDS):
+        p = post()[:, None]
+        on, cast = votes == 1, votes >= 0
+        prior = clip((p.sum() + 1) / (n + 2))
+        t, f = clip(((on * p).sum(0) + 0.5) / ((cast * p).sum(0) + 1)), clip(((on * (1 - p)).sum(0) + 0.5) / ((cast * (1 - p)).sum(0) + 1))
+    assert np.allclose(model[0]["true"], t, atol=1e-6) and np.allclose(model[0]["false"], f, atol=1e-6) and abs(model[0]["prior"] - prior) < 1e-6
+    p = post()
+    assert ((p > 0.5) == truth).mean() > 0.95
+    odds, weight = P.classifier(df, model)
+    assert abs(odds[0] - math.log((p.sum() + 1) / ((1 - p).sum() + 1))) < 1e-6
+    for c, name in zip(np.concatenate([votes, feats], 1).T, P.NAMES, strict=True):
+        for v in np.unique(c):
+            want = math.log((p[c == v].sum() + 0.5) / (p.sum() + 5)) - math.log(((1 - p)[c == v].sum() + 0.5) / ((1 - p).sum() + 5))
+            assert abs(weight[0, name, int(v)] - want) < 1e-6
+
+
+def plain_sketch(spark, text):
+    """The fingerprint of a text in plain Python, given Spark's hash of k-mers."""
+    w = words(text)
+    if not w:
+        return [-1] * 64
+    grams = [w[i : i + 2] for i in range(len(w) - 1)] or [w]
+    cut = lambda h: (h & (2**63 - 1)) >> 30
+    hashed = lambda rows, kinds, expr: [r[0] for r in spark.createDataFrame(rows, kinds).selectExpr(f"{expr} as h").collect()]
+    h = [cut(x) for x in hashed([tuple(g) for g in grams], "a string, b string" if len(w) > 1 else "a string", "xxhash64(a, b)" if len(w) > 1 else "xxhash64(array(a))")]
+    order = sorted(range(len(h)), key=lambda i: (h[i], i))
+    seen, numbers = collections.Counter(), {}
+    for i in order:
+        numbers[i] = seen[h[i]]
+        seen[h[i]] += 1
+    g = [cut(x) for x in hashed([(h[i], numbers[i]) for i in range(len(h))], "a long, n int", "xxhash64(a, n)")]
+    order = sorted(range(len(g)), key=lambda i: (g[i], i))
+    pairs = {}
+    for at, i in enumerate(order):
+        j = order[(at + 1) % len(order)]
+        pairs.setdefault(g[i] >> 27, (g[i], g[j]) if i <= j else (g[j], g[i]))
+    tuples = hashed([(*p,) for p in pairs.values()], "a long, b long", "pmod(xxhash64(a, b), 65536)")
+    out = dict(zip(pairs, tuples, strict=True))
+    return [out.get(j, -1) for j in range(64)]
+
+
+def test_order_minhash_against_plain_sketches(spark):
+    from evalsift.llm.order_minhash import fingerprint
+
+    rng = np.random.default_rng(8)
+    texts = ["", "one", "two words", "a b a b a b a b", " ".join(f"w{x}" for x in rng.integers(0, 12, 300)), " ".join(f"v{x}" for x in rng.integers(0, 900, 500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", fingerprint(F.col("t")).alias("f"))
+    for r in df.collect():
+        assert list(r["f"]) == plain_sketch(spark, texts[r["i"]]), texts[r["i"]][:40]
+
+
+def test_next_rows_over_uneven_ids(spark, monkeypatch):
+    """Ids far apart, ids that many rows share and rows without id, over few and many bins."""
+    from evalsift.llm import order_minhash as O
+
+    rng = np.random.default_rng(9)
+    ids = [*range(300), 2**61, -(2**60), *[None] * 200, *[77] * 150, *[int(x) for x in rng.integers(0, 10**9, 200)]]
+    rows = [(d, f"t{i} {d}") for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in df.select("*", F.xxhash64("text").alias("h")).collect()}
+    line = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r]))
+    want = {r: line[(i + 1) % len(line)][1] for i, r in enumerate(line)}
+    for few, cuts in ((2048, 255), (10, 7), (1, 255)):
+        monkeypatch.setattr(O, "FEW", few)
+        monkeypatch.setattr(O, "CUTS", cuts)
+        got = {(r["doc_id"], r["text"]): r["next"]["text"] for r in O.with_next(df, 2).collect()}
+        assert got == want
+
+
+def test_secret_dictionary_and_threshold(spark):
+    """The dictionary comes from the corpus's identifiers; random strings pass the threshold, compounds of its words do not."""
+    from evalsift.llm import secrets as S
+
+    names = ["customer", "invoice", "warehouse", "shipment", "pricing", "ledger", "tenant", "gateway"]
+    rows = [(i, f"def load_{names[i % 8]}_{names[(i + 3) % 8]}(self): {names[i % 8]}Total = get{names[(i + 1) % 8].title()}Name()") for i in range(64)] + [(99, None), (100, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = S.identifiers(df)
+    assert set(names) <= set(known.decode().split()) and S.identifiers(df.limit(0)) == b""
+    rng = np.random.default_rng(1)
+    kept = {"words": known}
+    passes = lambda pieces: np.mean([S.novel(p, "the secret key is", kept) for p in pieces])
+    drawn = lambda letters: ["".join(rng.choice(list(letters), n)) for n in (16, 20, 24, 32, 40, 64) for _ in range(30)]
+    for letters in (string.ascii_letters + string.digits, "0123456789abcdef", string.digits + "-"):
+        assert passes(drawn(letters)) >= 0.99, letters
+    made = lambda k: ["_".join(rng.choice(names, k, replace=False)) for _ in range(100)]
+    assert passes(made(4)) <= 0.05 and passes(made(3)) <= 0.25
+    long = "token=abcdefgh12345678 key kX93/hjQ82mmPPw01zLq8Vb " * 20_000
+    base, extra = S.scan(long, dict(kept))
+    assert len(base) == 20_000 and len(extra) == 20_000
