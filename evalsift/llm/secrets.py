@@ -90,7 +90,8 @@ def scan(text: str, shared: dict | None = None) -> tuple[list[tuple[int, int, st
                 at += 1
             if at < len(taken) and taken[at][0] < e:
                 continue
-            if novel(piece, text[max(0, s - PRIME) : s] + text[e : e + PRIME], shared):
+            # what follows may repeat the piece, which makes the later one known, not this one
+            if novel(piece, text[max(0, s - PRIME) : s] + text[e : e + PRIME].replace(piece, ""), shared):
                 extra.append((s, 3, e))
     return sorted(base), extra
 

@@ -596,6 +596,7 @@ def test_secret_dictionary_and_threshold(spark):
         assert passes(drawn(letters)) >= 0.99, letters
     made = lambda k: ["_".join(rng.choice(names, k, replace=False)) for _ in range(100)]
     assert passes(made(4)) <= 0.05 and passes(made(3)) <= 0.25
-    long = "token=abcdefgh12345678 key kX93/hjQ82mmPPw01zLq8Vb " * 20_000
+    letters = np.array(list(string.ascii_letters + string.digits))
+    long = " ".join(f"token=abcdefgh12345678 key {''.join(rng.choice(letters, 24))}" for _ in range(5000))
     base, extra = S.scan(long, dict(kept))
-    assert len(base) == 20_000 and len(extra) == 20_000
+    assert len(base) == len(extra) == 5000 and len(S.scan("key kX93/hjQ82mmPPw01zLq8Vb " * 2, dict(kept))[1]) == 1
