@@ -600,3 +600,83 @@ def test_secret_dictionary_and_threshold(spark):
     long = " ".join(f"token=abcdefgh12345678 key {''.join(rng.choice(letters, 24))}" for _ in range(5000))
     base, extra = S.scan(long, dict(kept))
     assert len(base) == len(extra) == 5000 and len(S.scan("key kX93/hjQ82mmPPw01zLq8Vb " * 2, dict(kept))[1]) == 1
+
+
+def test_kd_tree_splits_and_cuts(spark):
+    """Every node against plain Python: the widest dimension, and a cut as near the weighted share as ties allow."""
+    from evalsift.llm.sharding import kd_tree, leaf_of
+
+    rng = np.random.default_rng(6)
+    pts = [(i, int(rng.integers(0, 1000)) << 8, int(rng.exponential(300)) << 8, int(rng.integers(0, 4)) * 2000, int(rng.integers(1, 50))) for i in range(3000)]
+    df = spark.createDataFrame(pts, "i long, d0 long, d1 long, d2 long, w long").cache()
+    dims = ["d0", "d1", "d2"]
+    tree = {n["node"]: n for n in kd_tree(df, 7, dims, "w")}
+    rows = {1: [dict(zip(("i", *dims, "w"), p, strict=True)) for p in pts]}
+    assert len(tree) == 6
+    for node in sorted(tree):
+        n, here = tree[node], rows[node]
+        span = {d: max(r[d] for r in here) - min(r[d] for r in here) for d in dims}
+        assert span[n["dim"]] == max(span.values())
+        low, high = [r for r in here if r[n["dim"]] <= n["cut"]], [r for r in here if r[n["dim"]] > n["cut"]]
+        goal = sum(r["w"] for r in here) * n["low"] / n["leaves"]
+        by_value = collections.Counter()
+        for r in here:
+            by_value[r[n["dim"]]] += r["w"]
+        assert abs(sum(r["w"] for r in low) - goal) <= max(by_value.values())
+        rows[node * 2], rows[node * 2 + 1] = low, high
+    want = {}
+    walk = lambda node: [node] if node not in tree else walk(node * 2) + walk(node * 2 + 1)
+    for first, leaf in enumerate(walk(1)):
+        want |= {r["i"]: first for r in rows[leaf]}
+    assert {r["i"]: r["l"] for r in df.select("i", leaf_of(list(tree.values())).alias("l")).collect()} == want
+
+
+def test_axes_put_like_categories_together(spark):
+    from evalsift.llm.sharding import SCALE, points
+
+    rows = [(i, "x" * (10 if s == "small" else 1000 if s == "large" else 100), "en", s) for i, s in enumerate(["small"] * 50 + ["large"] * 5 + ["mid"] * 10 + [None] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    place = {r["source"]: r["d0"] >> 28 for r in points(df, 4).join(df.select("doc_id", "source"), "doc_id").collect()}
+    assert 0 <= place["small"] < place["mid"] < place["large"] < SCALE
+
+
+def test_thresholds_against_every_cut():
+    from evalsift.llm import toxicity as T
+
+    rng = np.random.default_rng(7)
+    p, y = np.round(rng.random(400), 2), (rng.random(400) < 0.3).astype(int)
+    langs = [["en", "de", None, "rare"][min(3, i % 9)] for i in range(400)]
+    y[[i for i, x in enumerate(langs) if x == "rare"]] = 0
+
+    def best(s, v):
+        f = {}
+        for cut in sorted(set(s)):
+            hit = s >= cut
+            f[cut] = (1 + T.BETA**2) * (hit & (v == 1)).sum() / (hit.sum() + T.BETA**2 * v.sum())
+        return max(f.values()), f
+
+    got = T.thresholds(p, y, langs)
+    assert set(got) == {None, "en", "de"}
+    for lang, cut in got.items():
+        at = np.array([lang is None or x == lang for x in langs])
+        top, _ = best(p[at], y[at])
+        hit = p[at] >= cut
+        assert abs((1 + T.BETA**2) * (hit & (y[at] == 1)).sum() / (hit.sum() + T.BETA**2 * y[at].sum()) - top) < 1e-12
+
+
+def test_empty_tables(spark):
+    """No rows in: no rows out, of the same columns."""
+    import corpus_pipeline as P
+    from evalsift.llm.pii import find_pii
+    from evalsift.llm.toxicity import score_documents
+    from evalsift.llm.urls import filter_urls
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert find_pii(docs).count() == score_documents(docs, labels).count() == score_documents(docs, labels.limit(0)).count() == 0
+    listing = spark.createDataFrame([("a/b",)], "canonical string")
+    pages = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
+    assert filter_urls(pages.limit(0), listing).count() == 0 and not filter_urls(pages, listing.limit(0)).first()["listed"]
+    for name, stage in P.STAGES:
+        out = stage(spark, docs.select(*P.COLUMNS), SF)
+        assert out.count() == 0, name
