@@ -312,14 +312,14 @@ def _stacked(parts):
 @query()
 def ablate_features(spark, sf):
     """Val AUC and F1 and the deployment gap after leaving out each feature."""
-    c = calib(spark, sf)
+    c = io.stored(calib(spark, sf))
     return _stacked(_evaluated(c, [x for x in FEATURES if x != f], "dropped", f) for f in FEATURES)
 
 
 @query()
 def alt_ensembles(spark, sf):
     """The same for named subsets of the features, missing values as 0."""
-    c = calib(spark, sf)
+    c = io.stored(calib(spark, sf))
     return _stacked(_evaluated(c, fs, "ensemble", name, "zero") for name, fs in (("full", FEATURES), ("length", FEATURES[:2]), ("ratio", FEATURES[2:])))
 
 
@@ -327,13 +327,13 @@ def alt_ensembles(spark, sf):
 def difficulty_matched_ensemble(spark, sf):
     """(n_dev, n_val, auc, f1): each variant's positives and, for each, the negative nearest in difficulty, repeats kept;
     the difficulty quantile is a further feature; fitted on dev variants, judged on val ones."""
-    return K.difficulty_matched(calib(spark, sf), FEATURES, "n_chars", "label", "row_id", "variant")
+    return K.difficulty_matched(io.stored(calib(spark, sf)), FEATURES, "n_chars", "label", "row_id", "variant")
 
 
 @query()
 def peer_ensemble(spark, sf):
     """(features, auc, f1): losses alone, and with the robust z-score of a model's loss among all models on the item."""
-    z = peers.robust_z(matrix(spark, sf), "loss", ["item_id"]).withColumns({"label": F.col("correct"), "split": F.when(F.col("item_id") % 5 < 3, "dev").otherwise("val")})
+    z = io.stored(peers.robust_z(matrix(spark, sf), "loss", ["item_id"]).withColumns({"label": F.col("correct"), "split": F.when(F.col("item_id") % 5 < 3, "dev").otherwise("val")}))
 
     def one(features, name):
         scored = z.withColumn("score", K.score(K.fit_ensemble(z.where("split = 'dev'"), features, "label"))).where("split = 'val'")
@@ -345,14 +345,14 @@ def peer_ensemble(spark, sf):
 @query()
 def kfold_eval(spark, sf):
     """(k, fold, auc, f1) of cross-validation with 2, 3 and 5 folds."""
-    c = calib(spark, sf)
+    c = io.stored(calib(spark, sf))
 
     def one(k, i, folds):
         model = K.fit_ensemble(folds.where(F.col("fold") != i), FEATURES, "label")
         scored = folds.where(F.col("fold") == i).withColumn("score", K.score(model))
         return ranks.roc_auc(scored, "score", "label", []).crossJoin(F.broadcast(K.max_f1(scored, "score", "label", []))).select(F.lit(k).alias("k"), F.lit(i).alias("fold"), "auc", F.col("max_f1").alias("f1"))  # one row
 
-    return _stacked(one(k, i, folds) for k in (2, 3, 5) for folds in [resample.kfold(c, k, "cv", "row_id", [])] for i in range(k))
+    return _stacked(one(k, i, folds) for k in (2, 3, 5) for folds in [io.stored(resample.kfold(c, k, "cv", "row_id", []))] for i in range(k))
 
 
 @query(sql(f"SELECT variant, greatest(a, 1 - a) AS auc FROM (SELECT variant, (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS a FROM (SELECT *, rank() OVER (PARTITION BY variant ORDER BY s) + (count(*) OVER (PARTITION BY variant, s) - 1) / 2 AS r FROM (SELECT variant, label, round({FIXED_SQL}, 9) AS s FROM calib)) GROUP BY 1)", "calib", rnd="auc"))
