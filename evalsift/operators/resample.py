@@ -38,6 +38,11 @@ def by_side(items: DataFrame, keys: list[str]) -> DataFrame:
     return items.groupBy(*keys).agg(n("clean").alias("n_clean"), n("contam").alias("n_contam"), hit("clean").alias("k_clean"), hit("contam").alias("k_contam"))
 
 
+def spread(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Few rows with much work each, dealt over all cores: by size alone they would be one partition."""
+    return cells.repartition(cells.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def uniform(*keys: Column) -> Column:
     return (md5_int(*keys) + 0.5) / F.lit(float(1 << 32))
 
@@ -49,9 +54,11 @@ def permutation_test(items: DataFrame, keys: list[str], n: int, seed: int = 1) -
     gap orders as that number does. It is drawn by inversion: it is at most the observed number just where its uniform,
     from the md5 of (seed, repetition, cell), is at most the distribution function there. Rows are counted once.
     """
-    cells = exact_permutation(by_side(items, keys).where("n_clean > 0 and n_contam > 0"))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda rep: (uniform(F.lit(seed), rep, *[F.col(k) for k in keys]) <= F.col("p_exact")).cast("int"))
-    return cells.select(*keys, (F.aggregate(draws, F.lit(0), lambda a, x: a + x) / n).alias("p_perm"))
+    cells = exact_permutation(spread(by_side(items, keys).where("n_clean > 0 and n_contam > 0"), keys))
+    below = lambda p: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda rep: (uniform(F.lit(seed), rep, *[F.col(k) for k in keys]) <= p).cast("int"))
+    # the distribution function is bound once a cell, not once a repetition
+    share = F.transform(F.array("p_exact"), lambda p: F.aggregate(below(p), F.lit(0), lambda a, x: a + x) / n)[0]
+    return cells.select(*keys, share.alias("p_perm"))
 
 
 def bootstrap_ci(items: DataFrame, keys: list[str], n: int, seed: int = 2) -> DataFrame:
@@ -60,7 +67,7 @@ def bootstrap_ci(items: DataFrame, keys: list[str], n: int, seed: int = 2) -> Da
     A resample of a side with k of m correct has a binomial number of correct rows; both numbers are drawn by inversion
     from uniforms of (seed, side, repetition, cell). Rows are counted once, and a cell's repetitions stay in its row.
     """
-    cells = by_side(items, keys).where("n_clean > 0 and n_contam > 0")
+    cells = spread(by_side(items, keys).where("n_clean > 0 and n_contam > 0"), keys)
     side = lambda s: binomial_draw(F.col(f"n_{s}"), F.col(f"k_{s}"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda rep: uniform(F.lit(seed), F.lit(s), rep, *[F.col(k) for k in keys])))
     gaps = F.zip_with(side("clean"), side("contam"), lambda a, b: a / F.col("n_clean") - b / F.col("n_contam"))
     at = lambda q: F.get("_g", F.lit(int(q * (n - 1)))) + (F.get("_g", F.lit(min(n - 1, int(q * (n - 1)) + 1))) - F.get("_g", F.lit(int(q * (n - 1))))) * (q * (n - 1) - int(q * (n - 1)))
