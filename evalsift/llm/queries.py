@@ -1,4 +1,4 @@
-"""The ten queries over the given tables, and SQL for those that SQL can express."""
+"""The thirteen queries over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -72,7 +72,25 @@ def op1_pii_weak_supervision(spark, sf_dir):
     return find_pii(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_weak_supervision, op2_mix_sources, op3_secret_novelty, op4_ngram_jaccard_join, op5_kd_shards, op6_toxicity_cnn, op7_benchmark_containment, op8_lm_backoff, op9_url_bloom_filter, op10_order_minhash)}
+def op11_tokenizer_alignment(spark, sf_dir):
+    from .alignment import align_documents
+
+    return align_documents(_t(spark, sf_dir, "documents"))
+
+
+def op12_warc_normaliser(spark, sf_dir):
+    from .warc import archive_pages
+
+    return archive_pages(_t(spark, sf_dir, "pages"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    from .divergence import audit
+
+    return audit(_t(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_weak_supervision, op2_mix_sources, op3_secret_novelty, op4_ngram_jaccard_join, op5_kd_shards, op6_toxicity_cnn, op7_benchmark_containment, op8_lm_backoff, op9_url_bloom_filter, op10_order_minhash, op11_tokenizer_alignment, op12_warc_normaliser, op13_source_divergence)}
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 FIVES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
@@ -100,4 +118,16 @@ ORACLES: dict[str, str] = {
             WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
             WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM c)
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, canonical, listed FROM r""",
+    "op12_warc_normaliser": """WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p), r AS (SELECT *, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
+    "op13_source_divergence": f"""WITH d AS MATERIALIZED (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UP}', '{LOW}') AS text, row_number() OVER () AS r FROM documents),
+        o AS (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d), c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM o GROUP BY ALL),
+        l AS MATERIALIZED (SELECT lang, term, sum(n) AS all_n FROM c GROUP BY ALL HAVING sum(docs) >= 30), v AS (SELECT lang, count(*) AS v, sum(all_n) AS lang_n FROM l GROUP BY ALL), g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+        k AS (SELECT g.lang, g.source, l.term, coalesce(c.n, 0)::HUGEINT AS n, all_n::HUGEINT AS all_n FROM g JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+        w AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS group_n FROM k),
+        p AS MATERIALIZED (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (group_n + 5 * v)::HUGEINT AS p, 1 + (1000000000 * (all_n + 5)) // (lang_n + 5 * v)::HUGEINT AS q FROM w JOIN v USING (lang)),
+        f AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN p x ON x.lang = g.lang AND x.source = g.source LEFT JOIN p y ON y.lang = g.lang AND y.source = h.source AND y.term = x.term GROUP BY ALL
+            UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM f QUALIFY part = 'pair' OR rank <= 50""",
 }
