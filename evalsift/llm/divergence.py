@@ -18,8 +18,12 @@ from .common import ship, written
 LEAST_DOCS, ADDED, WHOLE = 30, 5, 1_000_000_000
 #: Ranks of terms that a group reports.
 TERMS = 50
+#: Copies of a text above which it is counted before texts move, and how many texts can be above that in any corpus.
+HOT, HOT_TEXTS = 1000, 1 << 18
 #: Terms and sums of pairs that a task holds before it passes them on.
-HELD_TERMS, HELD_PAIRS = 1 << 18, 1 << 20
+HELD_TERMS, HELD_PAIRS = 1 << 19, 1 << 20
+#: A task holds documents and occurrences of a term as one number: documents times DOC, plus occurrences.
+DOC = 1 << 48
 #: Terms are runs of ASCII letters, lower-cased, and all other characters from U+0080 on, whose bytes are all above 0x7F.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -29,27 +33,36 @@ def terms_of(text: str) -> list[bytes]:
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
-    """(lang, text, source, copies): equal texts are one row for each source that has them, counted before the shuffle;
-    rows of the same text of a language stand one after another in one partition."""
+    """(lang, text, source, copies): equal texts are one row for each source that has them; rows of the same text of a
+    language stand one after another in one partition.
+
+    Texts move once. Those of more rows than HOT, and than one in HOT_TEXTS of all (so at most HOT_TEXTS texts), are
+    counted by source before that, so that no partition gets a row for each of their copies.
+    """
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    each = docs.select(blank("lang"), blank("text"), blank("source")).groupBy("lang", "text", "source").agg(F.count(F.lit(1)).alias("copies"))
-    return each.repartition("lang", "text").sortWithinPartitions("lang", F.xxhash64("text"), "text")
+    each = docs.select(blank("lang"), blank("text"), blank("source")).withColumn("h", F.xxhash64("lang", "text"))
+    often = max(HOT, docs.count() // HOT_TEXTS)
+    hot = F.broadcast(written(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often).select("h")))
+    before = each.join(hot, "h", "left_semi").groupBy("lang", "text", "source").agg(F.count(F.lit(1)).alias("copies"))
+    rest = each.join(hot, "h", "left_anti").select("lang", "text", "source", F.lit(1).cast("long").alias("copies"))
+    met = rest.unionByName(before).repartition("lang", "text").groupBy("lang", "text", "source").agg(F.sum("copies").alias("copies"))
+    return met.sortWithinPartitions("lang", F.xxhash64("text"), "text")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term in a group and documents that hold it. A row without term
-    stands for each group, so that groups without terms remain.
+    """(lang, source, term, n, docs): occurrences of each term in a group and documents that hold it, in parts that tasks
+    have summed up, dealt by language and term.
 
     Each distinct text of a language is cut into terms once; its counts enter each of its sources by the number of copies.
     """
     ship(docs.sparkSession)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size, last, found = 0, None, Counter()
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size, last, found = 0, None, {}
 
         def told() -> pa.RecordBatch:
-            rows = [(lang, source, term, n, held[lang, source][1][term]) for (lang, source), (counts, _) in held.items() for term, n in counts.items()]
+            rows = [(*group, term, v & (DOC - 1), v // DOC) for group, counts in held.items() for term, v in counts.items()]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], NAMES)
 
@@ -58,22 +71,18 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 if (lang, text) != last:
                     last, found = (lang, text), Counter(terms_of(text))
                     del found[b""]
-                counts, docs_ = held.setdefault((lang, source), (Counter(), Counter()))
+                counts = held.setdefault((lang, source), {})
                 size -= len(counts)
-                if copies == 1:
-                    counts.update(found)
-                    docs_.update(found.keys())
-                else:
-                    counts.update({t: n * copies for t, n in found.items()})
-                    docs_.update(dict.fromkeys(found, copies))
+                get = counts.get
+                for term, n in found.items():
+                    counts[term] = get(term, 0) + (n + DOC) * copies
                 size += len(counts)
                 if size > HELD_TERMS:
                     yield told()
                     held, size = {}, 0
         yield told()
 
-    sums = collapsed(docs).mapInArrow(count, "lang string, source string, term string, n long, docs long")
-    return sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return collapsed(docs).mapInArrow(count, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
 
 
 NAMES = ["lang", "source", "term", "n", "docs"]
@@ -172,9 +181,10 @@ def audit(docs: DataFrame) -> DataFrame:
     ``term``: the terms that a group uses more than its language does, to rank TERMS. A language without kept terms has
     pairs of distance 0. Whole numbers throughout.
     """
-    counts = written(term_counts(docs))
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
-    kept = written(counts.drop("docs").join(of_lang.drop("docs"), ["lang", "term"]))
+    each = term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_lang = W.partitionBy("lang", "term")  # a row a source; both sums stand on the one exchange by language and term
+    each = each.withColumns({"all_n": F.sum("n").over(of_lang), "docs": F.sum("docs").over(of_lang)})
+    kept = written(each.where(F.col("docs") >= LEAST_DOCS).drop("docs"))
     langs = kept.select("lang", "term", "all_n").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all_n").alias("lang_n"))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"), F.count(F.lit(1)).alias("group_v"))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)

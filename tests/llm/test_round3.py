@@ -193,6 +193,7 @@ def test_divergence(docs, least, monkeypatch):
 
     monkeypatch.setattr(divergence, "LEAST_DOCS", least)
     monkeypatch.setattr(divergence, "HELD_TERMS", 500)
+    monkeypatch.setattr(divergence, "HOT", 10)
     monkeypatch.setattr(divergence, "HELD_PAIRS", 50)
     alone = docs.limit(1).withColumns({"lang": F.lit("xx"), "text": F.lit("Only ONE source")})
     lone = docs.limit(1).withColumns({"lang": F.lit("yy"), "text": F.lit("12 34"), "source": F.lit("s")})
@@ -203,10 +204,13 @@ def test_divergence(docs, least, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_divergence_tokenizes_each_text_once(docs, spark):
+@pytest.mark.parametrize("hot", [1000, 200])
+def test_divergence_tokenizes_each_text_once(docs, spark, hot, monkeypatch):
     """Rows of a text stand together, one for each source, whatever the number of copies."""
+    from evalsift.llm import divergence
     from evalsift.llm.divergence import collapsed, share
 
+    monkeypatch.setattr(divergence, "HOT", hot)
     rows = spark.createDataFrame([(f"t{i % 7}", "en", f"s{i % 3}") for i in range(2100)], "text string, lang string, source string")
     got = collapsed(rows).withColumn("part", F.spark_partition_id()).collect()
     assert len(got) == 21 and all(r["copies"] == 100 for r in got)
