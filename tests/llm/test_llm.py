@@ -640,7 +640,7 @@ def test_axes_put_like_categories_together(spark):
     assert 0 <= place["small"] < place["mid"] < place["large"] < SCALE
 
 
-def test_thresholds_against_every_cut():
+def test_thresholds_against_every_cut(monkeypatch):
     from evalsift.llm import toxicity as T
 
     rng = np.random.default_rng(7)
@@ -655,13 +655,42 @@ def test_thresholds_against_every_cut():
             f[cut] = (1 + T.BETA**2) * (hit & (v == 1)).sum() / (hit.sum() + T.BETA**2 * v.sum())
         return max(f.values()), f
 
+    monkeypatch.setattr(T, "ALARMS", 1)
+    monkeypatch.setattr(T, "PULL", 0)
     got = T.thresholds(p, y, langs)
-    assert set(got) == {None, "en", "de"}
-    for lang, cut in got.items():
+    assert set(got) == {None, "en", "de", "rare"} and got["rare"] >= got[None]
+    for lang in (None, "en", "de"):
         at = np.array([lang is None or x == lang for x in langs])
         top, _ = best(p[at], y[at])
-        hit = p[at] >= cut
+        hit = p[at] >= got[lang]
         assert abs((1 + T.BETA**2) * (hit & (y[at] == 1)).sum() / (hit.sum() + T.BETA**2 * y[at].sum()) - top) < 1e-12
+    # a language with few toxic rows stays near all languages' threshold; clean rows above a threshold are bounded
+    monkeypatch.undo()
+    free = T.thresholds(p, y, langs)
+    for lang, cut in free.items():
+        clean = p[[(lang is None or x == lang) and v == 0 for x, v in zip(langs, y, strict=True)]]
+        assert (clean >= cut).sum() <= max(0, int(T.ALARMS * (len(clean) + 1)) - 1)
+    monkeypatch.setattr(T, "ALARMS", 1)
+    between = T.thresholds(p, y, langs)
+    for lang in ("en", "de"):
+        assert min(got[None], got[lang]) <= between[lang] <= max(got[None], got[lang])
+    # one toxic row, scored below the clean ones: nothing clean goes
+    monkeypatch.undo()
+    q = np.array([0.001] + [0.01 + i / 1000 for i in range(20)])
+    assert T.thresholds(q, np.array([1] + [0] * 20), ["en"] * 21)["en"] > q.max()
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_rejection_keeps_clean_rows(spark, sf):
+    """Few labels: of the clean rows that training has not seen at most one in twenty goes, of all rows about the toxic ones."""
+    from evalsift.llm.toxicity import score_documents
+
+    d, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = score_documents(d, labels).join(labels, "doc_id", "left").select("held_out", "rejected", "toxic").collect()
+    clean = [r for r in got if r["held_out"] and r["toxic"] == 0]
+    assert sum(r["rejected"] for r in clean) <= 0.05 * len(clean)
+    toxic = sum(r["toxic"] == 1 for r in got) / sum(r["toxic"] is not None for r in got)
+    assert sum(r["rejected"] for r in got) / len(got) <= toxic + 0.05
 
 
 def test_empty_tables(spark):
