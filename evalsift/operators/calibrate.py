@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .fits import fit_many
 from .peers import difficulty_quantile, nearest_match
 from .ranks import best_threshold, curve, f1, prf, roc_auc
 from .resample import md5_order
@@ -58,20 +59,8 @@ def standardize(df: DataFrame, features: list[str], keys: list[str] | None = Non
 
 
 def fit_ensemble(train: DataFrame, features: list[str], label: str, c: float = 1.0) -> dict:
-    """Balanced L2 logistic regression on standardised features: {feature: (mean, sd, coef)} and the intercept.
-
-    Gradients are aggregated on the cluster; the driver holds the coefficients alone.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    known = train.dropna(subset=[*features, label])
-    s = known.agg(*[f(x).alias(f"{n}_{x}") for x in features for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count_if(F.col(label) == 1).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    sd = {x: s[f"s_{x}"] or 1.0 for x in features}
-    w = F.when(F.col(label) == 1, s["n"] / (2 * max(1, s["p"]))).otherwise(s["n"] / (2 * max(1, s["n"] - s["p"])))
-    z = known.select(F.col(label).cast("double").alias("label"), w.alias("w"), *[((F.col(x) - s[f"m_{x}"]) / sd[x]).alias(x) for x in features])
-    m = LogisticRegression(weightCol="w", standardization=False, regParam=1 / (c * max(1, s["n"])), maxIter=200, tol=1e-9).fit(VectorAssembler(inputCols=features, outputCol="features").transform(z))
-    return {"features": {x: (s[f"m_{x}"], sd[x], float(b)) for x, b in zip(features, m.coefficients, strict=True)}, "intercept": float(m.intercept)}
+    """Balanced L2 logistic regression on standardised features: {feature: (mean, sd, coef)} and the intercept."""
+    return fit_many(train, {"fit": (features, F.lit(True))}, label, c)["fit"]
 
 
 def score(model: dict, policy: str = "mean") -> Column:
@@ -84,12 +73,14 @@ def score(model: dict, policy: str = "mean") -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def deployment_gap(scored: DataFrame, keys: list[str], least: int = 20, low: float = 0.1, high: float = 0.5) -> DataFrame:
-    """(n_cells, mean_gap, correct_dir): over cells with ``least`` rows below ``low`` and above ``high``, the mean gap in
-    ``correct`` between the two, and the share of cells where the upper rows fare better. One row."""
+def deployment_gap(scored: DataFrame, keys: list[str], least: int = 20, low: float = 0.1, high: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """(by, n_cells, mean_gap, correct_dir): over cells with ``least`` rows below ``low`` and above ``high``, the mean gap in
+    ``correct`` between the two, and the share of cells where the upper rows fare better. One row, or one for each value
+    of ``by`` that has cells."""
+    by = by or []
     clean, contam = F.col("score") < low, F.col("score") > high
-    cells = scored.groupBy(*keys).agg(F.count_if(clean).alias("_n0"), F.count_if(contam).alias("_n1"), (F.avg(F.when(clean, F.col("correct"))) - F.avg(F.when(contam, F.col("correct")))).alias("_gap"))
-    return cells.where((F.col("_n0") >= least) & (F.col("_n1") >= least)).agg(F.count("_gap").alias("n_cells"), F.avg("_gap").alias("mean_gap"), F.avg((F.col("_gap") < 0).cast("double")).alias("correct_dir"))
+    cells = scored.groupBy(*by, *keys).agg(F.count_if(clean).alias("_n0"), F.count_if(contam).alias("_n1"), (F.avg(F.when(clean, F.col("correct"))) - F.avg(F.when(contam, F.col("correct")))).alias("_gap"))
+    return cells.where((F.col("_n0") >= least) & (F.col("_n1") >= least)).groupBy(*by).agg(F.count("_gap").alias("n_cells"), F.avg("_gap").alias("mean_gap"), F.avg((F.col("_gap") < 0).cast("double")).alias("correct_dir"))
 
 
 def matched_rows(rows: DataFrame, features: list[str], value: str, label: str, row: str, variant: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.stats import phi, risk_class
+from .quantiles import quantiles, same, with_quantiles
 
 CELL = ["model", "benchmark"]
 
@@ -15,10 +15,6 @@ def rate(cond: Column) -> Column:
     return F.avg(cond.cast("double"))
 
 
-def quantile(values: str, q: Column | float) -> Column:
-    return F.percentile(values, q)
-
-
 def align_by_item(scores: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Scores and outcomes of the same item, by key and never by position."""
     return scores.join(outcomes, [*CELL, "item_id"])
@@ -26,7 +22,9 @@ def align_by_item(scores: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def audit_summary(audit: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or CELL
-    return audit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"), F.avg("p").alias("p_mean"), quantile("p", 0.9).alias("p_p90"), rate(F.col("p") > 0.5).alias("high_risk_rate"), F.avg("loss").alias("mean_loss"), F.avg("delta").alias("mean_delta"))
+    means = audit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"), F.avg("p").alias("p_mean"), rate(F.col("p") > 0.5).alias("high_risk_rate"), F.avg("loss").alias("mean_loss"), F.avg("delta").alias("mean_delta"))
+    q = quantiles(audit, "p", keys, {"p_p90": 0.9}).withColumnsRenamed({k: f"_q_{k}" for k in keys})
+    return means.join(q, same(keys, "_q_"), "left").select(*keys, "n_items", "p_mean", "p_p90", "high_risk_rate", "mean_loss", "mean_delta")
 
 
 def coverage(audit: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,26 +94,22 @@ def transfer_slice(flags: DataFrame, outcomes: DataFrame, majority: int = 3) ->
 
 def length_quartile(df: DataFrame, value: str, keys: list[str], side: str = "left", out: str = "bin") -> DataFrame:
     """Quartile bins within ``keys``: a value on a cut goes to the lower bin (left) or the upper one (digitize)."""
-    cuts = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    over = (lambda q: F.col(value) > q) if side == "left" else (lambda q: F.col(value) >= q)
-    return df.join(cuts, keys).withColumn(out, F.size(F.filter("_q", over))).drop("_q")
+    cuts = {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}
+    over = (lambda q: F.col(value) > F.col(q)) if side == "left" else (lambda q: F.col(value) >= F.col(q))
+    return with_quantiles(df, value, keys, cuts).withColumn(out, sum(F.coalesce(over(q).cast("int"), F.lit(0)) for q in cuts)).drop(*cuts)
 
 
 def quantile_split(df: DataFrame, score: str, keys: list[str], low: float, high: float, low_is_contam: bool = False) -> DataFrame:
     """(keys, ...gap columns): items at or below one quantile of the score against those at or above another."""
-    cuts = df.groupBy(*keys).agg(F.percentile(score, low).alias("_lo"), F.percentile(score, high).alias("_hi"))
     a, b = ("contam", "clean") if low_is_contam else ("clean", "contam")
     side = F.when(F.col(score) <= F.col("_lo"), a).when(F.col(score) >= F.col("_hi"), b)
-    return gap(df.join(cuts, keys), keys, side, 1)
+    return gap(with_quantiles(df, score, keys, {"_lo": low, "_hi": high}), keys, side, 1)
 
 
 def rate_matched_split(df: DataFrame, score: str, keys: list[str]) -> DataFrame:
     """(keys, threshold, flag_rate): the score's quantile at which it flags as many items of the cell as p > 0.5 does,
     interpolated between neighbouring ranks (each cell has its own rate)."""
-    w = W.partitionBy(*keys)
-    r = df.withColumns({"_i": F.row_number().over(w.orderBy(score, "item_id")) - 1, "_n": F.count(F.lit(1)).over(w), "_rate": F.avg((F.col("p") > 0.5).cast("double")).over(w)})
-    h = (F.col("_n") - 1) * (1 - F.col("_rate"))
-    r = r.withColumns({"_h": h, "_f": F.floor(h)})
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col(score)))
-    out = r.groupBy(*keys).agg(at(F.col("_f")).alias("_a"), at(F.least(F.col("_f") + 1, F.col("_n") - 1)).alias("_b"), F.max("_h").alias("_h"), F.max("_f").alias("_f"), F.max("_rate").alias("flag_rate"))
-    return out.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_f"))).alias("threshold"), "flag_rate")
+    rates = df.groupBy(*keys).agg(rate(F.col("p") > 0.5).alias("flag_rate"))
+    wanted = rates.select(*keys, F.lit("cut").alias("name"), (1 - F.col("flag_rate")).alias("q"))
+    cut = quantiles(df, score, keys, per_group=wanted).select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col("quantile").alias("threshold"))
+    return rates.join(cut, same(keys, "_q_")).select(*keys, "threshold", "flag_rate")

@@ -8,6 +8,7 @@ from ..functions import stats as S
 from ..operators import calibrate as K
 from ..operators import cells as C
 from ..operators import checks, inference, ngram, peers, ranks
+from ..operators.quantiles import with_quantiles
 from ..sources.io import table
 from .base import FEATURES, NGRAMS_SQL, audit, calib, doc_tok, matrix, query, sql
 
@@ -313,10 +314,9 @@ def correctness_rho(spark, sf):
 @query(sql("SELECT model, benchmark, avg(correct) AS raw, avg(correct) FILTER (p <= 0.5) - avg(correct) AS fixed, avg(correct) FILTER (p <= q) - avg(correct) AS matched FROM (SELECT *, quantile_cont(p, 0.7) OVER (PARTITION BY model, benchmark) AS q FROM audit) GROUP BY 1, 2", "audit", rnd="raw fixed matched"))
 def accuracy_correction(spark, sf):
     a = audit(spark, sf)
-    q = a.groupBy(*CELL).agg(F.percentile("p", 0.7).alias("q"))
     acc = lambda cond: F.avg(F.when(cond, F.col("correct")))
     raw = F.avg("correct")
-    return a.join(q, CELL).groupBy(*CELL).agg(raw.alias("raw"), (acc(F.col("p") <= 0.5) - raw).alias("fixed"), (acc(F.col("p") <= F.col("q")) - raw).alias("matched"))
+    return with_quantiles(a, "p", CELL, {"q": 0.7}).groupBy(*CELL).agg(raw.alias("raw"), (acc(F.col("p") <= 0.5) - raw).alias("fixed"), (acc(F.col("p") <= F.col("q")) - raw).alias("matched"))
 
 
 @query(sql("SELECT model, date '2023-01-01' + (substr(model, 2)::INT * 30) AS released, avg(p) AS p_mean FROM audit GROUP BY 1", "audit", rnd="p_mean"))

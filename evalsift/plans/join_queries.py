@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import calibrate as K
 from ..operators import cells as C
 from ..operators import checks, lm, ngram, peers
+from ..operators.quantiles import with_quantiles
 from ..sources import io
 from ..sources.io import table
 from .base import NGRAMS_SQL, WORDS_SQL, audit, ben_tok, calib, doc_tok, matrix, models, query, sql
@@ -144,8 +145,7 @@ def detector_join(spark, sf):
     a = audit(spark, sf)
     scores = K.long_form(a, ["p", "p1", "loss"], ["model", "benchmark", "item_id"])
     rows = scores.join(a.select("model", "benchmark", "item_id", "correct"), ["model", "benchmark", "item_id"])
-    cut = rows.groupBy("model", "benchmark", "detector").agg(F.median("score").alias("m"))
-    r = rows.join(cut, ["model", "benchmark", "detector"])
+    r = with_quantiles(rows, "score", ["model", "benchmark", "detector"], {"m": 0.5})
     acc = lambda cond: F.avg(F.when(cond, F.col("correct")))
     return r.groupBy("model", "benchmark", "detector").agg((acc(F.col("score") > F.col("m")) - acc(F.col("score") <= F.col("m"))).alias("diff"))
 

@@ -9,7 +9,9 @@ from ..operators import calibrate as K
 from ..operators import cells as C
 from ..operators import peers, ranks, resample
 from ..operators import inference as I
+from ..operators.fits import fit_many
 from ..operators.prefix import with_rank
+from ..operators.quantiles import with_quantiles
 from ..sources import io
 from ..sources.io import table
 from .agg_queries import AUC_SQL, CURVE, IV, _se_cells, long_calib, phi, t_tail_sql
@@ -153,8 +155,7 @@ CONF = "SELECT model, correct, delta FROM audit JOIN (SELECT model, quantile_con
 @query(sql(split_sql(CONF, "model", "delta", 0.3, 0.7, "contam", "clean"), "audit", rnd=GAPS))
 def confident_split(spark, sf):
     a = audit(spark, sf)
-    q = a.groupBy("model").agg(F.percentile("loss", 0.5).alias("q"))
-    return C.quantile_split(a.join(q, "model").where(F.col("loss") <= F.col("q")), "delta", ["model"], 0.3, 0.7, True)
+    return C.quantile_split(with_quantiles(a, "loss", ["model"], {"q": 0.5}).where(F.col("loss") <= F.col("q")), "delta", ["model"], 0.3, 0.7, True)
 
 
 @query(sql("SELECT variant, row_id, ((row_number() OVER (PARTITION BY variant ORDER BY md5('fold|' || row_id), row_id) - 1) % 5)::BIGINT AS fold FROM calib", "calib"))
@@ -289,36 +290,28 @@ def score_ensemble(spark, sf):
     return K.score_with_table(calib(spark, sf), spark.range(1).select(F.inline(rows)), FEATURES, "row_id")
 
 
-def _evaluated(c, features, name: str, value: str, policy: str = "mean"):
-    """(name, auc, f1, n_cells, mean_gap, correct_dir): an ensemble fitted on dev rows, judged on val rows, and deployed."""
-    model = K.fit_ensemble(c.where("split = 'dev'"), list(features), "label")
-    scored = c.withColumn("score", K.score(model, policy))
+def _evaluated(c, sets: dict[str, list[str]], name: str, policy: str = "mean"):
+    """(name, auc, f1, n_cells, mean_gap, correct_dir): an ensemble for each set of features, fitted together on dev rows,
+    judged on val rows, and deployed."""
+    models = fit_many(c, {k: (fs, F.col("split") == "dev") for k, fs in sets.items()}, "label")
+    each = F.array(*[F.struct(F.lit(k).alias(name), K.score(m, policy).alias("score")) for k, m in models.items()])
+    scored = io.stored(c.select("split", "variant", "label", (1 - F.col("toxic")).alias("correct"), F.inline(each)))
     val = scored.where("split = 'val'")
-    auc = ranks.roc_auc(val, "score", "label", [])
-    f1 = ranks.prf(val, "score", "label", F.lit(0.5), []).select("f1")
-    gap = K.deployment_gap(scored.withColumn("correct", 1 - F.col("toxic")), ["variant"])
-    return auc.crossJoin(F.broadcast(f1)).crossJoin(F.broadcast(gap)).select(F.lit(value).alias(name), "auc", "f1", "n_cells", "mean_gap", "correct_dir")  # one row each
-
-
-def _stacked(parts):
-    out = None
-    for one in parts:
-        out = one if out is None else out.unionByName(one)
-    return out
+    auc, f1 = ranks.roc_auc(val, "score", "label", [name]), ranks.prf(val, "score", "label", F.lit(0.5), [name]).select(name, "f1")
+    gap = K.deployment_gap(scored, ["variant"], by=[name])
+    return auc.join(f1, name).join(gap, name, "left").select(name, "auc", "f1", F.coalesce("n_cells", F.lit(0)).alias("n_cells"), "mean_gap", "correct_dir")
 
 
 @query()
 def ablate_features(spark, sf):
     """Val AUC and F1 and the deployment gap after leaving out each feature."""
-    c = io.stored(calib(spark, sf))
-    return _stacked(_evaluated(c, [x for x in FEATURES if x != f], "dropped", f) for f in FEATURES)
+    return _evaluated(io.stored(calib(spark, sf)), {f: [x for x in FEATURES if x != f] for f in FEATURES}, "dropped")
 
 
 @query()
 def alt_ensembles(spark, sf):
     """The same for named subsets of the features, missing values as 0."""
-    c = io.stored(calib(spark, sf))
-    return _stacked(_evaluated(c, fs, "ensemble", name, "zero") for name, fs in (("full", FEATURES), ("length", FEATURES[:2]), ("ratio", FEATURES[2:])))
+    return _evaluated(io.stored(calib(spark, sf)), {"full": FEATURES, "length": FEATURES[:2], "ratio": FEATURES[2:]}, "ensemble", "zero")
 
 
 @query()
@@ -333,24 +326,23 @@ def peer_ensemble(spark, sf):
     """(features, auc, f1): losses alone, and with the robust z-score of a model's loss among all models on the item."""
     z = io.stored(peers.robust_z(matrix(spark, sf), "loss", ["item_id"]).withColumns({"label": F.col("correct"), "split": F.when(F.col("item_id") % 5 < 3, "dev").otherwise("val")}))
 
-    def one(features, name):
-        scored = z.withColumn("score", K.score(K.fit_ensemble(z.where("split = 'dev'"), features, "label"))).where("split = 'val'")
-        return ranks.roc_auc(scored, "score", "label", []).crossJoin(F.broadcast(K.max_f1(scored, "score", "label", []))).select(F.lit(name).alias("features"), "auc", F.col("max_f1").alias("f1"))  # one row
-
-    return one(["loss"], "loss").unionByName(one(["loss", "peer_z"], "loss and peer_z"))
+    sets = {"loss": ["loss"], "loss and peer_z": ["loss", "peer_z"]}
+    models = fit_many(z, {k: (fs, F.col("split") == "dev") for k, fs in sets.items()}, "label")
+    val = io.stored(z.where("split = 'val'").select("label", F.inline(F.array(*[F.struct(F.lit(k).alias("features"), K.score(m).alias("score")) for k, m in models.items()]))))
+    auc = ranks.roc_auc(val, "score", "label", ["features"])
+    return auc.join(K.max_f1(val, "score", "label", ["features"]), "features").select("features", "auc", F.col("max_f1").alias("f1"))
 
 
 @query()
 def kfold_eval(spark, sf):
-    """(k, fold, auc, f1) of cross-validation with 2, 3 and 5 folds."""
-    c = io.stored(calib(spark, sf))
-
-    def one(k, i, folds):
-        model = K.fit_ensemble(folds.where(F.col("fold") != i), FEATURES, "label")
-        scored = folds.where(F.col("fold") == i).withColumn("score", K.score(model))
-        return ranks.roc_auc(scored, "score", "label", []).crossJoin(F.broadcast(K.max_f1(scored, "score", "label", []))).select(F.lit(k).alias("k"), F.lit(i).alias("fold"), "auc", F.col("max_f1").alias("f1"))  # one row
-
-    return _stacked(one(k, i, folds) for k in (2, 3, 5) for folds in [io.stored(resample.kfold(c, k, "cv", "row_id", []))] for i in range(k))
+    """(k, fold, auc, f1) of cross-validation with 2, 3 and 5 folds: rows are dealt once, ten models fitted together."""
+    c = io.stored(resample.kfold(calib(spark, sf), 30, "cv", "row_id", []))  # the place in the order modulo 30 tells all folds
+    fold = lambda k: F.pmod("fold", F.lit(k)).cast("int")
+    models = fit_many(c, {f"{k} {i}": (FEATURES, fold(k) != i) for k in (2, 3, 5) for i in range(k)}, "label")
+    each = [F.struct(F.lit(k).alias("k"), fold(k).alias("fold"), F.array(*[K.score(models[f"{k} {i}"]) for i in range(k)])[fold(k)].alias("score")) for k in (2, 3, 5)]
+    scored = io.stored(c.select("label", F.inline(F.array(*each))))
+    by = ["k", "fold"]
+    return ranks.roc_auc(scored, "score", "label", by).join(K.max_f1(scored, "score", "label", by), by).select(*by, "auc", F.col("max_f1").alias("f1"))
 
 
 @query(sql(f"SELECT variant, greatest(a, 1 - a) AS auc FROM (SELECT variant, (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS a FROM (SELECT *, rank() OVER (PARTITION BY variant ORDER BY s) + (count(*) OVER (PARTITION BY variant, s) - 1) / 2 AS r FROM (SELECT variant, label, round({FIXED_SQL}, 9) AS s FROM calib)) GROUP BY 1)", "calib", rnd="auc"))
