@@ -100,19 +100,33 @@ def wild_cluster_bootstrap(df: DataFrame, y: str, x: str, cluster: str, n: int,
     return t_.where("rep > 0").crossJoin(F.broadcast(obs)).groupBy("t_obs").agg(F.avg((F.abs("t") >= F.abs("t_obs")).cast("double")).alias("p_wild"))  # one row
 
 
-def random_peer_null(losses: DataFrame, audit: DataFrame, k: int, n: int, seed: int = 5) -> DataFrame:
-    """(model, rep, gap): gaps after splitting items by their delta to k random peers, drawn anew in each repetition."""
+def random_peer_null(losses: DataFrame, audit: DataFrame, models: DataFrame, k: int, n: int, seed: int = 5) -> DataFrame:
+    """(model, rep, gap): gaps after splitting items by their delta to k random peers of other families, drawn anew in each
+    repetition. Models with fewer than k candidates have none. ``models``: model and family, a row a model."""
     from .cells import quantile_split
 
-    names = losses.select("model").distinct()
-    cand = reps(names, n).join(names.select(F.col("model").alias("peer")), F.col("model") != F.col("peer"))
-    rank = F.row_number().over(W.partitionBy("model", "rep").orderBy(md5_order(str(seed), F.col("rep"), F.col("model"), F.col("peer"))))
-    peers = cand.withColumn("_r", rank).where(F.col("_r") <= k).select("model", "rep", "peer")
+    mine = reps(models.select("model", "family"), n)
+    cand = mine.join(models.select(F.col("model").alias("peer"), F.col("family").alias("_pf")), F.col("family") != F.col("_pf"))
+    w = W.partitionBy("model", "rep")
+    rank = F.row_number().over(w.orderBy(md5_order(str(seed), F.col("rep"), F.col("model"), F.col("peer")), "peer"))
+    peers = cand.withColumns({"_r": rank, "_n": F.count(F.lit(1)).over(w)}).where((F.col("_r") <= k) & (F.col("_n") >= k)).select("model", "rep", "peer")
     theirs = peers.join(losses.select(F.col("model").alias("peer"), "item_id", F.col("loss").alias("_l")), "peer").groupBy("model", "rep", "item_id").agg(F.avg("_l").alias("_m"))
     d = losses.join(theirs, ["model", "item_id"]).withColumn("delta", F.round(F.col("loss") - F.col("_m"), 9)).join(audit.select("model", "item_id", "correct"), ["model", "item_id"])
     return quantile_split(d, "delta", ["model", "rep"], 0.2, 0.8, True).select("model", "rep", "gap")
 
 
+def null_summary(null: DataFrame, real: DataFrame) -> DataFrame:
+    """(model, real_gap, null_mean, null_sd, null_p5, at_or_below, n_draws): a model's real gap beside those of random peers;
+    a real gap in the left tail says that the peers matter. ``null``: model, rep, gap; ``real``: model, gap."""
+    from .quantiles import quantiles
+
+    own = real.select("model", F.col("gap").alias("real_gap"))
+    low = quantiles(null, "gap", ["model"], {"null_p5": 0.05})
+    below = F.avg((F.round("gap", 9) <= F.round("real_gap", 9)).cast("double"))
+    out = null.join(own, "model").groupBy("model", "real_gap").agg(F.avg("gap").alias("null_mean"), F.stddev_pop("gap").alias("null_sd"), below.alias("at_or_below"), F.count("gap").alias("n_draws"))
+    return out.join(low, "model").select("model", "real_gap", "null_mean", "null_sd", "null_p5", "at_or_below", "n_draws")
+
+
 def balanced_sample(df: DataFrame, keys: list[str], group: str, k: int, seed: str, row: str) -> DataFrame:
     """k rows of each group within ``keys``, in md5 order."""
     r = F.row_number().over(W.partitionBy(*keys, group).orderBy(md5_order(seed, F.col(row)), row))

@@ -23,11 +23,11 @@ def scan_items(spark, sf):
     return io.scan_items(io.scan_jsonl(spark, path, "item_id long, text string"))
 
 
-@query(sql("SELECT corpus, doc_id, len(t)::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY doc_id) AS r FROM (SELECT 'docs_' || lang AS corpus, doc_id, t FROM doc_tok WHERE lang IN ('en', 'de') AND len(t) >= 13)) WHERE r <= 200", "doc_tok"))
+@query(sql("SELECT corpus, doc_id, len(t)::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY doc_id) AS r FROM (SELECT 'docs_' || lang AS corpus, doc_id, t FROM doc_tok WHERE lang IN ('en', 'de', 'fr', 'es') AND len(t) >= 13)) WHERE r <= 200", "doc_tok"))
 def scan_corpus(spark, sf):
     docs = table(spark, sf, "documents")
     tok = T.tokenize_words(F.col("text"))
-    out = io.scan_corpora({f"docs_{x}": docs.where(F.col("lang") == x) for x in ("en", "de")}, tok, 13, 200)
+    out = io.scan_corpora({f"docs_{x}": docs.where(F.col("lang") == x) for x in ("en", "de", "fr", "es")}, tok, 13, 200)
     return out.select("corpus", "doc_id", F.size(tok).alias("n"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..operators import calibrate as K
 from ..operators import cells as C
-from ..operators import peers, ranks, resample
+from ..operators import peers, ranks, resample, shuffle
 from ..operators import inference as I
 from ..operators.fits import fit_many
 from ..operators.prefix import with_rank
@@ -15,7 +15,7 @@ from ..operators.quantiles import with_quantiles
 from ..sources import io
 from ..sources.io import table
 from .agg_queries import AUC_SQL, CURVE, IV, _se_cells, long_calib, phi, t_tail_sql
-from .base import FEATURES, audit, calib, matrix, query, sql
+from .base import FEATURES, audit, calib, matrix, models, query, sql
 from .join_queries import DELTA, _delta
 
 CELL = C.CELL
@@ -211,9 +211,9 @@ def _pairs(spark, sf):
 FLIP = M32.format("'3|' || rep || '|' || model")
 
 
-@query(sql(f"SELECT benchmark, avg((f >= o - 1e-12)::INT) AS p_flip FROM (SELECT benchmark, rep, avg(CASE WHEN {FLIP} % 2 = 0 THEN d ELSE -d END) AS f, avg(d) AS o FROM (SELECT a.benchmark, a.model, a.gap - b.gap AS d FROM cells a JOIN cells1 b USING (model, benchmark)), range(1000) r(rep) GROUP BY 1, 2) GROUP BY 1", "cells", "cells1", rnd="p_flip"))
+@query(sql(f"SELECT benchmark, avg((f >= o - 1e-12)::INT) AS p_flip FROM (SELECT benchmark, rep, avg(CASE WHEN {FLIP} % 2 = 0 THEN d ELSE -d END) AS f, avg(d) AS o FROM (SELECT a.benchmark, a.model, a.gap - b.gap AS d FROM cells a JOIN cells1 b USING (model, benchmark)), range(10000) r(rep) GROUP BY 1, 2) GROUP BY 1", "cells", "cells1", rnd="p_flip"))
 def sign_flip_test(spark, sf):
-    return resample.sign_flip_test(_pairs(spark, sf), "d", "model", ["benchmark"], 1000)
+    return resample.sign_flip_test(_pairs(spark, sf), "d", "model", ["benchmark"], 10_000)
 
 
 WILD = """c AS (SELECT model, sum(CASE WHEN v = 1 THEN gap ELSE 0 END) AS s1, sum(CASE WHEN v = 0 THEN gap ELSE 0 END) AS s0, sum(v)::DOUBLE AS n1, sum(1 - v)::DOUBLE AS n0 FROM v GROUP BY 1),
@@ -228,14 +228,45 @@ def wild_cluster_bootstrap(spark, sf):
     return resample.wild_cluster_bootstrap(_versions(spark, sf), "gap", "v", "model", 500)
 
 
-RAND = """SELECT rep, model, correct, loss - l AS delta FROM matrix JOIN (SELECT rep, p.model, item_id, avg(loss) AS l FROM (SELECT rep, a.model, b.model AS peer, row_number() OVER (PARTITION BY rep, a.model ORDER BY md5('5|' || rep || '|' || a.model || '|' || b.model)) AS r
-    FROM (SELECT DISTINCT model FROM matrix) a, (SELECT DISTINCT model FROM matrix) b, range(20) g(rep) WHERE a.model <> b.model) p JOIN matrix x ON x.model = p.peer WHERE r <= 3 GROUP BY 1, 2, 3) USING (model, item_id)"""
+RAND = """SELECT rep, model, correct, loss - l AS delta FROM matrix JOIN (SELECT rep, p.model, item_id, avg(loss) AS l FROM (SELECT rep, a.model, b.model AS peer, row_number() OVER (PARTITION BY rep, a.model ORDER BY md5('5|' || rep || '|' || a.model || '|' || b.model), b.model) AS r,
+    count(*) OVER (PARTITION BY rep, a.model) AS c FROM models a, models b, range(100) g(rep) WHERE a.family <> b.family) p JOIN matrix x ON x.model = p.peer WHERE r <= 3 AND c >= 3 GROUP BY 1, 2, 3) USING (model, item_id)"""
+NULL_GAPS = "SELECT model, rep, gap FROM (" + split_sql(f"SELECT rep, model, correct, round(delta, 9) AS delta FROM ({RAND})", "model, rep", "delta", 0.2, 0.8, "contam", "clean") + ") WHERE n_clean > 0 AND n_contam > 0"
+REAL_GAPS = "SELECT model, gap FROM (" + split_sql(f"SELECT model, correct, round(delta, 9) AS delta FROM ({DELTA}) JOIN matrix USING (model, item_id)", "model", "delta", 0.2, 0.8, "contam", "clean") + ")"
 
 
-@query(sql("SELECT model, rep, gap FROM (" + split_sql(f"SELECT rep, model, correct, round(delta, 9) AS delta FROM ({RAND})", "model, rep", "delta", 0.2, 0.8, "contam", "clean") + ")", "matrix", rnd="gap"))
-def random_peer_null(spark, sf):
+def _null_gaps(spark, sf):
     m = matrix(spark, sf)
-    return resample.random_peer_null(m.select("model", "item_id", "loss"), m.select("model", "item_id", "correct"), 3, 20)
+    return resample.random_peer_null(m.select("model", "item_id", "loss"), m.select("model", "item_id", "correct"), models(spark, sf), 3, 100)
+
+
+@query(sql(NULL_GAPS, "matrix", "models", rnd="gap"))
+def random_peer_null(spark, sf):
+    """Gaps under random peers of other families, a hundred draws a model."""
+    return _null_gaps(spark, sf)
+
+
+@query(sql(f"SELECT model, g.gap AS real_gap, avg(n.gap) AS null_mean, stddev_pop(n.gap) AS null_sd, quantile_cont(n.gap, 0.05) AS null_p5, avg((round(n.gap, 9) <= round(g.gap, 9))::INT) AS at_or_below, count(n.gap) AS n_draws FROM ({NULL_GAPS}) n JOIN ({REAL_GAPS}) g USING (model) GROUP BY 1, 2", "matrix", "models", rnd="real_gap null_mean null_sd null_p5 at_or_below"))
+def random_peer_summary(spark, sf):
+    """Where the gap under capability peers lies among those under random ones."""
+    d = _delta(spark, sf).join(matrix(spark, sf).select("model", "item_id", "correct"), ["model", "item_id"])
+    real = C.quantile_split(d.withColumn("delta", F.round("delta", 9)), "delta", ["model"], 0.2, 0.8, True)
+    return resample.null_summary(io.stored(_null_gaps(spark, sf)), real)
+
+
+@query()
+def loss_shuffle_test(spark, sf):
+    """The gap in mean loss of a cell's sides and its p by 5000 shuffles of the labels."""
+    return shuffle.shuffle_test(_sides(spark, sf), "loss", CELL, 5000)
+
+
+POISSON_SQL = " + ".join(f"(h >= '{t}')::INT" for t in shuffle.POISSON_HEX)
+
+
+@query(sql(f"""SELECT model, benchmark, quantile_cont(gap, 0.025) AS ci_low, quantile_cont(gap, 0.975) AS ci_high FROM (SELECT model, benchmark, rep, max(m) FILTER (clean) - max(m) FILTER (NOT clean) AS gap FROM (SELECT model, benchmark, rep, clean, sum(w * loss) / sum(w) AS m
+    FROM (SELECT *, {POISSON_SQL} AS w FROM (SELECT model, benchmark, p < 0.1 AS clean, loss, rep, substr(md5('6|' || rep // 4 || '|' || item_id), rep % 4 * 8 + 1, 8) AS h FROM audit, range(400) r(rep) WHERE p < 0.1 OR p > 0.5)) WHERE w > 0 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) WHERE gap IS NOT NULL GROUP BY 1, 2""", "audit", rnd="ci_low ci_high"))
+def poisson_bootstrap(spark, sf):
+    """An interval of the gap in mean loss by Poisson resamples."""
+    return shuffle.poisson_bootstrap(_sides(spark, sf), "loss", CELL, "item_id", 400)
 
 
 NOISE = f"(SELECT seed || '|' || model AS model, correct, p, {M32.format(chr(39) + chr(39) + ' || seed || ' + chr(39) + '|' + chr(39) + ' || item_id')} % 4 AS stratum FROM audit, range(5) g(seed))"

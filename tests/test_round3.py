@@ -125,3 +125,43 @@ def test_quantile_of_one_group_of_a_million_values(spark):
     got = quantiles(df, "x", ["g"], {"m": 0.5, "t": 0.999}).first()
     x = (np.arange(1_000_000) * 7919) % 1_000_003
     assert (got["m"], got["t"]) == (np.quantile(x, 0.5), np.quantile(x, 0.999))
+
+
+def test_shuffles_of_real_outcomes_against_every_labelling(spark, monkeypatch):
+    import itertools
+
+    from evalsift.operators import shuffle
+
+    rng = np.random.default_rng(8)
+    cells = {"a": (rng.normal(0, 1, 5), rng.normal(0.7, 1, 6)), "ties": (rng.integers(0, 3, 6) * 0.1, rng.integers(0, 4, 5) * 0.1), "same": (np.full(4, 2.0), np.full(4, 2.0)), "few": (np.array([1.0, 2.0]), rng.normal(0, 1, 9)), "01": (np.array([1.0, 1, 0, 1]), np.array([0.0, 0, 1, 0, 0]))}
+    rows = [(k, s, float(v)) for k, (x, y) in cells.items() for s, z in (("clean", x), ("contam", y)) for v in z] + [("a", None, 3.0), ("a", "mid", 3.0), ("a", "clean", None), ("one side", "clean", 1.0)]
+    df = spark.createDataFrame(rows, "cell string, side string, v double")
+    for part in (4096, 2):  # one part a cell, or several
+        monkeypatch.setattr(shuffle, "PART", part)
+        got = {r["cell"]: r for r in shuffle.shuffle_test(df, "v", ["cell"], 4000).collect()}
+        assert set(got) == set(cells) and got["few"]["p_perm"] is None
+        for k, (x, y) in cells.items():
+            assert (got[k]["n_clean"], got[k]["n_contam"]) == (len(x), len(y)) and abs(got[k]["gap"] - (x.mean() - y.mean())) < 1e-12
+            if k != "few":
+                both, n = np.concatenate([x, y]), len(x)
+                sums = np.array([both[list(c)].sum() for c in itertools.combinations(range(len(both)), n)])
+                gaps = sums / n - (both.sum() - sums) / len(y)
+                exact = (gaps <= x.mean() - y.mean() + 1e-9).mean()
+                assert abs(got[k]["p_perm"] - exact) < 4 * (0.25 / 4000) ** 0.5, (k, part)
+    again = {r["cell"]: r["p_perm"] for r in shuffle.shuffle_test(df.repartition(7), "v", ["cell"], 4000).collect()}
+    assert again == {k: r["p_perm"] for k, r in got.items()}
+
+
+def test_poisson_bootstrap_against_the_closed_form(spark):
+    from evalsift.operators.shuffle import POISSON, poisson_bootstrap
+
+    import math
+
+    assert np.allclose(POISSON, np.cumsum([math.exp(-1) / math.factorial(k) for k in range(len(POISSON))]), atol=1e-15)
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(1, 2, 700), rng.exponential(1.5, 500)
+    df = spark.createDataFrame([(i, "c", s, float(v)) for i, (s, v) in enumerate([("clean", v) for v in x] + [("contam", v) for v in y])], "id long, cell string, side string, v double")
+    r = poisson_bootstrap(df, "v", ["cell"], "id", 1000).first()
+    se = (x.var() / len(x) + y.var() / len(y)) ** 0.5
+    gap = x.mean() - y.mean()
+    assert abs(r["ci_low"] - (gap - 1.96 * se)) < 0.3 * se and abs(r["ci_high"] - (gap + 1.96 * se)) < 0.3 * se
