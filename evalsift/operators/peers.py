@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.io import stored
 from .prefix import numbered, part_of, with_rank
 
 
@@ -47,20 +48,31 @@ def robust_z(df: DataFrame, value: str, keys: list[str], out: str = "peer_z", po
 
 
 def nearest_match(positives: DataFrame, negatives: DataFrame, value: str, row: str, keys: list[str]) -> DataFrame:
-    """(keys, row, match, distance): for each positive the negative with the nearest value, the least row on ties.
+    """(keys, row, match, distance): for each positive the negative with the nearest value, the least row on ties; none
+    where the value is null or the group has no negatives.
 
-    An as-of join both ways by windows over the union: each value's least negative row looks forward and back, so rows
-    meet only along the order of their group.
+    An as-of join both ways over the distinct values, in ranges of them: windows look back and ahead within (keys, range),
+    and each range hands its first and last negative to the ranges on either side, a row a range. A group fills as many
+    tasks as there are ranges, and a value that many rows share is one row.
     """
-    neg = negatives.groupBy(*keys, F.col(value).alias("_v")).agg(F.min(row).alias("_neg"))
-    both = positives.select(*keys, F.col(value).alias("_v"), F.col(row).alias("_pos"), F.lit(None).cast("long").alias("_neg")).unionByName(neg.select(*keys, "_v", F.lit(None).cast("long").alias("_pos"), F.col("_neg").cast("long").alias("_neg")))
-    order = W.partitionBy(*keys).orderBy("_v")
-    back, ahead = order.rangeBetween(W.unboundedPreceding, 0), order.rangeBetween(0, W.unboundedFollowing)
+    one = lambda df, neg, pos: df.select(*keys, F.col(value).alias("_v"), neg.cast("long").alias("_neg"), F.lit(pos).alias("_pos"))
+    rows = one(positives, F.lit(None), True).unionByName(one(negatives, F.col(row), False)).where("_v is not null")
+    values = stored(rows.groupBy(*keys, "_v").agg(F.min("_neg").alias("_neg"), F.max("_pos").alias("_pos")))
     cand = F.when(F.col("_neg").isNotNull(), F.struct(F.col("_v").alias("v"), F.col("_neg").alias("r")))
-    m = both.withColumns({"_a": F.last(cand, True).over(back), "_b": F.first(cand, True).over(ahead)}).where("_pos is not null")
-    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_v") - F.col(f"{c}.v")).alias("d"), F.col(f"{c}.r").alias("r")))
-    m = m.withColumn("_best", F.array_min(F.filter(F.array(far("_a"), far("_b")), lambda x: x.isNotNull())))
-    return m.select(*keys, F.col("_pos").alias(row), F.col("_best.r").alias("match"), F.col("_best.d").alias("distance"))
+    cut = values.withColumns({"_part": part_of(values, "_v"), "_c": cand})
+    # the way ahead is the way back in falling order: each window runs along its rows once
+    along = lambda order: F.last("_c", True).over(W.partitionBy(*keys, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    near = cut.withColumns({"_a": along(F.asc("_v")), "_b": along(F.desc("_v"))}).where("_pos")
+    names = [f"_far_{k}" for k in keys]
+    ends = cut.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part").alias("_far_part")).agg(F.max("_c").alias("_last"), F.min("_c").alias("_first"))
+    beyond = lambda c, order: F.last(c, True).over(W.partitionBy(*names).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    far = ends.withColumns({"_before": beyond("_last", F.asc("_far_part")), "_after": beyond("_first", F.desc("_far_part"))})
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)] + [F.col("_part") == F.col("_far_part")]
+    both = near.join(far, on).withColumns({"_a": F.coalesce("_a", "_before"), "_b": F.coalesce("_b", "_after")})
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_v") - F.col(f"{c}.v")).alias("d"), F.col(f"{c}.r").alias("r")))
+    best = both.withColumn("_best", F.array_min(F.array_compact(F.array(away("_a"), away("_b"))))).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_v").alias("_far_v"), "_best")
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)] + [F.col(value) == F.col("_far_v")]
+    return positives.join(best, on, "left").select(*keys, row, F.col("_best.r").alias("match"), F.col("_best.d").alias("distance"))
 
 
 def difficulty_quantile(df: DataFrame, value: str, keys: list[str], row: str = "item_id") -> DataFrame:

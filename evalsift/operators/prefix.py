@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 #: Cuts of the range of values: a group's rows meet in so many parts, and one more.
 CUTS = 255
+#: Distinct values, over all groups, up to which they are ranked in one level; the result is the same.
+ONE_LEVEL = 200_000
 
 
 def search(value: Column, cuts: list, lo: int = 0, hi: int | None = None) -> Column:
@@ -45,9 +47,15 @@ def before(groups: DataFrame, keys: list[str], order: list[Column], sums: list[s
 def distinct_ranks(df: DataFrame, value: str, keys: list[str], counts: dict[str, Column] | None = None) -> DataFrame:
     """(keys, value, n, before_n, rank, ...): a row for each distinct value within ``keys`` with its tie-averaged rank;
     ``counts`` are further aggregates, each with its ``before_``. Null values have no rank."""
+    from ..sources.io import stored
+
     counts = counts or {}
-    g = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()])
-    out = before(g, keys, [F.col(value)], ["n", *counts], part_of(g, value))
+    g = stored(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()]))
+    if g.count() <= ONE_LEVEL:  # one window a group, whose size this bounds
+        earlier = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        out = g.select("*", *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"before_{x}") for x in ("n", *counts)])
+    else:
+        out = before(g, keys, [F.col(value)], ["n", *counts], part_of(g, value))
     return out.withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
 
 

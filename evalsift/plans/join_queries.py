@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -25,6 +26,15 @@ def ngram_overlap(spark, sf):
     return ngram.overlap(ben_tok(spark, sf), doc_tok(spark, sf), 13)
 
 
+@query(sql(OVERLAP.format(g=G13, c="doc_tok"), "ben_tok", "doc_tok", rnd="overlap"))
+def stored_index_overlap(spark, sf):
+    """The same from an index that is written once, bucketed and sorted by hash."""
+    name = f"grams_{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select(F.lit("docs").alias("corpus"), "text")
+    index = io.write_bucketed_index(docs, T.tokenize_words(F.col("text")), [13], name, io.scratch(spark, name), 16)
+    return ngram.stored_overlap(ben_tok(spark, sf), index)
+
+
 @query(sql(OVERLAP.format(g=G13, c="(SELECT t FROM doc_tok JOIN labels USING (doc_id) WHERE quality = 1)"), "ben_tok", "doc_tok", rnd="overlap"))
 def self_ngram_overlap(spark, sf):
     """Against an index of the positives alone."""

@@ -94,6 +94,19 @@ def write_index(docs: DataFrame, tokens: Column, sizes: list[int], path: str) ->
     return unique.join(counts, "corpus").select("corpus", F.col("n").cast("int").alias("n"), "docs", "tokens", "ngrams")
 
 
+def write_bucketed_index(docs: DataFrame, tokens: Column, sizes: list[int], name: str, path: str, buckets: int) -> DataFrame:
+    """Writes the distinct n-gram hashes (corpus, n, h) as the table ``name``, in ``buckets`` buckets by hash, sorted within
+    them, a file a bucket, with Bloom filters of the hashes for look-ups of few. Grams are dealt once: what makes them
+    distinct is what the buckets need. Returns the table; a join on h with it moves the other side alone."""
+    spark = docs.sparkSession
+    toks = docs.select("corpus", tokens.alias("t"))
+    each = F.array(*[F.struct(F.lit(n).alias("n"), ngram_hashes(F.col("t"), n).alias("hs")) for n in sizes])
+    grams = toks.select("corpus", F.inline(each)).select("corpus", "n", F.explode("hs").alias("h"))
+    writer = grams.repartition(buckets, "h").dropDuplicates(["corpus", "n", "h"]).write.bucketBy(buckets, "h").sortBy("h")
+    writer.option("parquet.bloom.filter.enabled#h", "true").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, however often it is read."""
     path = scratch(df.sparkSession, "stored")

@@ -165,3 +165,58 @@ def test_poisson_bootstrap_against_the_closed_form(spark):
     se = (x.var() / len(x) + y.var() / len(y)) ** 0.5
     gap = x.mean() - y.mean()
     assert abs(r["ci_low"] - (gap - 1.96 * se)) < 0.3 * se and abs(r["ci_high"] - (gap + 1.96 * se)) < 0.3 * se
+
+
+def test_nearest_match_over_ranges(spark):
+    """One group over many ranges, ties, runs of ranges without negatives, null values and groups without negatives."""
+    from evalsift.operators.peers import nearest_match
+
+    rng = np.random.default_rng(4)
+    pos = [("g", i, float(v)) for i, v in enumerate(rng.integers(0, 5000, 900))] + [("g", 5000, None), ("h", 1, 2.0), (None, 7, 1.0)]
+    neg = [("g", 10_000 + i, float(v)) for i, v in enumerate(np.concatenate([rng.integers(0, 400, 60), rng.integers(4700, 5000, 60)]))] + [("g", 9, None), (None, 8, 3.0), ("k", 1, 1.0)]
+    a, b = (spark.createDataFrame(x, "grp string, id long, x double") for x in (pos, neg))
+    got = {(r["grp"], r["id"]): (r["match"], r["distance"]) for r in nearest_match(a, b, "x", "id", ["grp"]).collect()}
+    for g, i, x in pos:
+        best = min(((abs(x - y), j) for h, j, y in neg if h == g and y is not None), default=None) if x is not None else None
+        assert got[g, i] == ((best[1], best[0]) if best else (None, None)), (g, i, x)
+    assert len(got) == len(pos)
+
+
+def test_a_bucketed_index_is_not_shuffled(spark, tmp_path):
+    import io as text
+    from contextlib import redirect_stdout
+
+    from evalsift.functions.text import tokenize_words
+    from evalsift.operators.ngram import overlap, stored_overlap
+    from evalsift.sources.io import write_bucketed_index
+
+    docs = spark.createDataFrame([("x", " ".join(f"w{(i * j) % 41}" for j in range(60))) for i in range(1, 30)] + [("x", None), ("x", "")], "corpus string, text string")
+    items = spark.createDataFrame([(i, [f"w{(i * j) % 41}" for j in range(30)]) for i in range(1, 45)] + [(99, []), (98, ["w1"])], "item_id long, t array<string>")
+    index = write_bucketed_index(docs, tokenize_words(F.col("text")), [3, 5], "grams_of_a_test", f"file://{tmp_path}/index", 4)
+    got = stored_overlap(items, index, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, overlap(items, docs.select(tokenize_words(F.col("text")).alias("t")), 5).collect()))
+    with redirect_stdout(text.StringIO()) as out:
+        got.explain("simple")
+    lines = out.getvalue().splitlines()
+    scan = next(i for i, x in enumerate(lines) if "grams_of_a_test" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    above, at = [], depth(lines[scan])
+    for x in reversed(lines[:scan]):  # the nodes between the scan and the join
+        if depth(x) < at:
+            above.append(x)
+            at = depth(x)
+            if "Join" in x:
+                break
+    assert "Join" in above[-1] and not any("Exchange" in x for x in above)
+    assert index.count() == index.distinct().count()
+    spark.sql("drop table grams_of_a_test")
+
+
+def test_ranks_in_one_level_and_in_two_agree(spark, monkeypatch):
+    from evalsift.operators import prefix
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(f"g{i % 3}", float(v)) for i, v in enumerate(rng.integers(0, 300, 2000))] + [("g0", None)], "g string, x double").cache()
+    one = {(r["g"], r["x"]): r["rank"] for r in prefix.distinct_ranks(df, "x", ["g"]).collect()}
+    monkeypatch.setattr(prefix, "ONE_LEVEL", 0)
+    assert one == {(r["g"], r["x"]): r["rank"] for r in prefix.distinct_ranks(df, "x", ["g"]).collect()}
