@@ -11,6 +11,8 @@ from ..sources.io import stored
 
 #: Buckets of shares in each halving: kinds meet where one can still raise the other's best share, to within a bucket.
 STEPS = 8
+#: Elements of several classes that are broadcast at most, to find them where the sets lie; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def best_overlap(sets: DataFrame) -> DataFrame:
@@ -29,7 +31,8 @@ def best_overlap(sets: DataFrame) -> DataFrame:
     same = ["grp", "size", "fp", "fq"]
     classes = s.where("size > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
     reps = s.join(classes.select("grp", F.col("rep").alias("id")), ["grp", "id"], "left_semi").select("grp", F.col("id").alias("rep"), "size", F.explode("elements").alias("h"))
-    often = reps.groupBy("grp", "h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = stored(reps.groupBy("grp", "h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
     # classes that share something, with their shared elements from rare to frequent
     shared = reps.join(often, ["grp", "h"]).groupBy("grp", "rep", "size").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("e")).select("grp", "rep", "size", F.col("e.h").alias("e"))
     shared = stored(shared.select("*", F.xxhash64("e").alias("ep"), F.xxhash64("e", F.lit(1)).alias("eq")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import distinct_ratio, tokenize_words
-from ..sources.io import table
+from ..sources.io import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,7 +70,7 @@ def query(oracle: str | None = None):
 
 
 def doc_tok(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", tokenize_words(F.col("text")).alias("t"))
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", tokenize_words(F.col("text")).alias("t"))
 
 
 def ben_tok(spark, sf):
@@ -97,7 +97,7 @@ def models(spark, sf):
 
 
 def calib(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("t", tokenize_words(F.col("text")))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).join(table(spark, sf, "labels"), "doc_id").withColumn("t", tokenize_words(F.col("text")))
     v = F.col("doc_id") % 5
     return d.select(F.substring(F.lit("ABCDE"), (v + 1).cast("int"), F.lit(1)).alias("variant"), F.when(v < 3, "dev").otherwise("val").alias("split"), F.col("doc_id").alias("row_id"), F.col("quality").alias("label"), "toxic", F.length("text").cast("double").alias("n_chars"), F.size("t").cast("double").alias("n_words"), distinct_ratio(F.col("t")).alias("distinct_ratio"))
 
