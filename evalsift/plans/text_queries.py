@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import cells as C
 from ..sources import io
 from ..sources.io import table
+from ..sources.versioned import VersionedTable
 from .base import NGRAMS_SQL, audit, ben_tok, calib, doc_tok, query, sql
 
 
@@ -70,10 +71,14 @@ def write_index(spark, sf):
 
 @query(sql("SELECT item_id, coalesce(max(p) FILTER (stratum = 3), max(p) FILTER (stratum < 3)) AS p FROM (SELECT item_id // 16 AS item_id, stratum, p FROM audit) GROUP BY 1", "audit", rnd="p"))
 def upsert_results(spark, sf):
-    """New results (the last stratum) over old ones (all others), by groups of neighbouring items."""
+    """New results (the last stratum) over old ones (all others), by groups of neighbouring items: two commits of a stored
+    table, the second rewriting the buckets it touches."""
     a = audit(spark, sf).select(F.floor(F.col("item_id") / 16).alias("item_id"), "stratum", "p")
     of = lambda c: a.where(c).groupBy("item_id").agg(F.max("p").alias("p"))
-    return io.upsert(of("stratum < 3"), of("stratum = 3"), ["item_id"])
+    results = VersionedTable(spark, io.scratch(spark, "results"), ["item_id"], 16)
+    results.merge(of("stratum < 3"), "first")
+    results.merge(of("stratum = 3"), "second")
+    return results.read()
 
 
 @query(sql("SELECT text, quality AS label FROM documents JOIN labels USING (doc_id)"))

@@ -220,3 +220,42 @@ def test_ranks_in_one_level_and_in_two_agree(spark, monkeypatch):
     one = {(r["g"], r["x"]): r["rank"] for r in prefix.distinct_ranks(df, "x", ["g"]).collect()}
     monkeypatch.setattr(prefix, "ONE_LEVEL", 0)
     assert one == {(r["g"], r["x"]): r["rank"] for r in prefix.distinct_ranks(df, "x", ["g"]).collect()}
+
+
+def test_commits_of_a_versioned_table(spark, tmp_path, monkeypatch):
+    """Merged rows, untouched buckets left alone, a commit killed between data and manifest, a commit given twice, a race."""
+    from evalsift.sources.versioned import VersionedTable
+
+    rows = lambda ids, v: spark.createDataFrame([(i, f"{v}{i}") for i in ids], "id long, v string")
+    t = VersionedTable(spark, f"file://{tmp_path}/t", ["id"], 8)
+    held = lambda: {r["id"]: r["v"] for r in t.read().collect()}
+    assert t.read() is None and t.merge(rows(range(100), "a"), "one") == 1
+    first = t.manifest()["buckets"]
+    assert held() == {i: f"a{i}" for i in range(100)} and len(first) == 8
+
+    assert t.merge(rows([3, 500], "b"), "two") == 2
+    want = {i: f"a{i}" for i in range(100)} | {3: "b3", 500: "b500"}
+    now = t.manifest()["buckets"]
+    assert held() == want and sum(now[k] != first[k] for k in first) in (1, 2)
+
+    def killed(manifest):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(t, "_publish", killed)
+    with pytest.raises(KeyboardInterrupt):
+        t.merge(rows(range(50), "c"), "three")
+    assert held() == want and t.manifest()["version"] == 2  # its data lie there and are not read
+    monkeypatch.undo()
+    assert t.merge(rows(range(50), "c"), "three") == 3
+    want |= {i: f"c{i}" for i in range(50)}
+    assert held() == want
+    assert t.merge(rows(range(100), "z"), "three") == 3 and held() == want  # the same commit again: nothing
+
+    stale = t.manifest()
+    assert t.merge(rows([7], "d"), "four") == 4
+    monkeypatch.setattr(t, "manifest", lambda: stale)  # a writer that has not seen the commit before it
+    with pytest.raises(RuntimeError, match="another commit"):
+        t.merge(rows([8], "e"), "five")
+    monkeypatch.undo()
+    assert held() == want | {7: "d7"} and t.merge(rows([8], "e"), "five") == 5 and held() == want | {7: "d7", 8: "e8"}
+    assert t.merge(rows([], "f"), "six") == 6 and held() == want | {7: "d7", 8: "e8"}
