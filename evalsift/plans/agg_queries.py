@@ -9,6 +9,7 @@ from ..operators import calibrate as K
 from ..operators import cells as C
 from ..operators import checks, inference, ngram, peers, ranks
 from ..operators.quantiles import with_quantiles
+from ..sources import io
 from ..sources.io import table
 from .base import FEATURES, NGRAMS_SQL, audit, calib, doc_tok, matrix, query, sql
 
@@ -35,6 +36,14 @@ def index_manifest(spark, sf):
     return ngram.index_manifest(doc_tok(spark, sf), [8, 13])
 
 
+@query()
+def growing_manifest(spark, sf):
+    """A corpus that grows by half: the stored sketches of both halves, merged; n-grams to within 5 %."""
+    docs = doc_tok(spark, sf).select(F.col("lang").alias("corpus"), "t", (F.col("doc_id") % 2).alias("half"))
+    parts = [io.stored(ngram.sketch_manifest(docs.where(F.col("half") == h), [8, 13])) for h in (0, 1)]
+    return ngram.manifest_counts(ngram.merge_manifests(*parts))
+
+
 @query(sql("SELECT model, benchmark, count(*) AS n_items, avg(p) AS p_mean, quantile_cont(p, 0.9) AS p_p90, avg((p > 0.5)::INT) AS high_risk_rate, avg(loss) AS mean_loss, avg(delta) AS mean_delta FROM audit GROUP BY 1, 2", "audit", rnd="p_mean p_p90 high_risk_rate mean_loss mean_delta"))
 def audit_summary(spark, sf):
     return C.audit_summary(audit(spark, sf))

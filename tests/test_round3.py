@@ -259,3 +259,21 @@ def test_commits_of_a_versioned_table(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert held() == want | {7: "d7"} and t.merge(rows([8], "e"), "five") == 5 and held() == want | {7: "d7", 8: "e8"}
     assert t.merge(rows([], "f"), "six") == 6 and held() == want | {7: "d7", 8: "e8"}
+
+
+def test_sketches_of_parts_make_the_sketch_of_the_whole(spark):
+    from evalsift.operators.ngram import manifest_counts, merge_manifests, sketch_manifest
+
+    tokens = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("w"), (F.col("id") * 7919 + i * 31) % 9000))
+    docs = spark.range(6000).select((F.col("id") % 2).cast("string").alias("corpus"), "id", tokens.alias("t"))
+    docs = docs.unionByName(spark.createDataFrame([("tiny", -1, ["a", "b", "c"]), ("none", -2, []), (None, -3, ["x", "y"])], "corpus string, id long, t array<string>")).cache()
+    cut = docs.where("id % 3 = 0"), docs.where("id % 3 = 1"), docs.where("id % 3 not in (0, 1)")
+    whole = {(r["corpus"], r["n"]): r for r in manifest_counts(sketch_manifest(docs, [2, 3])).collect()}
+    parts = merge_manifests(merge_manifests(sketch_manifest(cut[0], [2, 3]), sketch_manifest(cut[1], [2, 3])), sketch_manifest(cut[2].coalesce(1), [2, 3]))
+    merged = {(r["corpus"], r["n"]): r for r in manifest_counts(parts).collect()}
+    known = {k: v for k, v in whole.items() if k[0] is not None}
+    assert {k: v for k, v in merged.items() if k[0] is not None} == known and set(merged) == set(whole)
+    exact = {(r["corpus"], n): r["e"] for n in (2, 3) for r in docs.select("corpus", F.explode(F.expr(f"transform(sequence(1, greatest(size(t) - {n - 1}, 1)), i -> slice(t, i, {n}))")).alias("g")).where(f"size(g) = {n}").groupBy("corpus").agg(F.count_distinct("g").alias("e")).collect()}
+    for k, r in known.items():
+        assert abs(r["ngrams"] - exact.get(k, 0)) <= 0.05 * exact.get(k, 0), (k, r, exact.get(k))
+    assert whole["none", 2]["ngrams"] == 0 and whole["tiny", 2]["ngrams"] == 2 and whole["0", 2]["docs"] == 3000
