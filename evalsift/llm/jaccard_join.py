@@ -3,10 +3,12 @@
 Documents with equal shingle sets are one class. Classes meet in the trees of their min-hash bands (BANDS bands of ROWS
 min-hashes: two sets of similarity 0.75 miss each other in all of them with chance (1 - 0.75**3)**40 = 3e-10). A tree's
 first level is a star: every member against one pivot, which joins a family of near copies in as many pairs as it has
-members. Where members remain apart, a dual traversal of the tree compares node pairs, drops those whose greatest
-possible overlap cannot reach the threshold or that lie in one component already, and so comes down to pairs of classes,
-which are verified on whole shingle sets within the tree: what leaves it are links between components, fewer than it has
-members. Components follow from the links found.
+members. Where components remain apart, its second level is made of two nodes: the largest component and all members
+outside of it. Members of the largest go on only if the bitmap and the size range of the node outside leave them a chance,
+and never meet each other. A dual traversal of the tree, whose bitmaps are as wide as its sets need, compares node pairs,
+drops those whose greatest possible overlap cannot reach the threshold or that lie in one component already, and so comes
+down to pairs of classes, which are verified on whole shingle sets within the tree: what leaves it are links between
+components, fewer than it has members. Components follow from the links found.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from .common import discard, mix, row_key, ship, text_chunks, word_hashes, writt
 SHINGLE, BANDS, ROWS = 5, 40, 3
 #: Similarity threshold as a fraction.
 NUM, DEN = 75, 100
-#: Bits of a bitmap, in 64-bit words; members of a leaf block of a large tree, and their shingles; children of a node.
-WORDS, BLOCK, BLOCK_SHINGLES, FAN = 8, 1024, 1 << 19, 8
+#: Bits of the bitmaps of the upper two levels, in 64-bit words; members of a leaf block of a large tree, and their
+#: shingles; children of a node; bits for each shingle of a mean set in the bitmaps below.
+WORDS, BLOCK, BLOCK_SHINGLES, FAN, SPREAD = 8, 1024, 1 << 19, 8, 4
 #: Trees are walked in turn, by their keys modulo BANDS; what one round joins, the next need not compare.
 ROUNDS = [(0, 1), (2, 9), (10, BANDS - 1)]
-#: Ids up to this many (about 50 MB as a hash table) are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Ids up to this many (about 50 MB as a hash table) are broadcast, and rows of that many keys; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_KEYS = 1_000_000, 200_000
 BITMAP = [f"b{i}" for i in range(WORDS)]
 _rng = np.random.default_rng(75)
 _PLACE = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,12 +72,19 @@ def bands(s: np.ndarray) -> np.ndarray:
     return mix((low * _JOIN).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    out = np.zeros(WORDS * 64, bool)
-    out[(s >> np.uint64(20)) % np.uint64(WORDS * 64)] = True
+def bitmap(s: np.ndarray, words: int = WORDS) -> np.ndarray:
+    out = np.zeros(words * 64, bool)
+    out[(s >> np.uint64(20)) % np.uint64(words * 64)] = True
     return np.packbits(out, bitorder="little").view(np.int64)
 
 
+def bitmaps(sets: np.ndarray) -> np.ndarray:
+    """A row of bits for each set, SPREAD bits for each shingle of the mean set: as much memory as the sets take, a 16th."""
+    mean = sum(map(len, sets)) / len(sets)
+    words = max(WORDS, 1 << int(np.ceil(np.log2(max(1, SPREAD * mean / 64)))))
+    return np.stack([bitmap(s, words) for s in sets])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, row, n, fp, bands, b0...): one row a document; without shingles fp and bands are null."""
     ship(docs.sparkSession)
@@ -195,13 +205,13 @@ def _shared(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum([0, *map(len, many[:-1])]))
 
 
-def tree_links(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: np.ndarray) -> list[tuple[int, int]]:
+def tree_links(fp: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: np.ndarray) -> list[tuple[int, int]]:
     """Links (a, b) of one tree that join components: at most one fewer than it has members.
 
     The pairs that the traversal leaves are verified on whole sets, member by member, those just linked first; a pair
     whose ends have come together meanwhile needs no look. No pair is left out otherwise.
     """
-    found = list(traverse(n, bits, comp, side))
+    found = list(traverse(n, bitmaps(sets), comp, side))
     a, b = found[0] if found else (np.zeros(0, np.int64),) * 2
     if not len(a):
         return []
@@ -230,7 +240,7 @@ def tree_links(fp: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray
 
 
 def forest_links(members: DataFrame) -> DataFrame:
-    """Links (a, b) of all trees. ``members``: key, i, j, side, fp, n, comp, set, b0...; the rows of a (key, i, j) are
+    """Links (a, b) of all trees. ``members``: key, i, j, side, fp, n, comp, set; the rows of a (key, i, j) are
     one block or two, each of BLOCK members and BLOCK_SHINGLES shingles (4 MB) on average, and come together in one task,
     one after another."""
 
@@ -241,8 +251,9 @@ def forest_links(members: DataFrame) -> DataFrame:
             g = np.flatnonzero(np.any(t["g"][1:upto] != t["g"][: upto - 1], 1)) + 1
             out = []
             for lo, hi in zip(np.append(0, g), np.append(g, upto), strict=True):
-                if hi - lo > 1:
-                    out += tree_links(*(t[k][lo:hi] for k in ("fp", "n", "bits", "comp", "side", "set")))
+                # of two blocks one may be empty: nobody there can be reached
+                if hi - lo > 1 and (t["g"][lo, 1] == t["g"][lo, 2] or len(np.unique(t["side"][lo:hi])) == 2):
+                    out += tree_links(*(t[k][lo:hi] for k in ("fp", "n", "comp", "side", "set")))
             if out:
                 u = np.unique(np.array(out, np.int64), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
@@ -253,7 +264,7 @@ def forest_links(members: DataFrame) -> DataFrame:
             sets = np.empty(len(batch), object)
             sets[:] = [flat[x:y] for x, y in zip(offs[:-1], offs[1:], strict=True)]
             c = {k: v.to_numpy() for k, v in c.items() if k != "set"}
-            t = {"g": np.stack([c["key"], c["i"], c["j"]], 1), "n": c["n"], "comp": c["comp"], "fp": c["fp"], "side": c["side"], "bits": np.stack([c[b] for b in BITMAP], 1), "set": sets}
+            t = {"g": np.stack([c["key"], c["i"], c["j"]], 1), "n": c["n"], "comp": c["comp"], "fp": c["fp"], "side": c["side"], "set": sets}
             if rest is not None:
                 t = {k: np.concatenate([rest[k], t[k]]) for k in t}
             same = np.flatnonzero(np.any(t["g"] != t["g"][-1], 1))
@@ -264,20 +275,51 @@ def forest_links(members: DataFrame) -> DataFrame:
         if rest is not None:
             yield from done(rest, len(rest["n"]))
 
-    cols = ["key", "i", "j", "side", "fp", "n", "comp", "set", *BITMAP]
+    cols = ["key", "i", "j", "side", "fp", "n", "comp", "set"]
     sorted_ = members.select(*cols).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return sorted_.mapInArrow(batches, "a long, b long").distinct()
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast where its rows are counted and few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def dealt(placed: DataFrame, known: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, i, j, side, fp, n, comp) of the members of trees that hold several components, in pairs of blocks (i, j), and
+    the tables that this reads.
+
+    ``placed``: key, fp, n, comp; ``known``: fp and bitmaps. Members outside the largest component of their tree meet all
+    others; those of the largest meet only them, so that m members of which k stand apart make about m rows for each
+    BLOCK of the k, and those that the node of the k cannot reach make none.
+    """
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    trees = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("k > 1")
+    count = lambda c, s: F.ceil(F.greatest(c / F.lit(BLOCK), s / F.lit(BLOCK_SHINGLES))).cast("long")
+    trees = written(trees.select("key", F.col("main.comp").alias("largest"), count(F.col("main.c"), F.col("main.s")).alias("inner"), count(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("outer")))
+    there = written(placed.join(few(trees), "key").join(known.select("fp", *BITMAP), "fp"))
+    apart, main = there.where("comp <> largest"), there.where("comp = largest")
+    node = written(apart.groupBy("key").agg(F.min("n").alias("_least"), F.max("n").alias("_most"), *[F.bit_or(b).alias(f"_{b}") for b in BITMAP]))
+    outside = sum((F.bit_count(F.col(b).bitwiseAND(F.bitwise_not(F.col(f"_{b}")))) for b in BITMAP), F.lit(0))
+    main = main.join(few(node), "key").where(F.lit(NUM + DEN) * F.least(F.col("n") - outside, F.col("_most")) >= F.lit(NUM) * (F.col("n") + F.col("_least")))
+    # blocks 0 to outer - 1 are of members apart, the rest of the largest component
+    zero, spread = F.lit(0).cast("long"), F.xxhash64("fp")
+    cols = ["key", "fp", "n", "comp", "_block", "_other"]
+    apart = apart.withColumn("_block", F.pmod(spread, F.col("outer"))).withColumn("_other", F.explode(F.sequence(zero, F.col("outer") + F.col("inner") - 1))).select(cols)
+    main = main.withColumn("_block", F.col("outer") + F.pmod(spread, F.col("inner"))).withColumn("_other", F.explode(F.sequence(zero, F.col("outer") - 1))).select(cols)
+    rows = apart.unionByName(main).withColumns({"i": F.least("_block", "_other"), "j": F.greatest("_block", "_other"), "side": F.when(F.col("_block") > F.col("_other"), 1).otherwise(0)})
+    return rows.drop("_block", "_other"), [trees, there, node]
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures of all rows, (fp, rep, comp) of every class): its smallest id, which may be null, and its component."""
     sig = written(signatures(docs))
     rows = sig.where("fp is not null")
     # band members: equal sets collapse before anything meets; lone members of a band leave here
     entries = rows.select("fp", "n", F.explode("bands").alias("key")).distinct()
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("pivot"), F.sum("n").alias("shingles")).where("c > 1")
+    shared = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("pivot")).where("c > 1").drop("c"))
     classes = rows.groupBy("fp").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"), F.min("row").alias("pick"), *[F.max(b).alias(b) for b in BITMAP])
-    members = written(entries.drop("n").join(shared, "key"))
+    members = written(entries.join(few(shared), "key"))
     wanted = members.select("fp").distinct()
     known = written(classes.join(wanted, "fp", "left_semi"))
     sets = written(whole_sets(docs, known.select("pick")).join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
@@ -293,16 +335,13 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     comps = written(components(links))
     for first, last in ROUNDS:
         placed = members.where(F.pmod("key", F.lit(BANDS)).between(first, last)).join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).drop("pivot")
-        apart = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
-        open_ = placed.join(apart, "key", "left_semi").join(known.drop("rep", "pick"), "fp").join(sets, "fp")
-        blocks = F.ceil(F.greatest(F.col("c") / F.lit(BLOCK), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("long")
-        open_ = open_.withColumn("_block", F.pmod(F.xxhash64("fp"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        open_ = open_.withColumns({"i": F.least("_block", "_other"), "j": F.greatest("_block", "_other"), "side": F.when(F.col("_block") > F.col("_other"), 1).otherwise(0)})
-        more = written(links.union(forest_links(open_)))
+        placed = written(placed)
+        rows, used = dealt(placed, known)
+        more = written(links.union(forest_links(rows.join(sets, "fp"))))
         again = written(components(more))
-        discard(links, comps)
+        discard(links, comps, placed, *used)
         links, comps = more, again
-    discard(links, members, known, sets, star)
+    discard(links, members, known, sets, star, shared)
     return sig, classes.select("fp", "rep").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
 
 

@@ -228,3 +228,69 @@ def test_empty(spark):
     assert alignment.align_documents(none).count() == 0
     assert divergence.audit(none).count() == 0
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _band(spark, texts, comps):
+    """(placed, known) of one tree whose members are these texts."""
+    import pyarrow as pa
+
+    from evalsift.llm import jaccard_join as J
+
+    sets = list(J.shingle_sets(pa.array(texts)))
+    fps = [J.fingerprint(s) for s in sets]
+    placed = spark.createDataFrame([(7, f, len(s), c) for f, s, c in zip(fps, sets, comps, strict=True)], "key long, fp long, n long, comp long")
+    known = spark.createDataFrame([(f, *J.bitmap(s).tolist()) for f, s in zip(fps, sets, strict=True)], "fp long, " + ", ".join(f"{b} long" for b in J.BITMAP))
+    return placed, known, sets
+
+
+def test_one_stranger_in_a_band_of_near_copies(spark):
+    """20,000 near copies and one that stands apart: about a row a member goes on, none where the stranger is out of reach."""
+    from evalsift.llm import jaccard_join as J
+
+    word = [f"w{i}" for i in range(120)]
+    copies = [" ".join([*word[:60], f"x{i}", *word[60:]]) for i in range(20_000)]
+    close = " ".join([*word[:50], "y", *word[50:]])
+    far = " ".join([*word[:10], *[f"z{i}" for i in range(110)]])
+    for stranger, least, most in ((close, 20_000, 60_000), (far, 0, 100)):
+        placed, known, sets = _band(spark, [*copies, stranger], [1] * 20_000 + [2])
+        rows, used = J.dealt(placed, known)
+        got = rows.select("i", "j", "side", "comp").collect()
+        assert least <= len(got) <= most, len(got)
+        # the copies never meet each other, and each of them that goes on meets the stranger once
+        assert all(r["i"] == 0 and (r["comp"] == 2) == (r["side"] == 0) for r in got)
+        J.discard(*used)
+
+
+def test_bitmaps_follow_the_sets():
+    from evalsift.llm import jaccard_join as J
+
+    rng = np.random.default_rng(2)
+    for size in (3, 200, 20_000):
+        sets = np.empty(4, object)
+        sets[:] = [rng.integers(0, 2**63, size, dtype=np.uint64) for _ in range(4)]
+        bits = J.bitmaps(sets)
+        full = J._pop(bits) / (64 * bits.shape[1])
+        assert full.max() < 0.4 and bits.nbytes <= max(4 * 8 * J.WORDS, sum(s.nbytes for s in sets) // 4)
+
+
+def test_planted_pairs_at_the_threshold(spark):
+    """300 pairs of similarity 0.75 to 0.8, 300 just below 0.75: all of the former link, none of the latter."""
+    from evalsift.llm import jaccard_join as J
+
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for i in range(600):
+        n = int(rng.integers(60, 400))
+        one = [f"p{i}q{k}" for k in range(n)]
+        # the end differs: shared and own shingles can be counted
+        m = n - 4
+        cut = int(np.floor(m * (0.75 + 0.05 * rng.random()) * 2 / (1.75 + 0.05))) if i < 300 else int(m * 0.84)
+        while i < 300 and 100 * cut < 75 * (2 * m - cut):
+            cut += 1
+        two = one[: cut + 4] + [f"r{i}s{k}" for k in range(n - cut - 4)]
+        both = 100 * cut >= 75 * (2 * m - cut)
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+        want[2 * i + 1] = 2 * i if both else 2 * i + 1
+    got = {r["doc_id"]: r["component_id"] for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(want[2 * i + 1] == 2 * i for i in range(300)) == 300 and sum(want[2 * i + 1] == 2 * i for i in range(300, 600)) == 0
+    assert all(got[k] == v for k, v in want.items())
