@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .resample import md5_order
+from .vectors import indexed_max_dot
 
 
 def check_dataset(df: DataFrame, name: str, expected: int, fields: list[str], tolerance: float = 0.05) -> DataFrame:
@@ -32,28 +33,24 @@ def sample_rows(df: DataFrame, row: str, n: int = 3, seed: str = "sample") -> Da
 def max_cosine(queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """(key, best): the greatest dot product of each query with any corpus vector of another key, at least 0.
 
-    Queries go in blocks of ``block`` rows, each a matrix beside a stream of corpus batches: a block is a broadcast of
-    bounded size, and only its maxima leave a task.
+    Up to ``block`` queries are one matrix beside a stream of corpus batches: a broadcast of bounded size, of which only
+    maxima leave a task. More of them go through the inverted file of ``vectors``, with the same results.
     """
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    spark, out = queries.sparkSession, None
-    for i in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i).select(key, vector).toPandas()
-        if not len(rows):
-            continue
-        shared = spark.sparkContext.broadcast((rows[key].to_numpy(), np.stack(rows[vector].to_numpy()).astype(np.float64)))
-
-        def best(it, shared=shared):
-            ids, m = shared.value
-            top = np.zeros(len(ids))
-            for pdf in it:
-                if len(pdf):
-                    dots = np.stack(pdf[vector].to_numpy()).astype(np.float64) @ m.T
-                    dots[pdf[key].to_numpy()[:, None] == ids] = -np.inf
-                    top = np.maximum(top, dots.max(0))
-            yield pd.DataFrame({key: ids, "best": top})
-
-        one = corpus.select(key, vector).mapInPandas(best, f"{key} long, best double").groupBy(key).agg(F.max("best").alias("best"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else queries.select(key, F.lit(0.0).alias("best"))
+    if queries.limit(block + 1).count() > block:
+        return indexed_max_dot(queries, corpus, key, vector)
+    rows = queries.select(key, vector).toPandas()
+    if not len(rows):
+        return queries.select(key, F.lit(0.0).alias("best"))
+    shared = queries.sparkSession.sparkContext.broadcast((rows[key].to_numpy(), np.stack(rows[vector].to_numpy()).astype(np.float64)))
+
+    def best(it):
+        ids, m = shared.value
+        top = np.zeros(len(ids))
+        for pdf in it:
+            if len(pdf):
+                dots = np.stack(pdf[vector].to_numpy()).astype(np.float64) @ m.T
+                dots[pdf[key].to_numpy()[:, None] == ids] = -np.inf
+                top = np.maximum(top, dots.max(0))
+        yield pd.DataFrame({key: ids, "best": top})
+
+    return corpus.select(key, vector).mapInPandas(best, f"{key} long, best double").groupBy(key).agg(F.max("best").alias("best"))
