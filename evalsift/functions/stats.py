@@ -73,17 +73,30 @@ def binomial_tail(wins: Column, n: Column) -> Column:
 
 
 def hypergeom_cdf(k: Column, total: Column, good: Column, draws: Column) -> Column:
-    """P(X <= k) when ``draws`` of ``total`` are drawn and ``good`` of them count; terms by their ratio from the first."""
-    first = F.greatest(F.lit(0).cast("long"), draws + good - total)
-    start = F.exp(log_choose(good, first) + log_choose(total - good, draws - first) - log_choose(total, draws))
-
-    def step(acc: Column, x: Column) -> Column:
-        nxt = acc["p"] * (good - x) * (draws - x) / ((x + 1) * (total - good - draws + x + 1))
+    """P(X <= k) when ``draws`` of ``total`` are drawn and ``good`` of them count.
+
+    The sum starts at k (or k + 1) and runs away from the mean by the terms' ratio, so that it begins with its greatest
+    term and none underflows before it matters: down if k lies below the mean, else up, for the other side. It ends 12
+    deviations (of a binomial number, which has wider ones) beyond that; what lies further is less than 1e-30.
+    """
+    first, last = F.greatest(F.lit(0).cast("long"), draws + good - total), F.least(good, draws)
+    mean = draws.cast("double") * good / total
+    low = k < mean
+    start = F.when(low, k).otherwise(k + 1).cast("long")
+    wide = F.ceil(12 * F.sqrt(F.least(mean, draws - mean)) + 12).cast("long")
+    steps = F.least(wide, F.when(low, start - first).otherwise(last - start))
+    term = F.exp(log_choose(good, start) + log_choose(total - good, draws - start) - log_choose(total, draws))
+
+    def step(acc: Column, i: Column) -> Column:
+        down, up = start - i, start + i
+        ratio = F.when(low, (down + 1) * (total - good - draws + down + 1) / ((good - down) * (draws - down)).cast("double"))
+        ratio = ratio.otherwise((good - up + 1) * (draws - up + 1) / (up * (total - good - draws + up)).cast("double"))
+        nxt = acc["p"] * ratio
         return F.struct(nxt.alias("p"), (acc["s"] + nxt).alias("s"))
 
-    more = F.when(k > first, F.sequence(first, k - 1)).otherwise(F.array().cast("array<bigint>"))
-    out = F.aggregate(more, F.struct(start.alias("p"), start.alias("s")), step)["s"]
-    return F.when(k < first, 0.0).otherwise(F.least(out, F.lit(1.0)))
+    more = F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<bigint>"))
+    side = F.least(F.aggregate(more, F.struct(term.alias("p"), term.alias("s")), step)["s"], F.lit(1.0))
+    return F.when(k < first, 0.0).when(k >= last, 1.0).otherwise(F.when(low, side).otherwise(1 - side))
 
 
 def binomial_draw(n: Column, k: Column, uniforms: Column) -> Column:
