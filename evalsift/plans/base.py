@@ -79,7 +79,7 @@ def ben_tok(spark, sf):
 
 def audit(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select(
         F.concat(F.lit("m"), (c % 12).cast("string")).alias("model"), F.col("o_orderpriority").alias("benchmark"), k.alias("item_id"), ((k * 37 + c) % 1009 / 1008.0).alias("p"), ((k * 53 + c * 7) % 1013 / 1012.0).alias("p1"),
         (k % 7 < 4).cast("int").alias("correct"), ((k * 29 + c * 3) % 997 / 250.0).alias("loss"), ((k * 31 + c * 11) % 991 / 495.0 - 1).alias("delta"), (k % 4).alias("stratum"),
     )
