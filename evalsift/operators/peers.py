@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,12 +30,44 @@ def capability_peers(models: DataFrame, k: int = 7, within: float | None = 0.15,
     return r.where((F.col("rank") <= k) & (F.col("_n") >= least)).select("model", "peer", "diff", "rank")
 
 
-def peer_delta(losses: DataFrame, peers: DataFrame) -> DataFrame:
-    """(model, item_id, delta): an item's loss minus its peers' mean; items that a peer lacks are dropped."""
-    size = peers.groupBy("model").agg(F.count(F.lit(1)).alias("_k"))
-    theirs = peers.select("model", "peer").join(losses.select(F.col("model").alias("peer"), "item_id", F.col("loss").alias("_l")), "peer")
-    mean = theirs.where("_l is not null").groupBy("model", "item_id").agg(F.avg("_l").alias("_m"), F.count(F.lit(1)).alias("_c")).join(size, "model").where("_c = _k")
-    return losses.join(mean, ["model", "item_id"]).select("model", "item_id", (F.col("loss") - F.col("_m")).alias("delta"))
+def set_deltas(outcomes: DataFrame, sets: DataFrame, whole: bool, digits: int | None = None) -> DataFrame:
+    """(sid, item_id, delta, correct): for each of ``sets`` (sid, model, peers) the model's loss of an item minus the mean of
+    those peers that have one; with ``whole``, only where all have one. ``outcomes``: model, item_id, loss, correct.
+
+    An item's outcomes meet once, a row an item with as many entries as there are models, and all sets are taken from that
+    row: nothing is shuffled by set. The sets, which grow with the models alone, go to every task.
+    """
+    table = [(r["sid"], r["model"], list(r["peers"])) for r in sets.select("sid", "model", "peers").collect()]
+    names = sorted({m for _, model, theirs in table for m in (model, *theirs)})
+    place = {m: i for i, m in enumerate(names)}
+    plan = [(sid, place[model], [place[m] for m in theirs]) for sid, model, theirs in table]
+    one = F.struct("model", F.col("loss").cast("double").alias("loss"), F.col("correct").cast("double").alias("correct"))
+    items = outcomes.where("item_id is not null").groupBy("item_id").agg(F.collect_list(one).alias("z")).select("item_id", "z.model", "z.loss", "z.correct")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            models, n = batch.column(1), len(batch)
+            at = pc.fill_null(pc.index_in(models.flatten(), value_set=pa.array(names, pa.string())), -1).to_numpy()
+            cell = at[at >= 0], np.repeat(np.arange(n), np.diff(models.offsets.to_numpy()))[at >= 0]
+            loss, correct = np.full((len(names), n), np.nan), np.full((len(names), n), np.nan)
+            loss[cell] = batch.column(2).flatten().to_numpy(zero_copy_only=False)[at >= 0]
+            correct[cell] = batch.column(3).flatten().to_numpy(zero_copy_only=False)[at >= 0]
+            there, value = ~np.isnan(loss), np.nan_to_num(loss)
+            for sid, own, theirs in plan:
+                have = there[theirs].sum(0)
+                keep = np.flatnonzero(there[own] & (have == len(theirs) if whole else have > 0))
+                delta = loss[own, keep] - value[theirs][:, keep].sum(0) / have[keep]
+                delta = delta if digits is None else np.round(delta, digits)
+                right = correct[own, keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), sid, np.int64)), batch.column(0).take(pa.array(keep)), pa.array(delta), pa.array(right, mask=np.isnan(right))], ["sid", "item_id", "delta", "correct"])
+
+    return items.mapInArrow(batches, f"sid long, item_id {dict(outcomes.dtypes)['item_id']}, delta double, correct double")
+
+
+def peer_delta(outcomes: DataFrame, peers: DataFrame) -> DataFrame:
+    """(model, item_id, delta, correct): an item's loss minus its peers' mean; items that a peer lacks are dropped."""
+    sets = stored(peers.groupBy("model").agg(F.sort_array(F.collect_list("peer")).alias("peers")).withColumn("sid", F.xxhash64("model")))
+    return set_deltas(outcomes, sets, True).join(F.broadcast(sets), "sid").select("model", "item_id", "delta", "correct")  # a row a model
 
 
 def within_z(df: DataFrame, value: str, keys: list[str], out: str = "z") -> DataFrame:

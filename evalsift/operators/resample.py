@@ -100,19 +100,24 @@ def wild_cluster_bootstrap(df: DataFrame, y: str, x: str, cluster: str, n: int,
     return t_.where("rep > 0").crossJoin(F.broadcast(obs)).groupBy("t_obs").agg(F.avg((F.abs("t") >= F.abs("t_obs")).cast("double")).alias("p_wild"))  # one row
 
 
-def random_peer_null(losses: DataFrame, audit: DataFrame, models: DataFrame, k: int, n: int, seed: int = 5) -> DataFrame:
+def random_peer_null(outcomes: DataFrame, models: DataFrame, k: int, n: int, seed: int = 5) -> DataFrame:
     """(model, rep, gap): gaps after splitting items by their delta to k random peers of other families, drawn anew in each
-    repetition. Models with fewer than k candidates have none. ``models``: model and family, a row a model."""
+    repetition. Models with fewer than k candidates have none. ``models``: model and family, a row a model; ``outcomes``:
+    model, item_id, loss, correct. Repetitions that draw the same peers have the same gap, which is found once."""
+    from ..sources.io import stored
     from .cells import quantile_split
+    from .peers import set_deltas
 
     mine = reps(models.select("model", "family"), n)
     cand = mine.join(models.select(F.col("model").alias("peer"), F.col("family").alias("_pf")), F.col("family") != F.col("_pf"))
     w = W.partitionBy("model", "rep")
     rank = F.row_number().over(w.orderBy(md5_order(str(seed), F.col("rep"), F.col("model"), F.col("peer")), "peer"))
     peers = cand.withColumns({"_r": rank, "_n": F.count(F.lit(1)).over(w)}).where((F.col("_r") <= k) & (F.col("_n") >= k)).select("model", "rep", "peer")
-    theirs = peers.join(losses.select(F.col("model").alias("peer"), "item_id", F.col("loss").alias("_l")), "peer").groupBy("model", "rep", "item_id").agg(F.avg("_l").alias("_m"))
-    d = losses.join(theirs, ["model", "item_id"]).withColumn("delta", F.round(F.col("loss") - F.col("_m"), 9)).join(audit.select("model", "item_id", "correct"), ["model", "item_id"])
-    return quantile_split(d, "delta", ["model", "rep"], 0.2, 0.8, True).select("model", "rep", "gap")
+    drawn = peers.groupBy("model", "rep").agg(F.sort_array(F.collect_list("peer")).alias("peers"))
+    sets = stored(drawn.groupBy("model", "peers").agg(F.collect_list("rep").alias("reps")).withColumn("sid", F.xxhash64("model", "peers")))
+    d = stored(set_deltas(outcomes, sets, False, 9).select("sid", "delta", "correct"))
+    gaps = quantile_split(d, "delta", ["sid"], 0.2, 0.8, True).select("sid", "gap")
+    return gaps.join(F.broadcast(sets), "sid").select("model", F.explode("reps").alias("rep"), "gap")  # at most n rows a model
 
 
 def null_summary(null: DataFrame, real: DataFrame) -> DataFrame:

@@ -110,13 +110,14 @@ DELTA = f"""SELECT m.model, m.item_id, m.loss - t.l AS delta FROM matrix m JOIN
     GROUP BY p.model, x.item_id, s.k HAVING count(*) = s.k) t ON t.model = m.model AND t.item_id = m.item_id"""
 
 
-def _delta(spark, sf):
-    return peers.peer_delta(matrix(spark, sf), peers.capability_peers(models(spark, sf)))
+def _delta(spark, sf, outcomes=None):
+    m = io.stored(matrix(spark, sf)) if outcomes is None else outcomes
+    return peers.peer_delta(m, peers.capability_peers(io.stored(models(spark, sf, m))))
 
 
 @query(sql(DELTA, "models", rnd="delta"))
 def peer_delta(spark, sf):
-    return _delta(spark, sf)
+    return _delta(spark, sf).select("model", "item_id", "delta")
 
 
 @query(sql("SELECT q.vec_id, greatest(0, max(list_dot_product(q.e, c.e))) AS best FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0) q LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) c ON c.vec_id <> q.vec_id GROUP BY 1", rnd="best"))

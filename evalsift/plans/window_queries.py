@@ -234,23 +234,26 @@ NULL_GAPS = "SELECT model, rep, gap FROM (" + split_sql(f"SELECT rep, model, cor
 REAL_GAPS = "SELECT model, gap FROM (" + split_sql(f"SELECT model, correct, round(delta, 9) AS delta FROM ({DELTA}) JOIN matrix USING (model, item_id)", "model", "delta", 0.2, 0.8, "contam", "clean") + ")"
 
 
-def _null_gaps(spark, sf):
-    m = matrix(spark, sf)
-    return resample.random_peer_null(m.select("model", "item_id", "loss"), m.select("model", "item_id", "correct"), models(spark, sf), 3, 100)
+def _null_gaps(spark, sf, outcomes):
+    return resample.random_peer_null(outcomes, io.stored(models(spark, sf, outcomes)), 3, 100)
+
+
+def _real_gaps(spark, sf, outcomes):
+    d = _delta(spark, sf, outcomes).withColumn("delta", F.round("delta", 9))
+    return C.quantile_split(io.stored(d.select("model", "delta", "correct")), "delta", ["model"], 0.2, 0.8, True)
 
 
 @query(sql(NULL_GAPS, "matrix", "models", rnd="gap"))
 def random_peer_null(spark, sf):
     """Gaps under random peers of other families, a hundred draws a model."""
-    return _null_gaps(spark, sf)
+    return _null_gaps(spark, sf, io.stored(matrix(spark, sf)))
 
 
 @query(sql(f"SELECT model, g.gap AS real_gap, avg(n.gap) AS null_mean, stddev_pop(n.gap) AS null_sd, quantile_cont(n.gap, 0.05) AS null_p5, avg((round(n.gap, 9) <= round(g.gap, 9))::INT) AS at_or_below, count(n.gap) AS n_draws FROM ({NULL_GAPS}) n JOIN ({REAL_GAPS}) g USING (model) GROUP BY 1, 2", "matrix", "models", rnd="real_gap null_mean null_sd null_p5 at_or_below"))
 def random_peer_summary(spark, sf):
     """Where the gap under capability peers lies among those under random ones."""
-    d = _delta(spark, sf).join(matrix(spark, sf).select("model", "item_id", "correct"), ["model", "item_id"])
-    real = C.quantile_split(d.withColumn("delta", F.round("delta", 9)), "delta", ["model"], 0.2, 0.8, True)
-    return resample.null_summary(io.stored(_null_gaps(spark, sf)), real)
+    m = io.stored(matrix(spark, sf))
+    return resample.null_summary(io.stored(_null_gaps(spark, sf, m)), _real_gaps(spark, sf, m))
 
 
 @query()
@@ -417,6 +420,5 @@ def refmodel_sensitivity(spark, sf):
 @query(sql(f"SELECT *, {t_tail_sql('t', 'n - 1')} AS p FROM (SELECT count(*) AS n, avg(gap) AS mean, stddev_samp(gap) AS sd, avg(gap) / (stddev_samp(gap) / sqrt(count(*))) AS t FROM (" + split_sql(f"SELECT model, correct, round(delta, 9) AS delta FROM ({DELTA}) JOIN matrix USING (model, item_id)", "model", "delta", 0.2, 0.8, "contam", "clean") + "))", "models", rnd="mean sd t p"))
 def peer_delta_gap(spark, sf):
     """Gaps after splitting items by their delta to capability peers, and the test of their mean."""
-    d = _delta(spark, sf).join(matrix(spark, sf).select("model", "item_id", "correct"), ["model", "item_id"])
-    g = C.quantile_split(d.withColumn("delta", F.round("delta", 9)), "delta", ["model"], 0.2, 0.8, True)
+    g = _real_gaps(spark, sf, io.stored(matrix(spark, sf)))
     return I.ttest_1samp(g, "gap", [])

@@ -39,3 +39,20 @@ def test_t_tail_is_quick(spark):
     cases = [(1.7, 1.3), (0.4, 1.5), (2.5, 1.01), (3.0, 4.7), (1.9, 60.0), (2.2, 5000.0)]
     rows = spark.createDataFrame(cases, "t double, v double").coalesce(1)
     assert [r[0] for r in rows.select(student_t_tail(F.col("t"), F.col("v"))).collect()] == [pytest.approx(by_density(*c), abs=1e-8) for c in cases]
+
+
+def test_random_peers_once_a_set(spark):
+    """Repetitions with the same peers cost no more: of ten models there are few sets of three, however many repetitions."""
+    from evalsift.operators.peers import peer_delta
+    from evalsift.operators.resample import random_peer_null
+
+    models = spark.createDataFrame([(f"m{i}", f"f{i % 2}") for i in range(5)], "model string, family string")
+    rows = [(f"m{i}", j, ((i * 7 + j * j * 3) % 17) / 4, (i + j) % 3 % 2) for i in range(5) for j in range(60) if (i + j) % 11]
+    outcomes = spark.createDataFrame(rows, "model string, item_id long, loss double, correct int")
+    got = random_peer_null(outcomes, models, 2, 2_000).groupBy("model", "gap").count().collect()
+    # m0, m2 and m4 have one set of two, m1 and m3 have three
+    assert sum(r["count"] for r in got) == 10_000 and len({r["gap"] for r in got if r["model"] == "m0"}) == 1
+    peers = spark.createDataFrame([("m0", "m1"), ("m0", "m3")], "model string, peer string")
+    loss = {(m, i): x for m, i, x, _ in rows}
+    want = {i: loss["m0", i] - (loss["m1", i] + loss["m3", i]) / 2 for i in range(60) if all((m, i) in loss for m in ("m0", "m1", "m3"))}
+    assert {r["item_id"]: r["delta"] for r in peer_delta(outcomes, peers).collect()} == pytest.approx(want)
