@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import stored
@@ -92,6 +92,14 @@ POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 POISSON_HEX = [f"{round(p * 2**32):08x}" for p in POISSON]
 
 
+def _poisson(h: Column) -> Column:
+    """The Poisson number of eight hex digits, from 0 up: most are told by the first two comparisons."""
+    out = F.when(h < POISSON_HEX[0], 0)
+    for k, t in enumerate(POISSON_HEX[1:], 1):
+        out = out.when(h < t, k)
+    return out.otherwise(len(POISSON_HEX))
+
+
 def poisson_bootstrap(items: DataFrame, value: str, keys: list[str], row: str, n: int, seed: int = 6) -> DataFrame:
     """(keys, ci_low, ci_high): percentiles over ``n`` resamples of the gap of the sides' mean ``value``.
 
@@ -100,12 +108,15 @@ def poisson_bootstrap(items: DataFrame, value: str, keys: list[str], row: str, n
     aggregate over all resamples; what is shuffled is a row for each (cell, side, resample) and task.
     """
     rows = items.where(F.col("side").isin("clean", "contam") & F.col(value).isNotNull())
-    # eight hex digits are a uniform number, and order as their text does; a digest has four of them
+    # eight hex digits are a uniform number, and order as their text does; a digest has four of them, whose sums stay side by
+    # side until they are added up
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "_b", F.col(row).cast("string")))
-    weight = lambda j: sum((F.substring("_h", 8 * j + 1, 8) >= F.lit(t)).cast("int") for t in POISSON_HEX)
     drawn = rows.select(*keys, "side", F.col(value).cast("double").alias("_v"), row, F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))).alias("_b")).withColumn("_h", digest)
-    drawn = drawn.select(*keys, "side", "_v", F.inline(F.array(*[F.struct((4 * F.col("_b") + j).alias("rep"), weight(j).alias("_w")) for j in range(4)]))).where(f"_w > 0 and rep < {n}")
-    sums = drawn.groupBy(*keys, "rep", "side").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
+    parts = drawn.select(*keys, "side", "_v", "_b", *[F.substring("_h", 8 * j + 1, 8).alias(f"_h{j}") for j in range(4)])
+    weighed = parts.select(*keys, "side", "_v", "_b", *[_poisson(F.col(f"_h{j}")).alias(f"_w{j}") for j in range(4)])
+    four = weighed.groupBy(*keys, "_b", "side").agg(*[s for j in range(4) for s in (F.sum(f"_w{j}").alias(f"_n{j}"), F.sum(F.col(f"_w{j}") * F.col("_v")).alias(f"_s{j}"))])
+    sums = four.select(*keys, "side", F.inline(F.array(*[F.struct((4 * F.col("_b") + j).alias("rep"), F.col(f"_n{j}").alias("_n"), F.col(f"_s{j}").alias("_s")) for j in range(4)])))
+    sums = sums.where(f"_n > 0 and rep < {n}").withColumn("_m", F.col("_s") / F.col("_n"))
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("_m")))
     gaps = sums.groupBy(*keys, "rep").agg((side("clean") - side("contam")).alias("gap")).where("gap is not null")
     return quantiles(gaps, "gap", keys, {"ci_low": 0.025, "ci_high": 0.975})
