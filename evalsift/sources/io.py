@@ -90,11 +90,10 @@ def write_index(docs: DataFrame, tokens: Column, sizes: list[int], path: str) ->
     """Writes the distinct n-gram hashes of each size, partitioned by corpus and n; returns the manifest
     (corpus, n, docs, tokens, ngrams)."""
     toks = docs.select("corpus", "doc_id", tokens.alias("t"))
-    grams = None
-    for n in sizes:
-        one = toks.select("corpus", F.lit(n).alias("n"), F.explode(ngram_hashes(F.col("t"), n)).alias("h"))
-        grams = one if grams is None else grams.union(one)
-    grams.distinct().write.partitionBy("corpus", "n").parquet(path)
+    # a text is cut once for all sizes, and its grams are dealt before they are made distinct: hardly any meet within a task
+    each = F.array(*[F.struct(F.lit(n).alias("n"), ngram_hashes(F.col("t"), n).alias("hs")) for n in sizes])
+    grams = toks.select("corpus", F.inline(each)).select("corpus", "n", F.explode("hs").alias("h"))
+    grams.repartition("h").dropDuplicates(["corpus", "n", "h"]).write.partitionBy("corpus", "n").parquet(path)
     spark = docs.sparkSession
     unique = spark.read.parquet(path).groupBy("corpus", "n").agg(F.count(F.lit(1)).alias("ngrams"))
     counts = toks.groupBy("corpus").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("t")).alias("tokens"))
