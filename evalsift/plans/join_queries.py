@@ -31,7 +31,7 @@ def stored_index_overlap(spark, sf):
     """The same from an index that is written once, bucketed and sorted by hash."""
     name = f"grams_{uuid.uuid4().hex}"
     docs = table(spark, sf, "documents").select(F.lit("docs").alias("corpus"), "text")
-    index = io.write_bucketed_index(docs, T.tokenize_words(F.col("text")), [13], name, io.scratch(spark, name), 16)
+    index = io.write_bucketed_index(docs, T.tokenize_words(F.col("text")), [13], name, io.scratch(spark, name), io.buckets_for(docs))
     return ngram.stored_overlap(ben_tok(spark, sf), index)
 
 

@@ -100,6 +100,16 @@ def write_index(docs: DataFrame, tokens: Column, sizes: list[int], path: str) ->
     return unique.join(counts, "corpus").select("corpus", F.col("n").cast("int").alias("n"), "docs", "tokens", "ngrams")
 
 
+#: Bytes of text whose grams share a bucket: some 1.3 M grams.
+BUCKET_BYTES = 8 << 20
+
+
+def buckets_for(docs: DataFrame, least: int = 16) -> int:
+    """As many buckets as keep one's grams within a task's memory, however large the corpus."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-size // BUCKET_BYTES))
+
+
 def write_bucketed_index(docs: DataFrame, tokens: Column, sizes: list[int], name: str, path: str, buckets: int) -> DataFrame:
     """Writes the distinct n-gram hashes (corpus, n, h) as the table ``name``, in ``buckets`` buckets by hash, sorted within
     them, a file a bucket, with Bloom filters of the hashes for look-ups of few. Grams are dealt once: what makes them

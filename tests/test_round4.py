@@ -56,3 +56,13 @@ def test_random_peers_once_a_set(spark):
     loss = {(m, i): x for m, i, x, _ in rows}
     want = {i: loss["m0", i] - (loss["m1", i] + loss["m3", i]) / 2 for i in range(60) if all((m, i) in loss for m in ("m0", "m1", "m3"))}
     assert {r["item_id"]: r["delta"] for r in peer_delta(outcomes, peers).collect()} == pytest.approx(want)
+
+
+def test_buckets_grow_with_the_corpus(spark):
+    """A bucket's grams stay within a task's memory: sixteen buckets are only the least."""
+    from evalsift.sources import io
+
+    docs = spark.createDataFrame([("x" * 1000,), (None,)], "text string")
+    assert io.buckets_for(docs) == 16 and io.buckets_for(docs.where("text is null")) == 16
+    large = docs.select(F.repeat("text", F.lit(200_000)).alias("text"))
+    assert io.buckets_for(large) == -(-200_000_000 // io.BUCKET_BYTES)
