@@ -693,6 +693,43 @@ def test_rejection_keeps_clean_rows(spark, sf):
     assert sum(r["rejected"] for r in got) / len(got) <= toxic + 0.05
 
 
+@pytest.mark.parametrize("shards", [1, 3])
+def test_toxicity_learns_from_every_label(spark, monkeypatch, shards):
+    """A word that is toxic only in rows beyond the first 3000 by the hash of the id is learnt all the same."""
+    from evalsift.llm import toxicity as T
+
+    if shards > 1:
+        monkeypatch.setattr(T, "SHARD_ROWS", -(-4850 // shards))
+    ids = spark.range(6000).select(F.col("id").alias("doc_id"))
+    train = [r[0] for r in ids.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rng, late, held = np.random.default_rng(5), set(train[3000:]), set(range(6000)) - set(train)
+    common = [f"w{i}x" for i in range(300)]
+    rows, marks = [], []
+    for i in range(6000):
+        words = list(rng.choice(common, 12))
+        word = (["oldbad"] if i % 8 == 0 else []) + (["grumble"] if i % 8 == 1 and (i in late or i in held) else [])
+        rows.append((i, " ".join([*words, *word]), "en"))
+        marks.append((i, int(bool(word))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    sample, n = T.labelled(docs, labels)
+    assert n == shards and sample.count() == len(train) and sample.select("shard", "doc_id").distinct().count() == len(train)
+    got = {r["doc_id"]: r for r in T.score_documents(docs, labels, keep=["doc_id", "text"]).collect()}
+    late_word = [i for i in held if "grumble" in got[i]["text"]]
+    assert len(late_word) > 100 and sum(got[i]["rejected"] for i in late_word) >= 0.95 * len(late_word)
+    clean = [i for i in held if not marks[i][1]]
+    assert sum(got[i]["rejected"] for i in clean) <= 0.03 * len(clean)
+
+
+def test_thresholds_of_counted_scores():
+    from evalsift.llm import toxicity as T
+
+    rng = np.random.default_rng(3)
+    p, y = np.round(rng.random(300), 2), (rng.random(300) < 0.2).astype(int)
+    langs, rows = [["en", "de", None][i % 3] for i in range(300)], rng.integers(1, 6, 300)
+    assert T.thresholds(p, y, langs, rows) == T.thresholds(np.repeat(p, rows), np.repeat(y, rows), [x for x, n in zip(langs, rows, strict=True) for _ in range(n)])
+
+
 def test_empty_tables(spark):
     """No rows in: no rows out, of the same columns."""
     import corpus_pipeline as P
