@@ -63,10 +63,16 @@ def new_model(rng: np.random.Generator) -> dict:
 
 #: Adds up the embeddings of a word's rows where they lie side by side.
 ADD = np.tile(np.eye(DIM, dtype=np.float32), (len(PREFIXES) + 1, 1))
+#: Words that are multiplied out at once: of larger products BLAS makes threads, which cost more CPU than they save.
+AT_ONCE = 512
 
 
 def embedded(doc: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return e.take(doc, 0).reshape(len(doc), len(ADD)) @ ADD
+    out = np.empty((len(doc), DIM), np.float32)
+    for i in range(0, len(doc), AT_ONCE):
+        some = doc[i : i + AT_ONCE]
+        out[i : i + AT_ONCE] = e.take(some, 0).reshape(len(some), len(ADD)) @ ADD
+    return out
 
 
 def filters(m: dict) -> np.ndarray:
@@ -76,7 +82,9 @@ def filters(m: dict) -> np.ndarray:
 
 def responses(x: np.ndarray, wide: np.ndarray, m: dict) -> Iterator[np.ndarray]:
     """Of each width, what its filters give at the positions where they begin."""
-    shares, r = wide @ x.T, 0
+    shares, r = np.empty((len(wide), len(x)), np.float32), 0
+    for i in range(0, len(x), AT_ONCE):
+        shares[:, i : i + AT_ONCE] = wide @ x[i : i + AT_ONCE].T
     for k in WIDTHS:
         z = m[f"c{k}"][:, None] + shares[r : r + FILTERS]
         for i in range(1, k):
