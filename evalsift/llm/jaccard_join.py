@@ -129,7 +129,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbours of a hub meet in an aggregate and a join, never in one array."""
     edges = last = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    while True:
+    while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -146,6 +146,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("fp"), F.col("v").alias("comp"))).groupBy("fp").agg(F.min("comp").alias("comp"))
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (fp, comp) after further links (a, b) of classes, stored; itself where there are none.
+
+    The links are taken between components, whose id is their least fp: what is walked again is as large as the new links,
+    not as all that were found before.
+    """
+    if links.isEmpty():
+        return comps
+    of = lambda x: comps.select(F.col("fp").alias(x), F.col("comp").alias(f"c{x}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = written(components(between))
+    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(comps, "fp", "left_anti").withColumn("comp", F.col("fp"))
+    out = written(comps.unionByName(ends).join(over.select(F.col("fp").alias("comp"), F.col("comp").alias("least")), "comp", "left").select("fp", F.coalesce("least", "comp").alias("comp")))
+    discard(over)
+    return out
+
+
 def _pop(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).sum(-1).astype(np.int64)
 
@@ -285,9 +302,9 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def dealt(placed: DataFrame, known: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def dealt(placed: DataFrame, known: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
     """(key, i, j, side, fp, n, comp) of the members of trees that hold several components, in pairs of blocks (i, j), and
-    the tables that this reads.
+    the tables that this reads. None where each tree is one component.
 
     ``placed``: key, fp, n, comp; ``known``: fp and bitmaps. Members outside the largest component of their tree meet all
     others; those of the largest meet only them, so that m members of which k stand apart make about m rows for each
@@ -297,6 +314,8 @@ def dealt(placed: DataFrame, known: DataFrame) -> tuple[DataFrame, list[DataFram
     trees = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("k > 1")
     count = lambda c, s: F.ceil(F.greatest(c / F.lit(BLOCK), s / F.lit(BLOCK_SHINGLES))).cast("long")
     trees = written(trees.select("key", F.col("main.comp").alias("largest"), count(F.col("main.c"), F.col("main.s")).alias("inner"), count(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("outer")))
+    if trees.isEmpty():
+        return None, [trees]
     there = written(placed.join(few(trees), "key").join(known.select("fp", *BITMAP), "fp"))
     apart, main = there.where("comp <> largest"), there.where("comp = largest")
     node = written(apart.groupBy("key").agg(F.min("n").alias("_least"), F.max("n").alias("_most"), *[F.bit_or(b).alias(f"_{b}") for b in BITMAP]))
@@ -337,10 +356,12 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         placed = members.where(F.pmod("key", F.lit(BANDS)).between(first, last)).join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).drop("pivot")
         placed = written(placed)
         rows, used = dealt(placed, known)
-        more = written(links.union(forest_links(rows.join(sets, "fp"))))
-        again = written(components(more))
-        discard(links, comps, placed, *used)
-        links, comps = more, again
+        if rows is not None:
+            more = written(forest_links(rows.join(sets, "fp")))
+            again = merged(comps, more)
+            discard(more, *[comps] * (again is not comps))
+            comps = again
+        discard(placed, *used)
     discard(links, members, known, sets, star, shared)
     return sig, classes.select("fp", "rep").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
 

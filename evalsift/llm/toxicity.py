@@ -300,7 +300,7 @@ def learnt(sample: DataFrame, models: dict, weight: dict, stretch: tuple[float,
             m["E"][r["block"] : r["block"] + BLOCK] += x.reshape(-1, DIM)
         else:
             m[r["name"]] = x.reshape(m[r["name"]].shape).copy()
-    shared.unpersist()
+    shared.destroy()  # else the driver keeps the networks of every pass until it happens to collect its garbage
     return out
 
 
@@ -347,6 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict, dict]:
                     yield pa.RecordBatch.from_arrays([rows.column("lang"), rows.column("toxic"), pa.array(odds)], ["lang", "toxic", "odds"])
 
     held = sample.select("part", "text", "lang", "toxic").mapInArrow(aside, "lang string, toxic int, odds int").groupBy("lang", "toxic", "odds").count().collect()
+    shared.destroy()
     held.sort()
     discard(sample)
     p = 1 / (1 + np.exp(-np.array([r["odds"] for r in held]) / ODDS))
