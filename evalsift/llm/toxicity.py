@@ -294,7 +294,7 @@ def learnt(sample: DataFrame, models: dict, weight: dict, stretch: tuple[float,
     each = [sample.where(F.col("part") != f).select("shard", F.lit(f).alias("fold"), "text", "toxic") for f in models]
     sent = reduce(DataFrame.union, each).mapInArrow(learn, PIECE)
     out = {f: {k: v.copy() for k, v in m.items()} for f, m in models.items()}
-    for r in sent.repartition("fold", "name", "block").mapInArrow(added, PIECE).collect():
+    for r in sent.repartition("fold", "name", "block").mapInArrow(added, PIECE).toLocalIterator():  # a partition at a time
         x, m = np.frombuffer(r["data"], np.float32), out[r["fold"]]
         if r["name"] == "E":
             m["E"][r["block"] : r["block"] + BLOCK] += x.reshape(-1, DIM)
