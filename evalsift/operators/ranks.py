@@ -83,7 +83,7 @@ def wilcoxon(df: DataFrame, diff: str, keys: list[str]) -> DataFrame:
     d = distinct_ranks(df.where(F.col(diff) != 0).withColumn("_abs", F.abs(diff)), "_abs", keys, {"_plus": F.count_if(F.col(diff) > 0)})
     tie = F.col("n").cast("double")
     a = d.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("_plus") * F.col("rank")).alias("w_plus"), F.sum(tie * (tie * tie - 1)).alias("_tie"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # as whole numbers, the product of three overflows from 1.66 M rows a group on
     z = F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_tie") / 48))
     return a.withColumn("z", z).select(*keys, "n", "w_plus", "z", (1 - phi(F.col("z"))).alias("p"))
 
