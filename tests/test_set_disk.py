@@ -67,9 +67,30 @@ def test_no_shuffle_file_outlives_its_step(spark):
     assert not left
 
 
-def test_an_id_that_comes_twice_has_the_elements_of_both_rows(spark):
-    from evalsift.operators import setjoin
+def test_an_id_that_comes_twice_has_the_grams_of_both_rows(spark):
+    from evalsift.operators.ngram import canary
+
+    texts = [("g", 1, "a b c"), ("g", 1, "c d"), ("g", 2, "c d e"), ("g", 3, ""), ("g", 3, "x y"), ("g", 4, ""), ("g", 5, "c d e"), (None, 6, "a b c d"), (None, 7, "a b")]
+    df = spark.createDataFrame([(g, i, t.split()) for g, i, t in texts], "benchmark string, item_id long, t array<string>")
+    got = sorted((r["benchmark"] or "", r["item_id"], r["size"], r["best"]) for r in canary(df, 2).collect())
+    assert got == [("", 6, 3, 0.0), ("", 7, 1, 0.0), ("g", 1, 3, 0.5), ("g", 1, 3, 0.5), ("g", 2, 2, 1.0), ("g", 3, 1, 0.0), ("g", 3, 1, 0.0), ("g", 4, 0, 0.0), ("g", 5, 2, 1.0)]
+
+
+def test_copies_are_cut_into_grams_once(spark, monkeypatch):
+    from evalsift.operators import ngram, setjoin
+
+    held = []
+    real = setjoin.stored
+
+    def stored(df):
+        out = real(df)
+        held.append(longs(out) if any(t == "array<bigint>" for _, t in out.dtypes) else 0)
+        return out
 
-    rows = [("g", 1, [1, 2, 3]), ("g", 1, [3, 4]), ("g", 2, [3, 4, 9]), ("g", 3, []), ("g", 3, [7]), ("g", 4, [])]
-    got = sorted(map(tuple, setjoin.best_overlap(spark.createDataFrame(rows, "grp string, id long, elements array<long>")).collect()))
-    assert got == [("g", 1, 4, 2 / 3), ("g", 1, 4, 2 / 3), ("g", 2, 3, 2 / 3), ("g", 3, 1, 0.0), ("g", 3, 1, 0.0), ("g", 4, 0, 0.0)]
+    monkeypatch.setattr(setjoin, "stored", stored)
+    # 30 texts, six copies of each: no gram is in two of them, and each of 50 is in six items
+    df = spark.range(180).select(F.lit("g").alias("benchmark"), F.col("id").alias("item_id"), F.transform(F.sequence(F.lit(0), F.lit(51)), lambda i: F.concat_ws("-", F.col("id") % 30, i)).alias("t"))
+    for few in (1_000_000, 100, 10):  # copies broadcast, firsts broadcast, neither
+        monkeypatch.setattr(ngram, "BROADCAST_ROWS", few)
+        assert [(r["size"], r["best"]) for r in ngram.canary(df, 3).collect()] == [(50, 1.0)] * 180
+    assert max(held) == 0
