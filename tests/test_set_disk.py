@@ -94,3 +94,31 @@ def test_copies_are_cut_into_grams_once(spark, monkeypatch):
         monkeypatch.setattr(ngram, "BROADCAST_ROWS", few)
         assert [(r["size"], r["best"]) for r in ngram.canary(df, 3).collect()] == [(50, 1.0)] * 180
     assert max(held) == 0
+
+
+def test_members_of_a_family_are_sure_of_nearly_their_best_after_the_seeds(spark, monkeypatch):
+    """So that few passages are joined afterwards. The smallest set that has an element shares nothing else with the family."""
+    import random
+
+    from evalsift.operators import setjoin
+
+    from .test_setjoin import brute
+
+    rng = random.Random(3)
+    sets = [set(range(120)) - {rng.randrange(120) for _ in range(30)} | {2000 + i} for i in range(150)]
+    rows = [("g", i, e) for i, e in enumerate(sets)] + [("g", 500 + x, {x, *range(10_000 + 100 * x, 10_060 + 100 * x)}) for x in range(120)]
+    sure = []
+    real = setjoin.best_of
+
+    def best_of(kinds, found):
+        out = real(kinds, found)
+        if len(found) == 1:
+            sure.extend(r["count"] for r in out.where("m > 1").collect())
+        return out
+
+    monkeypatch.setattr(setjoin, "best_of", best_of)
+    df = spark.createDataFrame([(g, i, sorted(e)) for g, i, e in rows], "grp string, id long, elements array<long>")
+    got = {(r["grp"], r["id"]): (r["size"], round(r["best"], 9)) for r in setjoin.best_overlap(df).collect()}
+    assert got == brute(rows)
+    most = [max(len(e & f) for j, f in enumerate(sets) if j != i) for i, e in enumerate(sets)]
+    assert len(sure) == 150 and sum(sure) > 0.9 * sum(most)
